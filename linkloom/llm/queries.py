@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import chat, decontamination
+from linkloom.llm import chat, decontamination, html_text, mixing, simhash, toxicity
 from linkloom.llm.common import read
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(read(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_planted(read(spark, sf_dir, "conversations")))
 
@@ -17,6 +33,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html_extraction": op2_html_extraction,
+    "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
+    "op7_simhash": op7_simhash,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_decontamination": op10_decontamination,
 }
