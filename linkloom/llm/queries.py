@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import chat, decontamination, html_text, mixing, simhash, toxicity
+from linkloom.llm import chat, decontamination, html_text, language, mixing, simhash, toxicity
 from linkloom.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_planted(read(spark, sf_dir, "conversations")))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_decontamination": op10_decontamination,
 }

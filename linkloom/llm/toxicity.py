@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-1. Terms (words and word beginnings of four to six letters) that the labelled
+1. Terms (words and word beginnings of four to eight letters) that the labelled
    training rows show mostly in toxic texts form lexicons; with general patterns
    (insults at a reader, shouting, a fixed list of English insults) they are the
    voters. A lexicon voter votes "toxic" or abstains; a pattern voter may also vote
@@ -34,21 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 8_000
 MAX_TERMS = 400
 MAX_TERM_VOTERS = 40
 THRESHOLD = 0.3
 CACHED_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Insults known beforehand; the other voters are learned.
-KNOWN = frozenset("idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown dumb hate kill die filthy ugly freak bastard idiota imbecil estupido estupida basura asco asqueroso inutil payaso dummkopf abschaum widerlich dumm wertlos hasse crétin débile ordure nul dégoûtant imbécile minable haine".split())
+KNOWN = frozenset("idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown dumb hate kill filthy ugly freak bastard idiota imbecil estupido estupida basura asco asqueroso inutil payaso dummkopf abschaum widerlich dumm wertlos hasse crétin débile ordure nul dégoûtant imbécile minable haine".split())
 _AT_READER = re.compile(r"\b(?:you|your|du|dein|tu|toi|eres)\b[^.!?\n]{0,40}\b(?:idiot|moron|stupid|scum|trash|loser|pathetic|worthless|disgusting|clown|dumm|nul|basura)", re.I)
 PATTERNS = 6
 
 
 def terms_of(word: str) -> tuple[str, ...]:
     """The word and its beginnings that stand for all its forms (marked with a star)."""
-    return (word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) >= k))
+    return (word, *(f"{word[:k]}*" for k in (4, 5, 6, 7, 8) if len(word) >= k))
 
 
 def patterns_of(text: str, words: Counter) -> list[float]:
@@ -70,7 +70,7 @@ def words_in(text: str | None) -> Counter:
 
 
 def mine(texts: list[str | None], toxic: np.ndarray) -> list[str]:
-    """The terms that mark toxic training texts, best first; a term that adds no text to those before it is left out."""
+    """The terms that mark toxic training texts, best first; a term whose texts those before it mark already is left out."""
     docs: dict[str, list[int]] = {}
     clean: Counter[str] = Counter()
     for k, text in enumerate(texts):
@@ -84,13 +84,13 @@ def mine(texts: list[str | None], toxic: np.ndarray) -> list[str]:
     scored = []
     for t, found in docs.items():
         rate, against = len(found) / n_toxic, (clean[t] + 0.5) / (n_clean + 1)
-        if len(found) >= 3 and rate > 8 * against:
+        if len(found) >= max(4, 0.005 * n_toxic) and rate > 12 * against:
             scored.append((-np.log(rate / against) * np.sqrt(len(found)), len(t), t))
     kept, covered = [], Counter()
     for _, _, t in sorted(scored):
         if len(kept) == MAX_TERMS:
             break
-        if any(covered[k] < 3 for k in docs[t]):
+        if sum(covered[k] < 3 for k in docs[t]) >= max(2, len(docs[t]) / 8):
             kept.append(t)
             covered.update(docs[t])
     return kept
