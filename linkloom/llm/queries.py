@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import chat, decontamination, html_text, language, mixing, simhash, toxicity
+from linkloom.llm import chat, decontamination, html_text, language, mixing, order_minhash, simhash, suffix_dedup, toxicity
 from linkloom.llm.common import read
 
 
@@ -12,6 +12,14 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read(spark, sf_dir, "documents"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -38,6 +46,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_html_extraction": op2_html_extraction,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
