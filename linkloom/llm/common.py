@@ -25,10 +25,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: list[tuple[str, str]] = []
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the tables that ``written`` and ``kept_as`` have made so far; call it when results that read them are stored."""
+    while _MADE:
+        kind, name = _MADE.pop()
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept_as(kind: str, name: str) -> str:
+    """Notes a table or folder for ``clean_up``."""
+    _MADE.append((kind, name))
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: ``df`` as a Parquet table in the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = kept_as("folder", f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

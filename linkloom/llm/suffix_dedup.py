@@ -1,28 +1,31 @@
 """Removal of long repeated strings by a sorted array of sampled suffixes.
 
 Each byte that a string of ``LENGTH`` bytes covers which also starts anywhere else is
-removed. Sorting all suffixes would move some hundred times the input, so it is done
-in two steps, both exact:
-
-1. Every start i of such a string chooses an anchor: of its first ``SPAN`` positions
-   that with the smallest hash of the ``GRAM`` bytes there, the first of equal ones.
-   Equal strings choose the same place in them, and the starts of an anchor form one
-   range, so about 1 in 80 suffixes is left. Anchor suffixes are sorted by tokens:
-   their first 8 bytes, a digest of the bytes that every string over the anchor has
-   behind it, and a digest of all bytes that its starts can see. If the third token
-   repeats, all its starts do; if the first two do not, none does.
-2. For the anchors in between, which stand at the ends of longer repeats, each start
-   is sorted by its first 8 bytes and a 128-bit digest of its ``LENGTH`` bytes.
-
-One sample sort serves both: splitters from a sample of documents range-partition the
+removed. Sorting all suffixes would move some hundred times the input, so suffixes
+are sorted in three steps, each of which decides most of what the last one left:
+
+1. Every start i of such a string chooses an anchor: of its first 160 positions that
+   with the smallest hash of the ``GRAM`` bytes there, the first of equal ones. Equal
+   strings choose the same place in them, and the starts of an anchor form one range,
+   so about 1 in 80 suffixes is left. They are sorted by tokens: the first 8 bytes
+   that all strings over such a range share, a digest of all that they share, and a
+   digest of all bytes that the range sees. If the third token repeats, all starts of
+   the range do; if the first two do not, none does.
+2. Where the first two tokens repeat with different third ones, as they do at the ends
+   of longer repeats, one range for each third token is divided into ranges of up to
+   16 starts (in place by their distance to the anchor), and these are sorted.
+3. What is open then is divided into single starts, where all tokens are of one string.
+
+One sample sort serves all: splitters from a sample of documents range-partition the
 suffixes by their leading tokens (with doc_id and position behind them, so a very
 common suffix is spread over as many buckets as it fills), each bucket is sorted by a
 multikey quicksort, and neighbours are compared. Only the first and last row of a
 bucket can depend on another one; those rows, two for each bucket, are compared
 across the boundaries.
 
-Texts are joined with what is to be removed by doc_id and a hash of the text, so rows
-that repeat a doc_id are kept apart unless they are equal.
+Texts are shuffled once, into a table in buckets of doc_id and a hash of the text, in
+which each step and the removal find them again without a shuffle of texts. By the
+hash, rows that repeat a doc_id are kept apart unless they are equal.
 
 Edge cases: null texts are empty; texts shorter than ``LENGTH`` keep all; equal rows
 repeat each other; an empty table gives an empty result; extra columns are kept by
@@ -33,6 +36,7 @@ in two, ``without_repeats`` drops the rest of that character.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +44,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import slots, written
+from linkloom.llm.common import kept_as, slots, written
 
 LENGTH = 400
-SPAN = 160
+#: Starts that share a range, in the three steps.
+STEPS = (160, 16, 1)
+SPAN = STEPS[0]
 GRAM = 16
 #: Rows of a bucket, at most about.
 BUCKET_ROWS = 1_000_000
@@ -88,31 +94,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def anchor_tokens(data: bytes, length: int = LENGTH, span: int = SPAN) -> tuple[list, list, list, list]:
-    """Tokens t1, t2, t3 of the anchor suffixes and at = position << 16 | starts before it at most << 8 | at least."""
-    from xxhash import xxh3_64_intdigest
-
-    p, first, last = (x.tolist() for x in anchors(data, length, span))
-    lead = length - span + 1
-    t1 = [_signed(int.from_bytes(data[a : a + 8], "big")) for a in p]
-    t2 = [_signed(xxh3_64_intdigest(data[a : a + lead])) for a in p]
-    t3 = [_signed(xxh3_64_intdigest(data[i : j + length] + bytes((a - i, a - j)))) for a, i, j in zip(p, first, last, strict=True)]
-    return t1, t2, t3, [a << 16 | (a - i) << 8 | (a - j) for a, i, j in zip(p, first, last, strict=True)]
+def packed(p: int, most: int, least: int) -> int:
+    """A range of starts: those from ``most`` to ``least`` bytes before position ``p``."""
+    return p << 16 | most << 8 | least
 
 
-def start_tokens(data: bytes, ats: list[int], length: int = LENGTH) -> tuple[list, list, list, list]:
-    """Tokens of all starts of the given anchors; at = start << 16."""
-    from xxhash import xxh3_128_intdigest
+def tokens(data: bytes, ats: list[int] | None, step: int, length: int = LENGTH) -> tuple[list, list, list, list]:
+    """Tokens t1, t2, t3 of ranges and the ranges: of all anchors of a text or, of the ranges ``ats``, of their parts of ``step`` starts."""
+    from xxhash import xxh3_64_intdigest
 
+    if ats is None:
+        parts = [(p, p - i, p - j, 0) for p, i, j in zip(*(x.tolist() for x in anchors(data, length, step)), strict=True)]
+    else:
+        parts = []
+        for x in ats:
+            p, most, least = x >> 16, x >> 8 & 255, x & 255
+            for base in range(least - least % step, most + 1, step):
+                parts.append((p, min(most, base + step - 1), max(least, base), base))
     t1, t2, t3, at = [], [], [], []
-    for x in ats:
-        p = x >> 16
-        for i in range(p - (x >> 8 & 255), p - (x & 255) + 1):
-            d = xxh3_128_intdigest(data[i : i + length])
-            t1.append(_signed(int.from_bytes(data[i : i + 8], "big")))
-            t2.append(_signed(d >> 64))
-            t3.append(_signed(d & (1 << 64) - 1))
-            at.append(i << 16)
+    for p, most, least, base in parts:
+        a = p - base
+        t1.append(_signed(int.from_bytes(data[a : a + 8], "big")))
+        t2.append(_signed(xxh3_64_intdigest(data[a : a - step + 1 + length])))
+        t3.append(_signed(xxh3_64_intdigest(data[p - most : p - least + length] + bytes((most - base, least - base)))))
+        at.append(packed(p, most, least))
     return t1, t2, t3, at
 
 
@@ -203,19 +208,20 @@ def compared(rows: DataFrame, buckets: int) -> DataFrame:
     return flagged.where("not edge").select("doc_id", "th", "at", "state").unionByName(ends).where("state > 0")
 
 
-def token_rows(texts: DataFrame, splitters: list[tuple[int, ...]], starts: bool, length: int, span: int) -> DataFrame:
-    """Token rows of texts (doc_id, th, text) or, with ``starts``, of (doc_id, th, text, ats)."""
+def token_rows(texts: DataFrame, splitters: list[tuple[int, ...]], step: int, length: int) -> DataFrame:
+    """Token rows of texts (doc_id, th, text) or of parts of their open ranges (doc_id, th, text, ats)."""
+    open_ = "ats" in texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
                 cols: list[list] = [[], [], [], [], [], []]
-                many = part.column(3).to_pylist() if starts else [None] * part.num_rows
+                many = part.column(3).to_pylist() if open_ else [None] * part.num_rows
                 for doc_id, th, text, ats in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), many, strict=True):
                     data = (text or "").encode("utf-8", "surrogatepass")
                     if len(data) < length:
                         continue
-                    t1, t2, t3, at = start_tokens(data, ats, length) if starts else anchor_tokens(data, length, span)
+                    t1, t2, t3, at = tokens(data, ats, step, length)
                     for c, v in zip(cols, (t1, t2, t3, [doc_id] * len(at), [th] * len(at), at), strict=True):
                         c.extend(v)
                 if cols[0]:
@@ -228,13 +234,13 @@ def token_rows(texts: DataFrame, splitters: list[tuple[int, ...]], starts: bool,
     return texts.mapInArrow(run, TOKENS)
 
 
-def _splitters(texts: DataFrame, n_texts: int, starts: bool, length: int, span: int) -> list[tuple[int, ...]]:
+def _splitters(texts: DataFrame, n_texts: int, step: int, length: int) -> list[tuple[int, ...]]:
     """Splitters between buckets of about equal size, from a sample of the texts; the sample has about ``SAMPLE_ROWS`` rows at most."""
     if not n_texts:
         return []
     part = min(1.0, 2_000 / n_texts)
     sample = texts.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(1_000_000)) < int(max(1, part * 1_000_000)))
-    rows = token_rows(sample, [], starts, length, span)
+    rows = token_rows(sample, [], step, length)
     chosen = rows.orderBy(F.xxhash64("t2", "t3", "at", "doc_id")).limit(SAMPLE_ROWS).select("t1", "t2", "t3", "doc_id", "at").toPandas()
     if not len(chosen):
         return []
@@ -245,24 +251,28 @@ def _splitters(texts: DataFrame, n_texts: int, starts: bool, length: int, span:
     return sorted({keys[len(keys) * k // n] for k in range(1, n)})
 
 
-def spans(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
-    """Per text with repeats: doc_id, th (its hash) and spans, byte ranges [first, past last) in no order, that may overlap."""
-    texts = _texts(docs)
-    n = docs.count()
-    cuts = _splitters(texts, n, False, length, span)
-    found = compared(token_rows(texts, cuts, False, length, span), len(cuts) + 1)
-    sure = found.where("state & 2 = 2").select("doc_id", "th", F.expr("shiftright(at, 16) - (shiftright(at, 8) & 255)").alias("a"), F.expr(f"shiftright(at, 16) - (at & 255) + {length}").alias("b"))
-    open_ = found.where("state & 1 = 1").groupBy("doc_id", "th").agg(F.collect_list("at").alias("ats")).select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "ats")
-    open_ = written(open_, "open")
-    joined = texts.join(open_, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("doc_id", "th", "text", "ats")
-    cuts = _splitters(joined, open_.count(), True, length, span)
-    more = compared(token_rows(joined, cuts, True, length, span), len(cuts) + 1).where("state & 2 = 2")
-    more = more.select("doc_id", "th", F.expr("shiftright(at, 16)").alias("a"), F.expr(f"shiftright(at, 16) + {length}").alias("b"))
-    return sure.unionByName(more).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Per text (doc_id, th, text) with repeats: doc_id, th and spans, byte ranges [first, past last) in no order, that may overlap."""
+    rows, n, out = texts.select("doc_id", "th", "text"), None, None
+    for step in STEPS:
+        n = texts.count() if n is None else open_.count()
+        cuts = _splitters(rows, n, step, length)
+        found = compared(token_rows(rows, cuts, step, length), len(cuts) + 1)
+        sure = found.where("state & 2 = 2").select("doc_id", "th", F.expr("shiftright(at, 16) - (shiftright(at, 8) & 255)").alias("a"), F.expr(f"shiftright(at, 16) - (at & 255) + {length}").alias("b"))
+        out = sure if out is None else out.unionByName(sure)
+        if step > 1:
+            open_ = written(found.where("state & 1 = 1").groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_list("at").alias("ats")), "open")
+            rows = texts.join(open_, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("doc_id", "th", "text", "ats")
+    return out.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("text").alias("th"), "text")
+def bucketed(docs: DataFrame) -> DataFrame:
+    """The rows with doc_id (as bigint) and th, the hash of the text, as a table in buckets of both."""
+    spark = docs.sparkSession
+    name, n = kept_as("table", f"linkloom_texts_{uuid.uuid4().hex}"), slots(spark)
+    docs.repartition(n, "doc_id", "th").write.bucketBy(n, "doc_id", "th").option("compression", "zstd").saveAsTable(name)
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the files of the finished shuffle
+    return spark.table(name)
 
 
 def merged(found: list) -> list[tuple[int, int]]:
@@ -284,14 +294,16 @@ def cut_out(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def _with_spans(docs: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    found = found.select(F.col("doc_id").alias("linkloom_d"), F.col("th").alias("linkloom_h"), F.col("spans").alias("linkloom_spans"))
-    return docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col("linkloom_d")) & (F.hash("text") == F.col("linkloom_h")), "left").select(*columns, "linkloom_spans")
+def _with_spans(texts: DataFrame, length: int) -> DataFrame:
+    """All columns of the texts and, last, the spans."""
+    found = spans(texts, length).select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("spans").alias("linkloom_spans"))
+    return texts.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left").drop("d", "h")
 
 
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """What the contract asks for."""
-    joined = _with_spans(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), spans(docs, length), ["doc_id", "text"])
+    texts = bucketed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.hash("text").alias("th")))
+    joined = _with_spans(texts, length).select("doc_id", "text", "linkloom_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,7 +322,9 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """All rows and columns; repeated strings are cut out of ``text`` and ``n_chars``, if it is there, is counted anew where that changed the text."""
     columns = docs.columns
-    joined = _with_spans(docs, spans(docs, length), columns)
+    own = {c: f"c{k}" for k, c in enumerate(columns)}  # no name of theirs can clash here
+    texts = bucketed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), F.hash("text").alias("th"), *(F.col(f"`{c}`").alias(own[c]) for c in columns if c != "text")))
+    joined = _with_spans(texts, length).select(*("text" if c == "text" else own[c] for c in columns), "linkloom_spans")
     at, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
     kinds = docs.schema
 
