@@ -17,8 +17,9 @@ and carried on by the buckets' counts, so no task gets a source as a whole.
 
 Edge cases: a null source is a source of its own; a source without a weight has
 ``default_weight``; the last block of a source may be short; rows that repeat a
-doc_id get places of their own; null texts count like others; an empty table gives
-an empty result; all columns stay and the new ones are renamed if they would clash.
+doc_id get places of their own; null texts count like others; more than
+``MAX_TOTAL`` sources are refused, as their weights are; an empty table gives an
+empty result; all columns stay and the new ones are renamed if they would clash.
 """
 
 from __future__ import annotations
@@ -108,7 +109,9 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, default_weight:
     key, order, bucket, before, rank = (fresh(docs.columns, f"mix_{x}") for x in ("key", "order", "bucket", "before", "rank"))
     names = [fresh(docs.columns, f"mix_{x}") for x in ("block", "slot", "position")]
     keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
-    sizes = {r[0]: r[1] for r in keyed.groupBy(key).count().collect()}  # a row for each source
+    sizes = {r[0]: r[1] for r in keyed.groupBy(key).count().limit(MAX_TOTAL + 1).collect()}  # a row for each source
+    if len(sizes) > MAX_TOTAL:
+        raise ValueError(f"there are more than {MAX_TOTAL} sources")
     bits = max(6, math.ceil(math.log2(max(2, sum(sizes.values()) / BUCKET_ROWS))))
     keyed = keyed.withColumn(order, F.xxhash64(F.lit(seed), "doc_id")).withColumn(bucket, F.shiftrightunsigned(F.col(order), 64 - bits))
     in_bucket = keyed.groupBy(key, bucket).agg(F.count("*").alias(rank))

@@ -44,6 +44,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 KNOWN = frozenset("idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown dumb hate kill filthy ugly freak bastard idiota imbecil estupido estupida basura asco asqueroso inutil payaso dummkopf abschaum widerlich dumm wertlos hasse crétin débile ordure nul dégoûtant imbécile minable haine".split())
 _AT_READER = re.compile(r"\b(?:you|your|du|dein|tu|toi|eres)\b[^.!?\n]{0,40}\b(?:idiot|moron|stupid|scum|trash|loser|pathetic|worthless|disgusting|clown|dumm|nul|basura)", re.I)
 PATTERNS = 6
+_CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -54,12 +55,12 @@ def terms_of(word: str) -> tuple[str, ...]:
 def patterns_of(text: str, words: Counter) -> list[float]:
     """Counts from patterns: known insults (logarithm, and their kinds), at a reader, shouting, exclamations, words."""
     known = [words[w] for w in words.keys() & KNOWN]
-    n = max(1, len(text))
+    data = text.encode("utf-8", "surrogatepass")
     return [
         float(np.log1p(sum(known))),
         float(np.log1p(len(known))),
         float(bool(known) and bool(_AT_READER.search(text))),
-        sum(map(str.isupper, text[:: max(1, n // 4096)])) / min(n, 4096),
+        1 - len(data.translate(None, _CAPITALS)) / max(1, len(data)),
         float(np.log1p(text.count("!"))) / 4,
         float(np.log1p(sum(words.values()))) / 8,
     ]
