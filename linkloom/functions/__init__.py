@@ -1 +1 @@
-"""linkloom functions."""
+"""Column functions: what the engine computes per value, without Python on the executors unless a module says so."""

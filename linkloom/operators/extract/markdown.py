@@ -301,7 +301,8 @@ def heading_id(text: str) -> str:
 
 
 def _heading_text(raw: str) -> str:
-    """What a reader sees of a heading."""
+    """What a reader sees of a heading; line ends in it are no text."""
+    raw = raw.replace("\n", "")
     raw = re.sub(r"(`+)(.+?)\1", lambda m: m[2].strip(), raw)
     raw = re.sub(r"!?\[((?:[^\[\]]|\[[^\]]*\])*)\](?:\([^)]*\)|\[[^\]]*\])?", r"\1", raw)
     raw = re.sub(r"</?[A-Za-z][^>]*>", "", raw)
