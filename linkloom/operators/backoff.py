@@ -7,7 +7,7 @@ and a cap, so no window function expresses it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values, in milliseconds.
@@ -38,18 +38,26 @@ def _step(b: Column, x: Column) -> Column:
     )
 
 
-#: Codes after which the wait does not depend on what was before.
+#: After so many 429s and 5xxs in a row the wait is the same whatever it was before:
+#: a wait grows by 200 ms a step at least until a cap makes all of them equal.
+SETTLED = 64
+
+
 def host_backoff(requests: DataFrame) -> DataFrame:
     """Per host the wait after its last response: host, backoff_ms.
 
-    Only what follows a host's last 2xx matters, so that is cut off first by an
-    aggregation, and the fold reads a short tail even of a host with most of the rows.
+    Only what follows a host's last 2xx matters, and of that the last ``SETTLED`` 429s
+    and 5xxs (with reset times in between), so the fold reads a short log even of a
+    host with most of the rows, and is still exact.
     """
     reset = F.col("reset_ms") if "reset_ms" in requests.columns else F.lit(None).cast("bigint")
     rows = requests.select("host", F.struct("ts", "event_id").alias("at"), "code", reset.alias("reset_ms"))
     last = rows.groupBy("host").agg(F.max(F.when(F.col("code").between(200, 299), F.col("at"))).alias("last_ok"))
-    matters = F.col("code").isNull() | (F.col("code") == 429) | F.col("code").between(500, 599) | F.col("reset_ms").isNotNull()
-    tail = rows.join(last, "host").where((F.col("last_ok").isNull() | (F.col("at") > F.col("last_ok"))) & matters)
+    steps = F.coalesce((F.col("code") == 429) | F.col("code").between(500, 599), F.lit(False))
+    recent = rows.where(steps).withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("at")))).where(F.col("k") <= SETTLED)
+    cuts = last.join(recent.groupBy("host").agg(F.min("at").alias("first_step")), "host", "left")
+    tail = rows.where(steps | F.col("reset_ms").isNotNull()).join(cuts, "host")
+    tail = tail.where((F.col("last_ok").isNull() | (F.col("at") > F.col("last_ok"))) & (F.col("first_step").isNull() | (F.col("at") >= F.col("first_step"))))
     folded = tail.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "code", "reset_ms"))).alias("log"))
     folded = folded.select("host", F.aggregate("log", F.lit(0).cast("bigint"), _step).alias("backoff_ms"))
     return last.select("host").join(folded, "host", "left").fillna(0, ["backoff_ms"])

@@ -52,10 +52,12 @@ def outcome(responses: DataFrame, accept_timeouts: bool = False) -> DataFrame:
     return responses.agg(F.coalesce(~F.bool_or(bad), F.lit(True)).alias("success")).withColumn("exit_code", F.when(F.col("success"), 0).otherwise(2))
 
 
-def host_stats(requests: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+def host_stats(requests: DataFrame, hits: DataFrame | None = None, exact_median: bool = True) -> DataFrame:
     """Per host from a request log (host, ts, code, duration_ms, event_id; no code: network error) and cache ``hits`` (host, cache_hits).
 
-    Cache hits count as requests and as successes, whatever they gave; each request is a miss.
+    Cache hits count as requests and as successes, whatever they gave; each request is a
+    miss. An exact median keeps a count for each distinct duration of a host; without
+    ``exact_median`` a sketch of fixed size is kept instead.
     """
     code = F.col("code")
     out = requests.groupBy("host").agg(
@@ -65,7 +67,7 @@ def host_stats(requests: DataFrame, hits: DataFrame | None = None) -> DataFrame:
         F.count_if(code.between(400, 499) & (code != 429)).alias("client_errors"),
         F.count_if(code.between(500, 599)).alias("server_errors"),
         F.count_if(code.isNull()).alias("network_errors"),
-        F.median("duration_ms").alias("median_ms"),
+        (F.median("duration_ms") if exact_median else F.percentile_approx("duration_ms", 0.5, 10_000)).alias("median_ms"),
         F.avg("duration_ms").alias("average_ms"),
         F.max_by("duration_ms", F.struct("ts", "event_id")).alias("latest_ms"),
         F.max(F.when(code == 429, F.col("ts"))).alias("last_rate_limited"),
