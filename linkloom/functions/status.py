@@ -91,15 +91,17 @@ def from_code(code: Column, ranges: Ranges = DEFAULT_ACCEPT) -> Column:
 
 def from_failure(error_class: Column, message: Column, code: Column | None = None) -> Column:
     """Status of a request that failed: classes no_host, timeout, builder, body, decode; all others are network errors."""
-    analysis = network_error_text(message)
     code = F.lit(None).cast("int") if code is None else code
-    return (
-        F.when(error_class == "no_host", make(UNSUPPORTED, None, F.lit("InvalidUrlHost"), F.lit("Unsupported: URL is missing a hostname"), F.lit("Unsupported: URL is missing a hostname")))
-        .when(error_class == "timeout", make(TIMEOUT, code, text=F.when(code.isNotNull(), F.concat(F.lit("Timeout ("), code_text(code), F.lit(")"))).otherwise("Timeout"), details=F.lit("Request timed out")))
-        .when(error_class == "builder", make(UNSUPPORTED, code, F.lit("BuildRequestClient"), F.concat(F.lit("Unsupported: Failed to create HTTP request client: "), message), F.concat(F.lit("Unsupported: Failed to create HTTP request client: "), message)))
-        .when(error_class.isin("body", "decode"), make(UNSUPPORTED, code, F.lit("ReadResponseBody"), F.concat(F.lit("Unsupported: Failed to read response body: "), message), F.concat(F.lit("Unsupported: Failed to read response body: "), message)))
-        .otherwise(make(ERROR, code, F.lit("NetworkRequest"), F.concat(F.lit("Network error: "), analysis, F.lit(" ("), message, F.lit(")")), analysis))
-    )
+    known = {"no_host": "InvalidUrlHost", "builder": "BuildRequestClient", "body": "ReadResponseBody", "decode": "ReadResponseBody"}
+    name = F.try_element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), error_class)
+    timeout = error_class == "timeout"
+    start = F.when(error_class == "builder", "Failed to create HTTP request client: ").when(error_class == "no_host", "URL is missing a hostname").otherwise("Failed to read response body: ")
+    unsupported = F.concat(F.lit("Unsupported: "), start, F.when(error_class == "no_host", "").otherwise(message))
+    advice = network_error_text(message)
+    text = F.when(timeout, F.concat(F.lit("Timeout"), F.coalesce(F.concat(F.lit(" ("), code_text(code), F.lit(")")), F.lit("")))).when(name.isNotNull(), unsupported).otherwise(F.concat(F.lit("Network error: "), advice, F.lit(" ("), message, F.lit(")")))
+    details = F.when(timeout, "Request timed out").when(name.isNotNull(), unsupported).otherwise(advice)
+    kind = F.when(timeout, TIMEOUT).when(name.isNotNull(), UNSUPPORTED).otherwise(ERROR)
+    return make(kind, F.when(error_class != "no_host", code), F.when(~timeout, F.coalesce(name, F.lit("NetworkRequest"))), text, details)
 
 
 def should_retry(status: Column, retryable_network: Column | None = None) -> Column:
@@ -194,17 +196,12 @@ NETWORK_RULES = (
 )
 
 
-def _holds(message: Column, words: Sequence[str]) -> Column:
-    return message.rlike("|".join(re.escape(w) for w in words))
-
-
 def network_error_text(message: Column) -> Column:
-    """Advice for a network error by its message."""
-    chosen = None
-    for words, text in CERTIFICATE_RULES:
-        test = _holds(message, ("certificate",)) & _holds(message, words)
-        chosen = F.when(test, text) if chosen is None else chosen.when(test, text)
-    chosen = chosen.when(_holds(message, ("protocol",)) & _holds(message, ("not supported",)), "Protocol not supported. Check URL scheme (http/https)")
-    for words, text in NETWORK_RULES:
-        chosen = chosen.when(_holds(message, words), text)
-    return chosen.otherwise(F.concat(F.lit("Request failed: "), message))
+    """Advice for a network error by its message. The rules are a literal that a lambda walks, so the code of a plan stays small."""
+    either = lambda words: "|".join(re.escape(w) for w in words)
+    rules = [(f"(?s)^(?=.*certificate).*(?:{either(w)})", t) for w, t in CERTIFICATE_RULES]
+    rules.append(("(?s)^(?=.*protocol).*not supported", "Protocol not supported. Check URL scheme (http/https)"))
+    rules += [(f"(?:{either(w)})", t) for w, t in NETWORK_RULES]
+    table = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(t).alias("text")) for p, t in rules))
+    found = F.filter(table, lambda r: F.regexp_like(message, r["pattern"]))
+    return F.coalesce(F.get(found, F.lit(0))["text"], F.concat(F.lit("Request failed: "), message))

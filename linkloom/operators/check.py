@@ -66,21 +66,16 @@ def retry_waits(max_retries: int, first_s: float) -> list[float]:
     return [first_s * 2**k for k in range(max_retries)]
 
 
-def http_status(rows: DataFrame, config: LinkCheckConfig, missing: str = "timeout") -> Column:
-    """Status of a snapshot row (after a left join)."""
-    code = F.col("status")
-    known = F.col("snapshot_method").isNotNull()
-    followed = F.size(F.coalesce(F.col("redirects"), F.array().cast(REDIRECTS)))
+def with_status(rows: DataFrame, config: LinkCheckConfig, missing: str = "timeout") -> DataFrame:
+    """Snapshot rows (after a left join) with ``checked``, their status."""
     limit = config.get("max_redirects")
+    followed = F.coalesce(F.size("redirects"), F.lit(0))
+    failed = F.when(F.col("snapshot_method").isNull(), missing).when(F.col("error_class") != "none", F.col("error_class"))
     # beyond the limit the response to the last followed URL is a redirect itself
-    cut = F.get(F.col("redirects"), F.lit(limit))["code"]
-    lost = S.from_failure(F.lit(missing), F.lit("no response"))
-    return (
-        F.when(~known, lost)
-        .when(F.col("error_class").isNotNull() & (F.col("error_class") != "none"), S.from_failure(F.col("error_class"), F.coalesce("error_message", "error_class"), code))
-        .when(followed > limit, S.from_code(cut, config.accepted))
-        .otherwise(S.from_code(code, config.accepted))
-    )
+    code = F.when(followed > limit, F.get(F.col("redirects"), F.lit(limit))["code"]).otherwise(F.col("status"))
+    rows = rows.withColumn("_failed", failed).withColumn("_code", code).withColumn("_message", F.coalesce("error_message", "error_class", F.lit("no response")))
+    status = F.when(F.col("_failed").isNull(), S.from_code(F.col("_code"), config.accepted)).otherwise(S.from_failure(F.col("_failed"), F.col("_message"), F.col("status")))
+    return rows.withColumn("checked", status).drop("_failed", "_code", "_message")
 
 
 def check_http(uris: DataFrame, snapshots: Snapshots, config: LinkCheckConfig) -> DataFrame:
@@ -91,7 +86,7 @@ def check_http(uris: DataFrame, snapshots: Snapshots, config: LinkCheckConfig) -
     snapshot = snapshots.http.select("method", "url_nofrag", "status", "error_class", "error_message", "redirects", "duration_ms", F.col("method").alias("snapshot_method"))
     rows = tried.join(snapshot, ["method", "url_nofrag"], "left")
     chain = F.when(F.size("redirects") > 0, F.struct(F.col("asked").alias("origin"), F.slice("redirects", 1, config.get("max_redirects")).alias("redirects")))
-    rows = rows.withColumn("checked", http_status(rows, config, snapshots.missing)).withColumn("chain", chain)
+    rows = with_status(rows, config, snapshots.missing).withColumn("chain", chain)
     if len(methods) > 1:
         stop = S.is_success(F.col("checked")) | (F.col("checked.kind") == S.TIMEOUT)
         outcome = F.struct("asked", "checked", "chain", "duration_ms", "method")

@@ -6,8 +6,6 @@ URL parser in one Arrow UDF.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +18,6 @@ from linkloom.operators.extract.linkfinder import is_email_link
 BASE = "struct<kind:string,origin:string,path:string>"
 RESOLVED = "struct<uri:string,error_kind:string,error_text:string>"
 _RESOLVED = pa.struct([("uri", pa.string()), ("error_kind", pa.string()), ("error_text", pa.string())])
-_parse = lru_cache(maxsize=50_000)(whatwg.parse)
 
 
 def base_of_source(source: Column, source_kind: Column) -> Column:
@@ -77,24 +74,32 @@ def _without_empty_segment(url: Url) -> Url:
     return url
 
 
-def resolve_text(text: str, kind: str, origin: str | None, path: str | None, root_dir: str | None = None) -> Url:
+def _base(text: str, known: dict[str, Url]) -> Url:
+    """A base parsed once for each batch."""
+    if text not in known:
+        known[text] = whatwg.parse(text)
+    return known[text]
+
+
+def resolve_text(text: str, kind: str, origin: str | None, path: str | None, root_dir: str | None = None, known: dict[str, Url] | None = None) -> Url:
     """The URL of a link text; raises UrlError, or LookupError for a root-relative link without a root."""
+    known = {} if known is None else known
     bare = text.lstrip(" \t\n\f\r")
     if not bare.strip():
         raise UrlError("empty")
     try:
-        return _parse(text)
+        return whatwg.parse(text)
     except UrlError as e:
         if str(e) != "relative URL without a base":
             raise
         if is_email_link(bare.strip()):
-            return _parse("mailto:" + bare.strip())
+            return whatwg.parse("mailto:" + bare.strip())
     rooted = bare.startswith("/") and not bare.startswith("//")
     if rooted and root_dir and (kind == "none" or (origin or "").startswith("file:")):
-        return whatwg.parse("." + bare, _parse("file://" + (root_dir if root_dir.endswith("/") else root_dir + "/")))
+        return whatwg.parse("." + bare, _base("file://" + (root_dir if root_dir.endswith("/") else root_dir + "/"), known))
     if kind == "none" or not origin:
         raise UrlError("relative URL without a base")
-    start = _parse(origin)
+    start = _base(origin, known)
     if kind == "no_root":
         if rooted:
             raise LookupError(text)
@@ -104,11 +109,11 @@ def resolve_text(text: str, kind: str, origin: str | None, path: str | None, roo
     return whatwg.parse(text, whatwg.parse(path or "", start))
 
 
-def _resolved(text, kind, origin, path, root_dir) -> dict:
+def _resolved(text, kind, origin, path, root_dir, known) -> dict:
     try:
         if text is None or text == "":
             return {"error_kind": "EmptyUrl", "error_text": "Empty URL found but a URL must not be empty"}
-        return {"uri": str(_without_empty_segment(resolve_text(text, kind or "none", origin, path, root_dir)))}
+        return {"uri": str(_without_empty_segment(resolve_text(text, kind or "none", origin, path, root_dir, known)))}
     except LookupError:
         return {"error_kind": "RootRelativeLinkWithoutRoot", "error_text": f"Cannot resolve root-relative link '{text}'"}
     except UrlError as e:
@@ -117,29 +122,33 @@ def _resolved(text, kind, origin, path, root_dir) -> dict:
         return {"error_kind": "ParseUrl", "error_text": f"Cannot parse '{text}' into a URL: {e}"}
 
 
-def resolved(text: Column, base: Column, root_dir: str | None = None) -> Column:
-    """struct(uri, error_kind, error_text) of link texts."""
+def resolve_links(rows: DataFrame, text: Column, base: Column, root_dir: str | None = None) -> DataFrame:
+    """Rows with uri, error_kind and error_text of their link texts. Each step is a column of its own, so no expression is evaluated twice."""
 
     def run(texts: pa.Array, kinds: pa.Array, origins: pa.Array, paths: pa.Array, rest: pa.Array) -> pa.Array:
-        rows = zip(texts.to_pylist(), kinds.to_pylist(), origins.to_pylist(), paths.to_pylist(), rest.to_pylist(), strict=True)
-        return pa.array([_resolved(t, k, o, p, root_dir) if todo else {} for t, k, o, p, todo in rows], _RESOLVED)
+        known: dict[str, Url] = {}
+        columns = zip(texts.to_pylist(), kinds.to_pylist(), origins.to_pylist(), paths.to_pylist(), rest.to_pylist(), strict=True)
+        return pa.array([_resolved(t, k, o, p, root_dir, known) if todo else {} for t, k, o, p, todo in columns], _RESOLVED)
 
+    columns = rows.columns
+    rows = rows.withColumn("_text", text).withColumn("_base", base)
+    b = F.col("_base")
     host_root = r"^https?://[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*\.[a-z][a-z0-9-]*[a-z]/$"
-    joined = F.concat(F.rtrim(base["origin"], F.lit("/")), text)
-    simple = text.rlike(U.CANONICAL)
-    under_root = (base["kind"] == "full") & F.startswith(text, F.lit("/")) & base["origin"].rlike(host_root) & joined.rlike(U.CANONICAL)
-    bare_host = text.rlike(r"^https?://[^/?#]*$")
-    quick = F.when(simple & ~bare_host, text).when(simple, F.concat(text, F.lit("/"))).when(under_root, joined)
-    slow = F.arrow_udf(run, RESOLVED)(text, base["kind"], base["origin"], base["path"], quick.isNull())
-    none = F.lit(None).cast("string")
-    return F.when(quick.isNotNull(), F.struct(quick.alias("uri"), none.alias("error_kind"), none.alias("error_text"))).otherwise(slow)
+    under_root = (b["kind"] == "full") & F.startswith("_text", F.lit("/")) & b["origin"].rlike(host_root)
+    rows = rows.withColumn("_quick", F.when(under_root, F.concat(F.rtrim(b["origin"], F.lit("/")), "_text")).otherwise(F.col("_text")))
+    # a bare host gets its slash
+    rows = rows.withColumn("_quick", F.when(F.col("_quick").rlike(U.CANONICAL), F.regexp_replace("_quick", "^(https?://[^/?#]*)$", "$1/")))
+    # marked so that filters on the result are not pushed below it, where the parser would run once more for each of them
+    slow = F.arrow_udf(run, RESOLVED).asNondeterministic()
+    rows = rows.withColumn("_slow", slow("_text", b["kind"], b["origin"], b["path"], F.col("_quick").isNull()))
+    return rows.select(*columns, F.coalesce("_quick", "_slow.uri").alias("uri"), F.when(F.col("_quick").isNull(), F.col("_slow.error_kind")).alias("error_kind"), F.when(F.col("_quick").isNull(), F.col("_slow.error_text")).alias("error_text"))
 
 
 def to_requests(raw_links: DataFrame, base_url: str | None = None, root_dir: str | None = None) -> DataFrame:
     """Raw links (source, source_kind, text, ...) with uri or error_kind and error_text."""
     own = with_root_dir(base_from_text(base_url), root_dir) if base_url else None
     base = fallback(base_of_source(F.col("source"), F.col("source_kind")), own)
-    return raw_links.withColumn("_r", resolved(F.col("text"), base, root_dir)).select(*raw_links.columns, "_r.*")
+    return resolve_links(raw_links, F.col("text"), base, root_dir)
 
 
 def split_errors(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +156,7 @@ def split_errors(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return requests.where("uri is not null"), requests.where("uri is null")
 
 
-def parsed(text: Column) -> Column:
-    """struct(uri, error_kind, error_text) of texts that stand alone."""
+def parsed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Rows with uri, error_kind and error_text of texts that stand alone."""
     none = F.lit(None).cast("string")
-    return resolved(text, F.struct(F.lit("none").alias("kind"), none.alias("origin"), none.alias("path")))
+    return resolve_links(rows, F.col(text), F.struct(F.lit("none").alias("kind"), none.alias("origin"), none.alias("path")))

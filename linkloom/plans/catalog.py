@@ -2,23 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from linkloom.plans import extract_queries, join_queries, stat_queries, uri_queries
 
-from linkloom.session import table
-
-
-def q01_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct page count and link count for each link target of ``pages``."""
-    links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.expr("regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)")).alias("link"))
-    return links.groupBy("link").agg(F.count("*").alias("n_links"))
-
-
-QUERIES = {"q01_page_links": q01_page_links}
-ORACLES = {
-    "q01_page_links": """
-SELECT link, count(*) AS n_links
-FROM (SELECT unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages)
-GROUP BY link
-""",
-}
+_PARTS = (join_queries, uri_queries, extract_queries, stat_queries)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
