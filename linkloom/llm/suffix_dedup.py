@@ -23,9 +23,10 @@ multikey quicksort, and neighbours are compared. Only the first and last row of
 bucket can depend on another one; those rows, two for each bucket, are compared
 across the boundaries.
 
-Texts are shuffled once, into a table in buckets of doc_id and a hash of the text, in
-which each step and the removal find them again without a shuffle of texts. By the
-hash, rows that repeat a doc_id are kept apart unless they are equal.
+Texts are shuffled once, into a table in buckets of a key (doc_id, or the smallest
+number if that is null) and a hash of the text, in which each step and the removal
+find them again by plain equality, without a shuffle of texts. By the hash, rows that
+repeat a doc_id are kept apart unless they are equal.
 
 Edge cases: null texts are empty; texts shorter than ``LENGTH`` keep all; equal rows
 repeat each other; an empty table gives an empty result; extra columns are kept by
@@ -57,8 +58,9 @@ SAMPLE_ROWS = 200_000
 BLOCK = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-TOKENS = "t1 bigint, t2 bigint, t3 bigint, doc_id bigint, th int, at bigint, bucket int"
-_NAMES = ["t1", "t2", "t3", "doc_id", "th", "at", "bucket"]
+TOKENS = "t1 bigint, t2 bigint, t3 bigint, key bigint, th int, at bigint, bucket int"
+_NAMES = ["t1", "t2", "t3", "key", "th", "at", "bucket"]
+LOWEST = -(2**63)
 
 
 def _loads(data: bytes) -> np.ndarray:
@@ -144,7 +146,7 @@ def multikey_quicksort(keys: list[np.ndarray], small: int = 2048) -> np.ndarray:
 
 
 def bucket_of(splitters: list[tuple[int, ...]], keys: list[np.ndarray]) -> np.ndarray:
-    """Number of splitters (t1, t2, t3, doc_id, at) that are at or before each row."""
+    """Number of splitters (t1, t2, t3, key, at) that are at or before each row."""
     n = len(keys[0])
     if not splitters:
         return np.zeros(n, np.int32)
@@ -196,20 +198,20 @@ def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(rows: DataFrame, buckets: int) -> DataFrame:
-    """Range partitions of the token rows, sorted and compared: doc_id, th, at, state of those with a state."""
+    """Range partitions of the token rows, sorted and compared: key, th, at, state of those with a state."""
     dealt = rows.repartitionById(buckets, F.col("bucket"))
-    flagged = written(dealt.mapInArrow(_in_buckets, "t1 bigint, t2 bigint, t3 bigint, doc_id bigint, th int, at bigint, state int, edge boolean"), "repeats")
+    flagged = written(dealt.mapInArrow(_in_buckets, "t1 bigint, t2 bigint, t3 bigint, key bigint, th int, at bigint, state int, edge boolean"), "repeats")
     # two rows of each bucket, compared across the boundaries
-    ends = flagged.where("edge").groupBy("t1", "t2", "t3").agg(F.count("*").alias("n"), F.collect_list(F.struct("doc_id", "th", "at", "state")).alias("rows"))
+    ends = flagged.where("edge").groupBy("t1", "t2", "t3").agg(F.count("*").alias("n"), F.collect_list(F.struct("key", "th", "at", "state")).alias("rows"))
     leads = ends.groupBy("t1", "t2").agg(F.count("*").alias("m"))
     ends = ends.join(leads, ["t1", "t2"]).select("n", "m", F.explode("rows").alias("r"))
     across = F.when(F.col("n") > 1, 2).otherwise(0).bitwiseOR(F.when(F.col("m") > 1, 1).otherwise(0))
-    ends = ends.select("r.doc_id", "r.th", "r.at", F.col("r.state").bitwiseOR(across).alias("state"))
-    return flagged.where("not edge").select("doc_id", "th", "at", "state").unionByName(ends).where("state > 0")
+    ends = ends.select("r.key", "r.th", "r.at", F.col("r.state").bitwiseOR(across).alias("state"))
+    return flagged.where("not edge").select("key", "th", "at", "state").unionByName(ends).where("state > 0")
 
 
 def token_rows(texts: DataFrame, splitters: list[tuple[int, ...]], step: int, length: int) -> DataFrame:
-    """Token rows of texts (doc_id, th, text) or of parts of their open ranges (doc_id, th, text, ats)."""
+    """Token rows of texts (key, th, text) or of parts of their open ranges (key, th, text, ats)."""
     open_ = "ats" in texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,19 +219,17 @@ def token_rows(texts: DataFrame, splitters: list[tuple[int, ...]], step: int, le
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
                 cols: list[list] = [[], [], [], [], [], []]
                 many = part.column(3).to_pylist() if open_ else [None] * part.num_rows
-                for doc_id, th, text, ats in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), many, strict=True):
+                for key, th, text, ats in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), many, strict=True):
                     data = (text or "").encode("utf-8", "surrogatepass")
                     if len(data) < length:
                         continue
                     t1, t2, t3, at = tokens(data, ats, step, length)
-                    for c, v in zip(cols, (t1, t2, t3, [doc_id] * len(at), [th] * len(at), at), strict=True):
+                    for c, v in zip(cols, (t1, t2, t3, [key] * len(at), [th] * len(at), at), strict=True):
                         c.extend(v)
                 if cols[0]:
-                    t1, t2, t3, at = (np.array(c, np.int64) for c in (*cols[:3], cols[5]))
-                    ids = pa.array(cols[3], pa.int64())
-                    order_id = np.array([-(2**63) if x is None else x for x in cols[3]], np.int64)
-                    bucket = bucket_of(splitters, [t1, t2, t3, order_id, at])
-                    yield pa.RecordBatch.from_arrays([pa.array(t1), pa.array(t2), pa.array(t3), ids, pa.array(cols[4], pa.int32()), pa.array(at), pa.array(bucket)], names=_NAMES)
+                    t1, t2, t3, keys, at = (np.array(c, np.int64) for c in (*cols[:4], cols[5]))
+                    bucket = bucket_of(splitters, [t1, t2, t3, keys, at])
+                    yield pa.RecordBatch.from_arrays([pa.array(t1), pa.array(t2), pa.array(t3), pa.array(keys), pa.array(cols[4], pa.int32()), pa.array(at), pa.array(bucket)], names=_NAMES)
 
     return texts.mapInArrow(run, TOKENS)
 
@@ -239,38 +239,38 @@ def _splitters(texts: DataFrame, n_texts: int, step: int, length: int) -> list[t
     if not n_texts:
         return []
     part = min(1.0, 2_000 / n_texts)
-    sample = texts.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(1_000_000)) < int(max(1, part * 1_000_000)))
+    sample = texts.where(F.pmod(F.xxhash64("key", "th"), F.lit(1_000_000)) < int(max(1, part * 1_000_000)))
     rows = token_rows(sample, [], step, length)
-    chosen = rows.orderBy(F.xxhash64("t2", "t3", "at", "doc_id")).limit(SAMPLE_ROWS).select("t1", "t2", "t3", "doc_id", "at").toPandas()
+    chosen = rows.orderBy(F.xxhash64("t2", "t3", "at", "key")).limit(SAMPLE_ROWS).select("t1", "t2", "t3", "key", "at").toPandas()
     if not len(chosen):
         return []
     total = len(chosen) / part
     n = max(slots(texts.sparkSession), int(total / BUCKET_ROWS) + 1)
-    lowest = -(2**63)
-    keys = sorted((int(r[0]), int(r[1]), int(r[2]), lowest if r[3] != r[3] or r[3] is None else int(r[3]), int(r[4])) for r in chosen.itertuples(index=False))
+    keys = sorted(tuple(map(int, r)) for r in chosen.itertuples(index=False))
     return sorted({keys[len(keys) * k // n] for k in range(1, n)})
 
 
 def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per text (doc_id, th, text) with repeats: doc_id, th and spans, byte ranges [first, past last) in no order, that may overlap."""
-    rows, n, out = texts.select("doc_id", "th", "text"), None, None
+    """Per text (key, th, text) with repeats: key, th and spans, byte ranges [first, past last) in no order, that may overlap."""
+    rows, n, out = texts.select("key", "th", "text"), None, None
     for step in STEPS:
         n = texts.count() if n is None else open_.count()
         cuts = _splitters(rows, n, step, length)
         found = compared(token_rows(rows, cuts, step, length), len(cuts) + 1)
-        sure = found.where("state & 2 = 2").select("doc_id", "th", F.expr("shiftright(at, 16) - (shiftright(at, 8) & 255)").alias("a"), F.expr(f"shiftright(at, 16) - (at & 255) + {length}").alias("b"))
+        sure = found.where("state & 2 = 2").select("key", "th", F.expr("shiftright(at, 16) - (shiftright(at, 8) & 255)").alias("a"), F.expr(f"shiftright(at, 16) - (at & 255) + {length}").alias("b"))
         out = sure if out is None else out.unionByName(sure)
         if step > 1:
-            open_ = written(found.where("state & 1 = 1").groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_list("at").alias("ats")), "open")
-            rows = texts.join(open_, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("doc_id", "th", "text", "ats")
-    return out.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+            open_ = written(found.where("state & 1 = 1").groupBy("key", "th").agg(F.collect_list("at").alias("ats")), "open")
+            rows = texts.join(open_, ["key", "th"]).select("key", "th", "text", "ats")
+    return out.groupBy("key", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def bucketed(docs: DataFrame) -> DataFrame:
-    """The rows with doc_id (as bigint) and th, the hash of the text, as a table in buckets of both."""
+    """The rows (doc_id as bigint, text, more) with key and th as a table in buckets of both."""
     spark = docs.sparkSession
     name, n = kept_as("table", f"linkloom_texts_{uuid.uuid4().hex}"), slots(spark)
-    docs.repartition(n, "doc_id", "th").write.bucketBy(n, "doc_id", "th").option("compression", "zstd").saveAsTable(name)
+    rows = docs.withColumn("key", F.coalesce("doc_id", F.lit(LOWEST).cast("bigint"))).withColumn("th", F.hash("text"))
+    rows.repartition(n, "key", "th").write.bucketBy(n, "key", "th").option("compression", "zstd").saveAsTable(name)
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the files of the finished shuffle
     return spark.table(name)
 
@@ -295,14 +295,13 @@ def cut_out(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(texts: DataFrame, length: int) -> DataFrame:
-    """All columns of the texts and, last, the spans."""
-    found = spans(texts, length).select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("spans").alias("linkloom_spans"))
-    return texts.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left").drop("d", "h")
+    """All columns of the texts and the spans."""
+    return texts.join(spans(texts, length).withColumnRenamed("spans", "linkloom_spans"), ["key", "th"], "left")
 
 
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """What the contract asks for."""
-    texts = bucketed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.hash("text").alias("th")))
+    texts = bucketed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     joined = _with_spans(texts, length).select("doc_id", "text", "linkloom_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +322,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """All rows and columns; repeated strings are cut out of ``text`` and ``n_chars``, if it is there, is counted anew where that changed the text."""
     columns = docs.columns
     own = {c: f"c{k}" for k, c in enumerate(columns)}  # no name of theirs can clash here
-    texts = bucketed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), F.hash("text").alias("th"), *(F.col(f"`{c}`").alias(own[c]) for c in columns if c != "text")))
+    texts = bucketed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), *(F.col(f"`{c}`").alias(own[c]) for c in columns if c != "text")))
     joined = _with_spans(texts, length).select(*("text" if c == "text" else own[c] for c in columns), "linkloom_spans")
     at, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
     kinds = docs.schema
