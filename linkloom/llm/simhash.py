@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import slots, written
+from linkloom.llm.common import fresh, slots, written
 
 BUDGET = 3
 WORDS = 3
@@ -308,8 +308,17 @@ def sketch(text: str | None, words: int, seed: int = SEED) -> tuple[np.ndarray,
     return fp, routes
 
 
+def _member() -> list[Column]:
+    """missing, key and th of a row with doc_id and text."""
+    doc_id = F.col("doc_id").cast("bigint")
+    return [doc_id.isNull().alias("missing"), F.coalesce(doc_id, F.lit(-(2**63)).cast("bigint")).alias("key"), F.xxhash64("text").alias("th")]
+
+
 def similar_groups(docs: DataFrame, words: int, similarity: float, max_node: int = MAX_NODE) -> DataFrame:
-    """Per row of ``docs``: doc_id and group (the smallest doc_id of the texts that it reaches over links of at least ``similarity``).
+    """Per row of ``docs``: member and group, the first member of the texts that it reaches over links of at least ``similarity``.
+
+    A member is struct(missing, key, th): whether doc_id is null, doc_id (or the smallest
+    number), a hash of the text; so the first one is unique but for equal rows.
 
     The Jaccard similarity of two sets of shingles is read from the differing bits of
     their fingerprints of 256 bits. Tries of so wide a budget prune late, so texts are
@@ -321,12 +330,13 @@ def similar_groups(docs: DataFrame, words: int, similarity: float, max_node: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = np.array([np.concatenate(sketch(t, words)) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols.T)], names=["doc_id", *names])
+            cols = np.array([np.concatenate(sketch(t, words)) for t in batch.column(3).to_pylist()], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(c)) for c in cols.T)], names=["missing", "key", "th", *names])
 
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in names))
+    found = docs.select(*_member(), "text").mapInArrow(run, "missing boolean, key bigint, th bigint, " + ", ".join(f"{c} bigint" for c in names))
+    found = found.select(F.struct("missing", "key", "th").alias("member"), *names)
     found = written(found.withColumn("id", F.xxhash64(*names[:SIMILAR_WORDS])), "sketches")
-    distinct = written(found.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in names)), "distinct")
+    distinct = written(found.groupBy("id").agg(F.min("member").alias("first"), *(F.min(c).alias(c) for c in names)), "distinct")
     routes = F.explode(F.array(*(F.xxhash64(F.lit(k), f"r{k}") for k in range(ROUTES))))
     rows = distinct.select("id", *names[:SIMILAR_WORDS], routes.alias("node"))
     sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
@@ -343,13 +353,17 @@ def similar_groups(docs: DataFrame, words: int, similarity: float, max_node: int
     lowest = linked.groupBy("root").agg(F.min("first").alias("group"))
     linked = linked.join(lowest, "root").select(F.col("id").alias("linked_id"), "group")
     named = distinct.select("id", "first").join(linked, F.col("id") == F.col("linked_id"), "left").select(F.col("id").alias("own_id"), F.coalesce("group", "first").alias("group"))
-    return found.select("doc_id", "id").join(named, F.col("id") == F.col("own_id")).select("doc_id", "group")
+    return found.select("member", "id").join(named, F.col("id") == F.col("own_id")).select("member", "group")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest doc_id; all columns stay.
+    """One document of each group of near duplicates stays, that with the smallest doc_id (nulls last); all columns stay.
 
-    Of rows that repeat a kept doc_id and text one stays.
+    Of equal rows one stays. Texts are shuffled once, by plain keys: the same partitions
+    serve the join with the kept ones and the search for equal rows.
     """
-    kept = similar_groups(docs, words, similarity).where(F.col("doc_id").eqNullSafe(F.col("group"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("kept_id"))).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    kept = similar_groups(docs, words, similarity).where(F.col("member") == F.col("group")).select("member.*").distinct()
+    names = [fresh(docs.columns, x) for x in ("missing", "key", "th")]
+    kept = kept.toDF(*names)
+    rows = docs.select("*", *(c.alias(n) for c, n in zip(_member(), names, strict=True)))
+    return rows.join(kept, names).dropDuplicates([*names, "text"]).select(*docs.columns)

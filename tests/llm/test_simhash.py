@@ -108,5 +108,7 @@ def test_near_dedup_by_jaccard(spark):
 
 
 def test_near_dedup_keeps_one_of_equal_rows(spark):
-    docs = spark.createDataFrame([(4, "a b c"), (4, "a b c"), (2, "a b c"), (None, "q r"), (None, "q r"), (9, None)], "doc_id bigint, text string")
-    assert sorted(map(tuple, SH.near_dedup(docs).collect()), key=repr) == [(2, "a b c"), (9, None), (None, "q r")]
+    rows = [(4, "a b c"), (4, "a b c"), (2, "a b c"), (None, "q r"), (None, "q r"), (None, "Q r"), (9, None), (7, "x y"), (7, "A b c"), (7, "z")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, key int")
+    kept = sorted((r[:2] for r in map(tuple, SH.near_dedup(docs).collect())), key=repr)
+    assert len(kept) == 5 and kept[:4] == [(2, "a b c"), (7, "x y"), (7, "z"), (9, None)] and kept[4][0] is None
