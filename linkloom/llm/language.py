@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 WINDOW = 128
 HIDDEN = 8
 TRAIN_DOCS = 400
+SHARES = 64
 STEPS = 360
 BATCH = 192
 TRAIN_WINDOW = 64
@@ -197,7 +198,9 @@ def remainder(n: int):
 def training_rows(docs: DataFrame, each: int) -> tuple[list[bytes], np.ndarray, list[str]]:
     """At most ``each`` texts of every language, not held out, to the driver."""
     ids = docs.where(F.col("lang").isNotNull() & (remainder(3) != 1)).select(F.col("doc_id").alias("train_id"), F.col("lang").alias("train_lang"), F.xxhash64("doc_id").alias("order"))
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("train_lang").orderBy("order", "train_id"))).where(F.col("k") <= each).select("train_id", "train_lang")
+    # the first of each share of the hashes, then of all: no task gets more than `each` rows of a share or SHARES * each of a language
+    first = lambda df, *keys: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("order", "train_id"))).where(F.col("k") <= each)
+    ids = first(first(ids.withColumn("share", F.pmod(F.col("order"), F.lit(SHARES))), "train_lang", "share"), "train_lang").select("train_id", "train_lang")
     found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("train_id"))  # bounded by `each` for a language
     rows = [(encode(r[1]), r[2], r[0]) for r in found.select("doc_id", "text", "train_lang").toLocalIterator() if r[1] and _LETTER.search(r[1])]
     rows.sort(key=lambda r: (r[2], r[1], r[0]))
