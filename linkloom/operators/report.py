@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 from xml.sax.saxutils import escape, quoteattr
@@ -149,10 +150,15 @@ def detailed(responses: DataFrame, suggestions: DataFrame | None = None, mode: s
     return text
 
 
+def _width(text: str) -> int:
+    """Columns of a terminal that a text takes."""
+    return sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
 def table(heads: list[str], rows: list[list[str]]) -> str:
     """A Markdown table, left-aligned."""
-    wide = [max(len(r[k]) for r in [heads, *rows]) for k in range(len(heads))]
-    line = lambda r: "| " + " | ".join(x.ljust(w) for x, w in zip(r, wide, strict=True)) + " |"
+    wide = [max(_width(r[k]) for r in [heads, *rows]) for k in range(len(heads))]
+    line = lambda r: "| " + " | ".join(x + " " * (w - _width(x)) for x, w in zip(r, wide, strict=True)) + " |"
     return "\n".join([line(heads), "|" + "|".join("-" * (w + 2) for w in wide) + "|", *map(line, rows)])
 
 

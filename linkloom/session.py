@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
-    """A local session with the settings that the tests and the bench share."""
+def local_session(cpus: str = "*", partitions: int = 8, more: dict[str, str] | None = None) -> SparkSession:
+    """A local session with the settings that the tests and the bench share, and ``more``."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("linkloom")
@@ -16,6 +16,7 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=more or {})
         .getOrCreate()
     )
 

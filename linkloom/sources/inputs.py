@@ -64,10 +64,32 @@ def from_urls(urls: DataFrame, http_snapshot: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, paths: Sequence[str], exclude_path: Sequence[str] = (), hint: str | None = None) -> DataFrame:
-    """Files as they are named, whatever their extension. Files that are no UTF-8 are left out."""
-    if not paths:
+    """Files as they are named, whatever their extension. Files that are no UTF-8 are left out.
+
+    Spark's sources pass over names that begin with a dot or an underscore; such files are
+    opened by the tasks themselves, so they have to be on a file system that all mount.
+    """
+    passed_over = [p for p in paths if os.path.basename(p)[:1] in (".", "_")]
+    rest = [p for p in paths if os.path.basename(p)[:1] not in (".", "_")]
+    parts = []
+    if rest:
+        parts.append(spark.read.format("binaryFile").load(rest).select("path", "content"))
+    if passed_over:
+        parts.append(_opened(spark.createDataFrame([(p,) for p in passed_over], "path string")))
+    if not parts:
         return spark.createDataFrame([], CONTENTS)
-    return _decoded(spark.read.format("binaryFile").load(list(paths)), exclude_path, hint)
+    binary = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _decoded(binary, exclude_path, hint)
+
+
+def _opened(paths: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open(path, "rb") as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], names=["path", "content"])
+
+    return paths.mapInArrow(run, "path string, content binary")
 
 
 def _decoded(binary: DataFrame, exclude_path: Sequence[str], hint: str | None) -> DataFrame:

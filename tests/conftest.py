@@ -11,13 +11,15 @@ SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from pyspark.sql import SparkSession
-
     from linkloom.session import local_session
 
     shared = tmp_path_factory.mktemp("shared")
-    SparkSession.builder.config("spark.sql.warehouse.dir", str(shared / "warehouse")).config("spark.checkpoint.dir", str(shared / "checkpoints")).config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    session = local_session("8", 4)
+    own = {
+        "spark.sql.warehouse.dir": str(shared / "warehouse"),
+        "spark.checkpoint.dir": str(shared / "checkpoints"),
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
+    session = local_session("8", 4, own)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
