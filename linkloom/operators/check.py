@@ -227,24 +227,28 @@ def run_chain(requests: DataFrame, handlers: Sequence[Handler]) -> DataFrame:
 def check(requests: DataFrame, snapshots: Snapshots, config: LinkCheckConfig) -> DataFrame:
     """Responses of requests (source, source_kind, uri, error_kind, error_text, span and more).
 
-    Adds status, redirects, remap, duration_ms; error rows get the URI ``error:``.
+    Adds status, redirects, remap, duration_ms; error rows get the URI ``error:``. The
+    requests are read twice, for their distinct URIs and for the rows; where making them
+    is costly, pass them as a stored table (``plans.pipeline.check_links(store=...)``).
     """
     from linkloom.operators import cache as C
 
     rows = prepared(requests, config)
-    todo = rows.where("uri is not null and not excluded").select("uri").distinct()
+    # the scheme as an aggregate, so that the branches below filter above one exchange, which Spark then makes once
+    todo = rows.where("uri is not null and not excluded").groupBy("uri").agg(F.max(U.scheme(F.col("uri"))).alias("scheme"))
     cached = None
     if snapshots.cache is not None:
-        hits = todo.join(snapshots.cache.select("uri", F.col("status").alias("stored")), "uri")
+        hits = todo.select("uri").join(snapshots.cache.select("uri", F.col("status").alias("stored")), "uri")
         cached = hits.select("uri", S.from_cache(S.cache_kind(F.col("stored")), config.accepted).alias("status"), F.lit(None).cast(f"struct<origin:string,redirects:{REDIRECTS}>").alias("redirects"), F.lit(None).cast("double").alias("duration_ms"))
         todo = C.misses(todo, snapshots.cache)
-    scheme = U.scheme(F.col("uri"))
-    parts = [check_http(todo.where(scheme.isin("http", "https")), snapshots, config), check_mail(todo.where(scheme == "mailto"), snapshots.mail)]
+    of = lambda test: todo.where(test).select("uri")
+    scheme = F.col("scheme")
+    parts = [check_http(of(scheme.isin("http", "https")), snapshots, config), check_mail(of(scheme == "mailto"), snapshots.mail)]
+    known = ["http", "https", "mailto"]
     if snapshots.files is not None:
-        parts.append(check_files(todo.where(scheme == "file"), snapshots, config))
-        parts.append(unsupported(todo.where(~scheme.isin("http", "https", "mailto", "file"))))
-    else:
-        parts.append(unsupported(todo.where(~scheme.isin("http", "https", "mailto"))))
+        parts.append(check_files(of(scheme == "file"), snapshots, config))
+        known.append("file")
+    parts.append(unsupported(of(~scheme.isin(known))))
     if cached is not None:
         parts.append(cached)
     outcomes = parts[0]

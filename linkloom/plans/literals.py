@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,8 @@ def page_snapshot(requests: DataFrame) -> DataFrame:
 
 def page_responses(spark: SparkSession, sf_dir: str, config: LinkCheckConfig | None = None, quick: bool = True) -> DataFrame:
     config = config or LinkCheckConfig()
-    requests = page_requests(spark, sf_dir, config, quick)
+    # read three times below: for the made-up snapshot, the distinct URIs and the rows
+    requests = page_requests(spark, sf_dir, config, quick).persist(StorageLevel.MEMORY_AND_DISK)
     return C.check(requests, C.Snapshots(http=page_snapshot(requests)), config)
 
 

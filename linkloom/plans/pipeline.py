@@ -16,10 +16,18 @@ def requests_of(contents: DataFrame, config: LinkCheckConfig) -> DataFrame:
     return resolve.to_requests(links, config.base_url, config.root_dir)
 
 
-def check_links(contents: DataFrame, snapshots: C.Snapshots, config: LinkCheckConfig | None = None) -> DataFrame:
-    """Responses of all links in the documents."""
+def check_links(contents: DataFrame, snapshots: C.Snapshots, config: LinkCheckConfig | None = None, store: str | None = None) -> DataFrame:
+    """Responses of all links in the documents.
+
+    With ``store``, a folder that driver and executors share, the requests are written
+    there once as Parquet, so documents are parsed once however often links are read.
+    """
     config = config or LinkCheckConfig()
-    return C.check(requests_of(contents, config), snapshots, config)
+    requests = requests_of(contents, config)
+    if store is not None:
+        requests.write.mode("overwrite").parquet(store)
+        requests = contents.sparkSession.read.schema(requests.schema).parquet(store)
+    return C.check(requests, snapshots, config)
 
 
 def summary(contents: DataFrame, snapshots: C.Snapshots, config: LinkCheckConfig | None = None) -> DataFrame:

@@ -66,6 +66,13 @@ def test_other_reports(responses):
     assert len(cases) == 9 and sum(c.find("failure") is not None for c in cases) == 3 and sum(c.find("skipped") is not None for c in cases) == 1
 
 
+def test_stored_requests_give_the_same(world, responses, tmp_path):
+    docs, snapshots = world
+    stored = pipeline.check_links(docs, snapshots, LinkCheckConfig(include_mail=True), store=str(tmp_path / "requests"))
+    key = lambda df: sorted(map(str, df.select("source", "uri", "status", "span").collect()))
+    assert key(stored) == key(responses)
+
+
 def test_hints(responses):
     got = {r[0] for r in report.hints(responses, LinkCheckConfig()).collect()}
     assert got == {report.HINT_RATE_LIMIT.replace("{}", "h.org"), report.HINT_CODES, report.HINT_REDIRECTS.format(1, "redirect")}
