@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 WINDOW = 128
 HIDDEN = 8
 TRAIN_DOCS = 400
-SHARES = 64
+SHARES = 16
 STEPS = 360
 BATCH = 192
 TRAIN_WINDOW = 64
