@@ -38,6 +38,18 @@ def _step(b: Column, x: Column) -> Column:
     )
 
 
+def reset_ms(headers: Column, code: Column) -> Column:
+    """Milliseconds until a limit is lifted, by the headers of a response; null where it is not limited.
+
+    ``retry-after`` counts for 429 and 503; else a reset time (seconds to wait) counts
+    where no requests remain.
+    """
+    number = lambda *names: F.coalesce(*(F.try_to_number(F.try_element_at(headers, F.lit(n)), F.lit("9999999999")).cast("bigint") for n in names))
+    after = F.when(code.isin(429, 503), number("retry-after"))
+    reset = F.when(number("ratelimit-remaining", "x-ratelimit-remaining", "x-rate-limit-remaining") == 0, number("ratelimit-reset", "x-ratelimit-reset", "x-rate-limit-reset"))
+    return F.nullif(F.coalesce(after, reset), F.lit(0).cast("bigint")) * 1000
+
+
 #: After so many 429s and 5xxs in a row the wait is the same whatever it was before:
 #: a wait grows by 200 ms a step at least until a cap makes all of them equal.
 SETTLED = 64

@@ -7,6 +7,8 @@ limited by its own pace, not by the cluster.
 
 from __future__ import annotations
 
+import json
+import os
 import time
 from collections.abc import Callable, Iterator
 
@@ -24,6 +26,28 @@ _NAMES = ["method", "url_nofrag", "status", "error_class", "error_message", "hea
 Fetch = Callable[[str, str, dict[str, str], float], dict]
 
 
+def load_cookies(path: str) -> list[dict]:
+    """A cookie jar: a JSON list of name, value, domain, path."""
+    if not os.path.exists(path):
+        return []
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    if not isinstance(found, list) or not all(isinstance(c, dict) and {"name", "value", "domain"} <= c.keys() for c in found):
+        raise ValueError("Cookie handling error: a list of cookies is asked for. Check cookie file format")
+    return found
+
+
+def save_cookies(path: str, cookies: list[dict]) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(cookies, f, indent=1)
+
+
+def cookie_header(cookies: list[dict], host: str, path: str = "/") -> str:
+    """The Cookie header for a host: cookies of its domain and of those above it."""
+    fit = lambda c: (host == c["domain"].lstrip(".") or host.endswith("." + c["domain"].lstrip("."))) and path.startswith(c.get("path", "/"))
+    return "; ".join(f"{c['name']}={c['value']}" for c in cookies if fit(c))
+
+
 def urllib_fetch(method: str, url: str, headers: dict[str, str], timeout_s: float) -> dict:
     """One request with the standard library; gives the columns of a snapshot but the first two."""
     import socket
@@ -58,6 +82,7 @@ def fetch(urls: DataFrame, config: LinkCheckConfig, get: Fetch = urllib_fetch, s
     """Snapshot rows of distinct URLs (url, without fragments) for each method of the configuration."""
     interval, timeout_s, retries, first = config.get("host_request_interval_ms"), config.get("timeout_s"), config.get("max_retries"), config.get("retry_wait_s")
     headers = {"user-agent": config.get("user_agent")} | config.headers
+    cookies = load_cookies(config.cookie_jar) if config.cookie_jar else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waits: dict[str, int] = {}
@@ -67,7 +92,8 @@ def fetch(urls: DataFrame, config: LinkCheckConfig, get: Fetch = urllib_fetch, s
                 for attempt in range(retries + 1):
                     sleep(max(interval, waits.get(host, 0)) / 1000)
                     began = time.monotonic()
-                    got = get(method, url, headers, timeout_s)
+                    cookie = cookie_header(cookies, host)
+                    got = get(method, url, headers | ({"cookie": cookie} if cookie else {}), timeout_s)
                     got["duration_ms"] = (time.monotonic() - began) * 1000
                     waits[host] = step(waits.get(host, 0), got.get("status"))
                     if got.get("status") != 429 and got.get("error_class") != "timeout":

@@ -150,6 +150,23 @@ def test_fetcher_makes_a_snapshot(spark, world):
     assert len(rows) == 2 and rows["https://h.org/ok"]["status"] == 200 and rows["https://h.org/no"]["headers"] == {"a": "me"}
 
 
+def test_cookies(tmp_path):
+    jar = tmp_path / "jar.json"
+    assert fetch.load_cookies(str(jar)) == []
+    fetch.save_cookies(str(jar), [{"name": "a", "value": "1", "domain": ".h.org"}, {"name": "b", "value": "2", "domain": "x.h.org", "path": "/p"}])
+    cookies = fetch.load_cookies(str(jar))
+    assert fetch.cookie_header(cookies, "x.h.org", "/p/q") == "a=1; b=2" and fetch.cookie_header(cookies, "h.org") == "a=1" and fetch.cookie_header(cookies, "noth.org") == ""
+    jar.write_text("{}")
+    with pytest.raises(ValueError):
+        fetch.load_cookies(str(jar))
+
+
+def test_reset_headers(spark):
+    rows = [(429, {"retry-after": "2"}), (200, {"retry-after": "2"}), (200, {"x-ratelimit-remaining": "0", "x-ratelimit-reset": "7"}), (200, {"ratelimit-remaining": "3", "ratelimit-reset": "7"}), (429, {"retry-after": "soon"}), (429, None)]
+    df = spark.createDataFrame(rows, "code int, headers map<string,string>")
+    assert [r[0] for r in df.select(backoff.reset_ms(F.col("headers"), F.col("code"))).collect()] == [2000, None, 7000, None, None, None]
+
+
 def test_natural_order():
     assert sorted(["b10", "B9", "a", "b1"], key=report.natural_key) == ["a", "b1", "B9", "b10"]
     assert check.retry_waits(3, 1.0) == [1.0, 2.0, 4.0]
