@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 TRAIN_ROWS = 8_000
 MAX_TERMS = 400
+COVER = 8
 MAX_TERM_VOTERS = 40
 THRESHOLD = 0.3
 CACHED_WORDS = 300_000
@@ -71,7 +72,7 @@ def words_in(text: str | None) -> Counter:
 
 
 def mine(texts: list[str | None], toxic: np.ndarray) -> list[str]:
-    """The terms that mark toxic training texts, best first; a term whose texts those before it mark already is left out."""
+    """The terms that mark toxic training texts, best first; a term is left out where ``COVER`` before it mark most of its texts, or one marks just the same."""
     docs: dict[str, list[int]] = {}
     clean: Counter[str] = Counter()
     for k, text in enumerate(texts):
@@ -87,13 +88,14 @@ def mine(texts: list[str | None], toxic: np.ndarray) -> list[str]:
         rate, against = len(found) / n_toxic, (clean[t] + 0.5) / (n_clean + 1)
         if len(found) >= max(4, 0.005 * n_toxic) and rate > 12 * against:
             scored.append((-np.log(rate / against) * np.sqrt(len(found)), len(t), t))
-    kept, covered = [], Counter()
+    kept, covered, same = [], Counter(), set()
     for _, _, t in sorted(scored):
         if len(kept) == MAX_TERMS:
             break
-        if sum(covered[k] < 3 for k in docs[t]) >= max(2, len(docs[t]) / 8):
+        if tuple(docs[t]) not in same and sum(covered[k] < COVER for k in docs[t]) >= max(2, len(docs[t]) / 8):
             kept.append(t)
             covered.update(docs[t])
+            same.add(tuple(docs[t]))
     return kept
 
 
