@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 TRAIN_ROWS = 8_000
 MAX_TERMS = 400
-COVER = 8
+COVER = 5
 MAX_TERM_VOTERS = 40
 THRESHOLD = 0.3
 CACHED_WORDS = 300_000
