@@ -308,6 +308,20 @@ def sketch(text: str | None, words: int, seed: int = SEED) -> tuple[np.ndarray,
     return fp, routes
 
 
+def _parts(times: Column) -> Column:
+    """Parts of a node so many times too large: two of them together are not, but for chance."""
+    return F.greatest(F.lit(3), F.ceil(2 * times)).cast("int")
+
+
+def _dealt(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``rows`` (node, id and more) with each node of ``crowded`` (node, parts) divided: its ids are dealt into parts, and a new node for every two parts holds both, so any two rows still meet."""
+    part = F.pmod(F.xxhash64(F.lit(7), "id"), F.col("parts").cast("bigint")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != part)
+    node = F.transform(others, lambda k: F.xxhash64("node", F.least(part, k), F.greatest(part, k)))
+    divided = rows.join(crowded, "node").select(*(c for c in rows.columns if c != "node"), F.explode(node).alias("node")).select(*rows.columns)
+    return rows.join(crowded, "node", "left_anti").unionByName(divided)
+
+
 def _member() -> list[Column]:
     """missing, key and th of a row with doc_id and text."""
     doc_id = F.col("doc_id").cast("bigint")
@@ -324,7 +338,8 @@ def similar_groups(docs: DataFrame, words: int, similarity: float, max_node: int
     their fingerprints of 256 bits. Tries of so wide a budget prune late, so texts are
     put together by shared smallest shingles first: two texts of similarity 0.8 share
     none of six in 1 of 16,000 cases. A node with more than ``max_node`` fingerprints
-    is divided by the 16 blocks of 16 bits in them.
+    is dealt out in pairs of parts, so at any size all pairs in it are compared at the
+    same budget.
     """
     names = [*(f"w{k}" for k in range(SIMILAR_WORDS)), *(f"r{k}" for k in range(ROUTES))]
 
@@ -340,14 +355,9 @@ def similar_groups(docs: DataFrame, words: int, similarity: float, max_node: int
     routes = F.explode(F.array(*(F.xxhash64(F.lit(k), f"r{k}") for k in range(ROUTES))))
     rows = distinct.select("id", *names[:SIMILAR_WORDS], routes.alias("node"))
     sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = written(sizes.where(F.col("n") > max_node).select("node"), "crowded")
+    crowded = written(sizes.where(F.col("n") > max_node).select("node", _parts(F.col("n") / max_node).alias("parts")), "crowded")
     budget = similar_budget(similarity)
-    if crowded.isEmpty():
-        edges = _walk(rows, SIMILAR_WORDS, budget)
-    else:
-        blocks = [F.xxhash64("node", F.lit(16 * k + c), F.shiftrightunsigned(f"w{k}", 16 * c).bitwiseAND(F.lit(0xFFFF))) for k in range(SIMILAR_WORDS) for c in range(4)]
-        split = rows.join(crowded, "node", "left_semi").select("id", *names[:SIMILAR_WORDS], F.explode(F.array(*blocks)).alias("node"))
-        edges = _walk(rows.join(crowded, "node", "left_anti"), SIMILAR_WORDS, budget).unionByName(_walk(split, SIMILAR_WORDS, budget))
+    edges = _walk(rows if crowded.isEmpty() else _dealt(rows, crowded), SIMILAR_WORDS, budget)
     reached = written(components(edges), "roots")
     linked = distinct.select("id", "first").join(reached, F.col("id") == F.col("node")).select("id", "root", "first")
     lowest = linked.groupBy("root").agg(F.min("first").alias("group"))

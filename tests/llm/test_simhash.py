@@ -112,3 +112,20 @@ def test_near_dedup_keeps_one_of_equal_rows(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, key int")
     kept = sorted((r[:2] for r in map(tuple, SH.near_dedup(docs).collect())), key=repr)
     assert len(kept) == 5 and kept[:4] == [(2, "a b c"), (7, "x y"), (7, "z"), (9, None)] and kept[4][0] is None
+
+
+def test_crowded_nodes_lose_no_link(spark):
+    """A passage of 70 of 100 words in all documents: its nodes are crowded, and pairs at about 0.82 must be found all the same."""
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(70)]
+    texts = []
+    for g in range(150):
+        own = [f"g{g}x{k}" for k in range(34)]
+        texts.append(" ".join(passage + own))
+        copy = list(own)
+        copy[rng.randrange(5, 15)], copy[rng.randrange(20, 29)] = "other", "another"
+        texts.append(" ".join(passage + copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    few = {r["member"]["key"]: r["group"]["key"] for r in SH.similar_groups(docs, 5, 0.8, max_node=20).collect()}
+    whole = {r["member"]["key"]: r["group"]["key"] for r in SH.similar_groups(docs, 5, 0.8).collect()}
+    assert few == whole
