@@ -42,6 +42,7 @@ MAX_NODE = 4096
 LEAF_PAIRS = 64
 CHUNK_ROWS = 400_000
 PAIRS_AT_ONCE = 2_000_000
+ASK_AT_ONCE = 256
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -100,8 +101,21 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = _flat(label)
 
 
-def trie_links(key: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> np.ndarray:
-    """Self-joins one trie for each key. Rows are sorted by key and fingerprint (a row of unsigned words, the first the highest). Gives each row's smallest linked row within its key, itself if none."""
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray, agree=None) -> np.ndarray:
+    """``_unite`` by the links that ``agree`` passes; rows that are together already are not asked about."""
+    if agree is None:
+        return _unite(label, i, j)
+    while len(i):
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        good = agree(i[:ASK_AT_ONCE], j[:ASK_AT_ONCE])
+        label = _unite(label, i[:ASK_AT_ONCE][good], j[:ASK_AT_ONCE][good])
+        i, j = i[ASK_AT_ONCE:], j[ASK_AT_ONCE:]
+    return label
+
+
+def trie_links(key: np.ndarray, fp: np.ndarray, budget: int = BUDGET, agree=None) -> np.ndarray:
+    """Self-joins one trie for each key. With ``agree`` (two arrays of rows to an array of bools) a link has to pass it too. Rows are sorted by key and fingerprint (a row of unsigned words, the first the highest). Gives each row's smallest linked row within its key, itself if none."""
     n = len(key)
     label = np.arange(n)
     if n < 2:
@@ -116,7 +130,7 @@ def trie_links(key: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> np.ndar
         i = np.repeat(a0[big], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         j = np.repeat((a0[big] + a1[big]) // 2, sizes)
         near = _differing(fp, i, j) <= budget
-        label = _unite(label, i[near], j[near])
+        label = _join(label, i[near], j[near], agree)
     b0, b1, dist = a0.copy(), a1.copy(), np.zeros(len(a0), np.int16)
     for bit in range(64 * fp.shape[1] - 1, -2, -1):
         if not len(a0):
@@ -128,7 +142,7 @@ def trie_links(key: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> np.ndar
             small[:] = True
         small &= ~one
         if small.any():
-            label = _compare(fp, label, a0[small], a1[small], b0[small], b1[small], budget)
+            label = _compare(fp, label, a0[small], a1[small], b0[small], b1[small], budget, agree)
         rest = ~(small | one)
         a0, a1, b0, b1, dist = a0[rest], a1[rest], b0[rest], b1[rest], dist[rest]
         if not len(a0):
@@ -152,7 +166,7 @@ def _differing(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(fp, label, a0, a1, b0, b1, budget):
+def _compare(fp, label, a0, a1, b0, b1, budget, agree):
     """Compares the leaves of pairs of nodes and unites the linked ones."""
     sizes = (a1 - a0) * (b1 - b0)
     done, total = 0, np.cumsum(sizes)
@@ -166,7 +180,7 @@ def _compare(fp, label, a0, a1, b0, b1, budget):
         keep = (i < j) | (a0 != b0)[pair]
         i, j = i[keep], j[keep]
         near = _differing(fp, i, j) <= budget
-        label = _unite(label, i[near], j[near])
+        label = _join(label, i[near], j[near], agree)
         done = upto
     return label
 
@@ -273,17 +287,20 @@ def report(docs: DataFrame) -> DataFrame:
 #: Of the stage on similarity: words of a fingerprint, and nodes in which a document is looked for.
 SIMILAR_WORDS = 4
 ROUTES = 6
+#: Texts whose shingles are compared in one task: so many, or of so many bytes.
+CONFIRM_NODE = 1024
+CONFIRM_BYTES = 32_000_000
 _ODD = (np.random.default_rng(5).integers(1, 2**63, SIMILAR_WORDS + ROUTES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def similar_budget(similarity: float, bits: int = 64 * SIMILAR_WORDS) -> int:
-    """Bits in which two texts of this Jaccard similarity differ, and one standard deviation more."""
+    """Bits in which two texts of this Jaccard similarity differ, and four standard deviations more."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + (bits * share * (1 - share)) ** 0.5)
+    return int(bits * share + 4 * (bits * share * (1 - share)) ** 0.5)
 
 
-def sketch(text: str | None, words: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """A SimHash of ``SIMILAR_WORDS`` words of 64 bits, and the ``ROUTES`` smallest shingles under as many orders."""
+def shingles(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
+    """The hashes of a text's shingles, each once and sorted."""
     from xxhash import xxh64_intdigest
 
     found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -295,7 +312,12 @@ def sketch(text: str | None, words: int, seed: int = SEED) -> tuple[np.ndarray,
         ends = np.cumsum([len(w) + 1 for w in found]) - 1
         starts = np.concatenate([[0], ends[: n - words] + 1]).tolist()
         h = np.fromiter((xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)), np.uint64, n - words + 1)
-    h = np.unique(h)  # a set, as for Jaccard similarity
+    return np.unique(h)  # a set, as for Jaccard similarity
+
+
+def sketch(text: str | None, words: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """A SimHash of ``SIMILAR_WORDS`` words of 64 bits, and the ``ROUTES`` smallest shingles under as many orders."""
+    h = shingles(text, words, seed)
     ones = np.zeros(64 * SIMILAR_WORDS, np.int64)
     for k in range(0, len(h), 2048):
         mixed = h[k : k + 2048, None] * _ODD[None, :SIMILAR_WORDS]
@@ -322,42 +344,110 @@ def _dealt(rows: DataFrame, crowded: DataFrame) -> DataFrame:
     return rows.join(crowded, "node", "left_anti").unionByName(divided)
 
 
+def _alike(texts: list[str | None], words: int, similarity: float):
+    """For ``trie_links``: whether the Jaccard similarity of two texts' shingles is at least ``similarity``."""
+    sets: dict[int, np.ndarray] = {}
+
+    def of(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingles(texts[k], words)
+        return sets[k]
+
+    def one(a: np.ndarray, b: np.ndarray) -> bool:
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+            return False
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+    return lambda i, j: np.fromiter((one(of(a), of(b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+
+
+def _confirmed(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """As ``_walk``, of rows with a text, whose links are confirmed by the shingles of both texts."""
+    budget = similar_budget(similarity)
+
+    def solve(held: pa.Table) -> pa.RecordBatch:
+        cols = [held.column(k).to_numpy() for k in range(SIMILAR_WORDS + 2)]
+        fp = [c.view(np.uint64) for c in cols[2:]]
+        order = np.lexsort([*reversed(fp), cols[0]])
+        ids, texts = cols[1][order], held.column("text").take(pa.array(order)).to_pylist()
+        label = trie_links(cols[0][order], np.stack(fp, 1)[order], budget, _alike(texts, words, similarity))
+        linked = label != np.arange(len(label))
+        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            if held.nbytes >= CONFIRM_BYTES:
+                nodes = held.column("node").to_numpy()
+                cut = int(np.searchsorted(nodes, nodes[-1]))  # the last node may go on in the next batch
+                if cut:
+                    yield solve(held.slice(0, cut))
+                    held = held.slice(cut)
+        if held is not None:
+            yield solve(held)
+
+    rows = rows.select("node", "id", *(f"w{k}" for k in range(SIMILAR_WORDS)), F.col("text").cast("string").alias("text"))
+    return rows.repartition(slots(rows.sparkSession), "node").sortWithinPartitions("node").mapInArrow(run, "u bigint, v bigint")
+
+
+def _confirmed_links(docs: DataFrame, distinct: DataFrame, reached: DataFrame, words: int, similarity: float, max_node: int) -> DataFrame:
+    """A spanning forest of the links of at least ``similarity`` within each component of ``reached``, by the texts themselves.
+
+    Only texts in such a component are shuffled. One with too many texts or bytes is dealt out in pairs of parts.
+    """
+    words_of = [f"w{k}" for k in range(SIMILAR_WORDS)]
+    rows = written(distinct.join(reached.select(F.col("node").alias("id"), "root").distinct(), "id").select(F.col("root").alias("node"), "id", "size", "first.*", *words_of), "candidates")
+    sizes = rows.groupBy("node").agg((F.count("*") / max_node).alias("n"), (F.sum("size") / CONFIRM_BYTES).alias("b"))
+    crowded = written(sizes.where("n > 1 or b > 1").select("node", F.least(_parts(F.greatest("n", "b")), F.greatest(F.lit(3), F.ceil(F.col("n") * max_node))).cast("int").alias("parts")), "crowded")
+    keys = ["missing", "key", "th"]
+    texts = docs.select(*_member(), "text").join(rows, keys).dropDuplicates(keys).select("node", "id", *words_of, "text")
+    return _confirmed(texts if crowded.isEmpty() else _dealt(texts, crowded), words, similarity)
+
+
 def _member() -> list[Column]:
     """missing, key and th of a row with doc_id and text."""
     doc_id = F.col("doc_id").cast("bigint")
     return [doc_id.isNull().alias("missing"), F.coalesce(doc_id, F.lit(-(2**63)).cast("bigint")).alias("key"), F.xxhash64("text").alias("th")]
 
 
-def similar_groups(docs: DataFrame, words: int, similarity: float, max_node: int = MAX_NODE) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int, similarity: float, max_node: int = MAX_NODE, confirm_node: int = CONFIRM_NODE) -> DataFrame:
     """Per row of ``docs``: member and group, the first member of the texts that it reaches over links of at least ``similarity``.
 
     A member is struct(missing, key, th): whether doc_id is null, doc_id (or the smallest
     number), a hash of the text; so the first one is unique but for equal rows.
 
-    The Jaccard similarity of two sets of shingles is read from the differing bits of
-    their fingerprints of 256 bits. Tries of so wide a budget prune late, so texts are
-    put together by shared smallest shingles first: two texts of similarity 0.8 share
-    none of six in 1 of 16,000 cases. A node with more than ``max_node`` fingerprints
-    is dealt out in pairs of parts, so at any size all pairs in it are compared at the
-    same budget.
+    Candidates are pairs whose fingerprints of 256 bits differ in no more bits than four
+    standard deviations above what the similarity lets expect. Tries of so wide a budget
+    prune late, so texts are put together by shared smallest shingles first: two texts of
+    similarity 0.8 share none of six in 1 of 16,000 cases. A node with more than
+    ``max_node`` fingerprints is dealt out in pairs of parts, so at any size all pairs in
+    it are compared at the same budget. Links are those of the candidates' components
+    whose Jaccard similarity, counted from the texts, is at least ``similarity``.
     """
     names = [*(f"w{k}" for k in range(SIMILAR_WORDS)), *(f"r{k}" for k in range(ROUTES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = np.array([np.concatenate(sketch(t, words)) for t in batch.column(3).to_pylist()], np.uint64).reshape(-1, len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(c)) for c in cols.T)], names=["missing", "key", "th", *names])
+            cols = np.array([np.concatenate(sketch(t, words)) for t in batch.column(4).to_pylist()], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(np.ascontiguousarray(c)) for c in cols.T)], names=["missing", "key", "th", "size", *names])
 
-    found = docs.select(*_member(), "text").mapInArrow(run, "missing boolean, key bigint, th bigint, " + ", ".join(f"{c} bigint" for c in names))
-    found = found.select(F.struct("missing", "key", "th").alias("member"), *names)
+    found = docs.select(*_member(), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"), "text").mapInArrow(run, "missing boolean, key bigint, th bigint, size bigint, " + ", ".join(f"{c} bigint" for c in names))
+    found = found.select(F.struct("missing", "key", "th").alias("member"), "size", *names)
     found = written(found.withColumn("id", F.xxhash64(*names[:SIMILAR_WORDS])), "sketches")
-    distinct = written(found.groupBy("id").agg(F.min("member").alias("first"), *(F.min(c).alias(c) for c in names)), "distinct")
+    distinct = written(found.groupBy("id").agg(F.min("member").alias("first"), F.max("size").alias("size"), *(F.min(c).alias(c) for c in names)), "distinct")
     routes = F.explode(F.array(*(F.xxhash64(F.lit(k), f"r{k}") for k in range(ROUTES))))
     rows = distinct.select("id", *names[:SIMILAR_WORDS], routes.alias("node"))
     sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
     crowded = written(sizes.where(F.col("n") > max_node).select("node", _parts(F.col("n") / max_node).alias("parts")), "crowded")
     budget = similar_budget(similarity)
     edges = _walk(rows if crowded.isEmpty() else _dealt(rows, crowded), SIMILAR_WORDS, budget)
+    proposed = written(components(edges), "proposed")
+    edges = _confirmed_links(docs, distinct, proposed, words, similarity, confirm_node)
     reached = written(components(edges), "roots")
     linked = distinct.select("id", "first").join(reached, F.col("id") == F.col("node")).select("id", "root", "first")
     lowest = linked.groupBy("root").agg(F.min("first").alias("group"))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from linkloom.llm import simhash as SH
@@ -129,3 +130,37 @@ def test_crowded_nodes_lose_no_link(spark):
     few = {r["member"]["key"]: r["group"]["key"] for r in SH.similar_groups(docs, 5, 0.8, max_node=20).collect()}
     whole = {r["member"]["key"]: r["group"]["key"] for r in SH.similar_groups(docs, 5, 0.8).collect()}
     assert few == whole
+
+
+def shingle_set(text, words=5):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+
+
+def brute_groups(texts, similarity):
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("confirm_node", [1024, 10])
+def test_similar_groups_are_those_of_brute_force(spark, confirm_node):
+    """Copies at every similarity between 0.5 and 0.9, most on the two sides of 0.8."""
+    rng = random.Random(12)
+    texts = [None, "", "a b c", "A  b c", "a b c d"]
+    for g in range(80):
+        words = [f"g{g}x{k}" for k in range(124)]
+        texts.append(" ".join(words))
+        copy = list(words)
+        for at in range(5 + g % 4, 120, 12)[: 1 + g % 6]:
+            copy[at] = f"other{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+        texts.append(" ".join(words[: rng.randint(70, 110)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r["member"]["key"]: r["group"]["key"] for r in SH.similar_groups(docs, 5, 0.8, 20, confirm_node).collect()}
+    assert [out[k] for k in range(len(texts))] == brute_groups(texts, 0.8)
