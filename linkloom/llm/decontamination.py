@@ -7,8 +7,8 @@ to byte offsets of the original text.
 
 The benchmark is a query set: its windows are read to the driver in blocks of at
 most ``block_windows`` windows and each block is broadcast as one automaton. A
-usual benchmark fits one block; a larger one takes more passes over the text and
-no more memory. Documents are scanned where they lie, without a shuffle (with one
+usual benchmark fits one block; a larger one takes more passes over the text, which
+is stored once with its rows numbered, and no more memory. Documents are scanned where they lie, without a shuffle (with one
 block) and without a limit on length, hits or items.
 
 Edge cases: a null or wordless text has no words, hits or items; items without
@@ -19,12 +19,15 @@ item named by the empty string; extra columns of either table are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkloom.llm.common import fresh, written
+
 WIDTH = 8
 BLOCK_WINDOWS = 400_000
 _KEEP = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(128, 256))
@@ -94,41 +97,58 @@ def _blocks(benchmark: DataFrame, width: int, block_windows: int) -> Iterator[di
 
 
 def contaminated_runs(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Per document: doc_id, n_words, runs ([first, past last) word positions), run_bytes (the same in the original UTF-8 text), items (sorted ids).
-
-    One row per row of ``docs``; with several blocks one row per doc_id.
-    """
-    spark = docs.sparkSession
-    schema = "doc_id bigint, n_words bigint, runs array<struct<first:bigint,last:bigint>>, run_bytes array<struct<first:bigint,last:bigint>>, items array<string>"
-    out = None
+    """Per row of ``docs``: doc_id, n_words, runs ([first, past last) word positions), run_bytes (the same in the original UTF-8 text), items (sorted ids)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    blocks = list(_blocks(benchmark, width, block_windows))
+    one, blocks = _one_or_more(_blocks(benchmark, width, block_windows))
+    if one is not None:
+        return _scanned(rows, docs.sparkSession.sparkContext.broadcast(one)).drop("row")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return _merged(rows, blocks).drop("row")
+
+
+def _one_or_more(blocks: Iterator[dict]) -> tuple[dict | None, Iterator[dict]]:
+    """The only block, or None and all of them."""
+    first = next(blocks)
+    second = next(blocks, None)
+    return (first, iter(())) if second is None else (None, chain([first, second], blocks))
+
+
+def _scanned(rows: DataFrame, shared) -> DataFrame:
+    """One pass over ``rows`` (doc_id, text and row, if there is one) with the automaton of one block."""
+    schema = "row bigint, doc_id bigint, n_words bigint, runs array<struct<first:bigint,last:bigint>>, run_bytes array<struct<first:bigint,last:bigint>>, items array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = automaton(shared.value)
+        for batch in batches:
+            counts, runs, spans, items = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                words = words_of(text)
+                hit, ids = scan(found, words)
+                counts.append(len(words))
+                runs.append([{"first": a, "last": b} for a, b in hit])
+                spans.append(_byte_runs(text, hit) if hit else [])
+                items.append(sorted(ids))
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(counts, pa.int64()), pa.array(runs, kind), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))],
+                names=["row", "doc_id", "n_words", "runs", "run_bytes", "items"],
+            )
+
+    row = F.col("row") if "row" in rows.columns else F.lit(None).cast("bigint").alias("row")
+    return rows.select(row, "doc_id", "text").mapInArrow(run, schema)
+
+
+def _merged(rows: DataFrame, blocks: Iterator[dict]) -> DataFrame:
+    """As ``_scanned``, over several blocks, one after the other; ``row`` numbers the rows, so that a row's hits meet whatever its doc_id is."""
+    out = None
     for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            found = automaton(shared.value)
-            for batch in batches:
-                counts, runs, spans, items = [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    words = words_of(text)
-                    hit, ids = scan(found, words)
-                    counts.append(len(words))
-                    runs.append([{"first": a, "last": b} for a, b in hit])
-                    spans.append(_byte_runs(text, hit) if hit else [])
-                    items.append(sorted(ids))
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(runs, kind), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "runs", "run_bytes", "items"],
-                )
-
-        if len(blocks) == 1:
-            return rows.mapInArrow(run, schema)
-        part = rows.mapInArrow(run, schema)
+        shared = rows.sparkSession.sparkContext.broadcast(block)
+        part = _scanned(rows, shared)
+        # every row comes from the first pass, and from a later one if it is hit
+        part = written(part if out is None else part.where(F.size("items") > 0), "hits")
+        shared.destroy()
         out = part if out is None else out.unionByName(part)
-    # several blocks: a document's runs are joined; repeated rows of one doc_id stay one row
-    merged = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("run_bytes")).alias("run_bytes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = out.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("run_bytes")).alias("run_bytes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     join = F.udf(lambda runs: _union(runs), T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])))
     return merged.withColumn("runs", join("runs")).withColumn("run_bytes", join("run_bytes"))
 
@@ -169,14 +189,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min
     """Keeps the documents of which under ``min_items`` items occur; all their columns stay.
 
     A document also stays if the hit words are less than ``min_share`` of its words.
-    The scan keeps every column, so no join is needed.
+    The scan keeps every column, so no join is needed; with several blocks rows are numbered, and hit ones go by number.
     """
     spark = docs.sparkSession
-    blocks = list(_blocks(benchmark, width, BLOCK_WINDOWS))
+    one, blocks = _one_or_more(_blocks(benchmark, width, BLOCK_WINDOWS))
     kept, at = docs, docs.columns.index("text")
-    seen = "linkloom_items"
-    if len(blocks) == 1:
-        shared = spark.sparkContext.broadcast(blocks[0])
+    if one is not None:
+        shared = spark.sparkContext.broadcast(one)
 
         def run(batches):
             found = automaton(shared.value)
@@ -189,8 +208,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return kept.mapInArrow(run, docs.schema)
-    hits = contaminated_runs(docs, benchmark, width).where((F.size("items") >= min_items) & (F.expr("aggregate(runs, 0L, (s, r) -> s + r.last - r.first)") >= min_share * F.col("n_words")))
-    return kept.join(hits.select(F.col("doc_id").alias(seen)), kept.doc_id.eqNullSafe(F.col(seen)), "left_anti")
+    row = fresh(docs.columns, "linkloom_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = _merged(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"), blocks)
+    hits = found.where((F.size("items") >= min_items) & (F.expr("aggregate(runs, 0L, (s, r) -> s + r.last - r.first)") >= min_share * F.col("n_words")))
+    return rows.join(hits.select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

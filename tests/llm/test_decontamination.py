@@ -73,3 +73,16 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert tuple(D.report(d, none).first())[:4] == (1, 2, 0, 0)
     assert D.report(d.where("false"), none).count() == 0
+
+
+def test_blocks_keep_rows_apart(spark, monkeypatch):
+    """Rows with one doc_id, or none, stay rows of their own with several blocks, and clean ones stay when another is dropped."""
+    items = [(k, f"start{k} b c d e f g h{k}") for k in range(6)]
+    hit = [f"x {items[k][1]} y {items[k + 3][1]} z" for k in range(3)]
+    docs = [(1, hit[0]), (1, "clean one"), (1, hit[1]), (1, "clean one"), (None, hit[2]), (None, "clean two"), (None, None), (2, hit[0])]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    one = sorted(map(tuple, D.contaminated_runs(d, b).collect()), key=repr)
+    assert len(one) == len(docs) and sorted(map(tuple, D.contaminated_runs(d, b, D.WIDTH, 2).collect()), key=repr) == one
+    monkeypatch.setattr(D, "BLOCK_WINDOWS", 2)
+    monkeypatch.setattr(D.contaminated_runs, "__defaults__", (D.WIDTH, 2))
+    assert sorted(map(tuple, D.decontaminate(d, b).collect()), key=repr) == sorted((r for r in docs if r[1] not in hit), key=repr)
