@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,23 +17,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, a temporary
-    folder is taken and set.
+    Only where the session names none and runs on this machine alone, as in tests, a
+    temporary folder is taken and set; on a cluster a missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="linkloom-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-_MADE: list[tuple[str, str]] = []
+#: What has been made and not yet been deleted; the last list is that of the innermost ``settled``.
+_MADE: list[list[tuple[str, str]]] = [[]]
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Deletes the tables that ``written`` and ``kept_as`` have made so far; call it when results that read them are stored."""
-    while _MADE:
-        kind, name = _MADE.pop()
+def _delete(spark: SparkSession, made: list[tuple[str, str]]) -> None:
+    while made:
+        kind, name = made.pop()
         if kind == "table":
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         else:
@@ -39,9 +44,22 @@ def clean_up(spark: SparkSession) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the tables and folders that operators have made so far; call it when results that read them are stored. It is called at the end of the program."""
+    for made in _MADE:
+        _delete(spark, made)
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession() if any(_MADE) else None
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clean_up(spark)
+
+
 def kept_as(kind: str, name: str) -> str:
     """Notes a table or folder for ``clean_up``."""
-    _MADE.append((kind, name))
+    _MADE[-1].append((kind, name))
     return name
 
 
@@ -53,6 +71,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``written`` for what ``make`` returns; what was made on the way is deleted then."""
+    _MADE.append([])
+    try:
+        out = written(make(), name)
+        _MADE[-2].append(_MADE[-1].pop())
+    finally:
+        _delete(spark, _MADE.pop())
+    return out
+
+
 def slots(spark: SparkSession) -> int:
     """Partitions for an explicit repartitioning: what the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -1,5 +1,5 @@
 import corpus_pipeline as P
-from linkloom.llm.common import clean_up, read
+from linkloom.llm.common import clean_up, read, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,7 +11,7 @@ def test_stages_and_their_columns(spark):
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
-        docs = P.written(out, name)
+        docs = written(out, name)
         counts.append(docs.count())
     assert counts == sorted(counts, reverse=True) and counts[1] < counts[0] and counts[2] == counts[3]
     assert sorted(r["mix_position"] for r in P.STAGES[-1][1](spark, docs, SF).collect()) == list(range(counts[-1]))
@@ -35,5 +35,5 @@ def test_every_operator_is_registered_once(spark):
 def test_empty_documents_pass_all_stages(spark):
     docs = read(spark, SF, "documents").where("false")
     for name, stage in P.STAGES:
-        docs = P.written(stage(spark, docs, SF), name)
+        docs = written(stage(spark, docs, SF), name)
     assert docs.count() == 0
