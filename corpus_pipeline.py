@@ -7,10 +7,12 @@ stage's documents. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm import decontamination, mixing, quality, simhash, suffix_dedup
-from linkloom.llm.common import read, written
+from linkloom.llm.common import read, settled
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes or more that stand anywhere else are cut out of the texts."""
+    """Passages of 50 words or more that stand anywhere else are cut out of the texts."""
     return suffix_dedup.without_repeats(docs)
 
 
@@ -54,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, partial(stage, spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
