@@ -61,6 +61,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
+    "op5_mixing": mixing.oracle(),
     "op9_chat_formatting": chat.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }

@@ -1,5 +1,9 @@
+import random
 from collections import Counter
 
+import duckdb
+import pytest
+
 from linkloom.llm import mixing as M
 
 
@@ -37,7 +41,67 @@ def test_same_result_for_any_partitioning(spark):
     assert a == sorted(map(tuple, M.mix(docs.repartition(7)).collect()))
 
 
+def plan_by_hand(blocks, weights):
+    """The slots one after the other, with a fresh start after each source's last block."""
+    from fractions import Fraction as Q
+
+    done, own, t, out = dict.fromkeys(blocks, 0), dict.fromkeys(blocks, 0), 0, []
+    while live := [k for k in sorted(blocks) if done[k] < blocks[k]]:
+        total = sum(weights[k] for k in live)
+        ready = [k for k in live if Q(own[k] * total, weights[k]) < t + 1]
+        k = min(ready, key=lambda k: (-(Q(-(own[k] + 1) * total, weights[k]) // 1), k))
+        out.append((k, done[k]))
+        done[k], own[k], t = done[k] + 1, own[k] + 1, t + 1
+        if done[k] == blocks[k]:
+            own, t = dict.fromkeys(blocks, 0), 0
+    return out
+
+
+def slots_of(blocks, weights):
+    phases, ended = M.plan(blocks, weights)
+    assert sorted(ended) == sorted(k for k, n in blocks.items() if n)
+    found = {}
+    for k, n in blocks.items():
+        for b in range(n):
+            p = next(p for p in phases[k] if p["first"] <= b < p["last"])
+            j = b - p["first"]
+            found[p["at"] + j // p["weight"] * p["total"] + p["places"][j % p["weight"]]] = (k, b)
+    assert sorted(found) == list(range(len(found)))
+    return [found[t] for t in range(len(found))]
+
+
+def test_plan_against_slots_by_hand():
+    rng = random.Random(4)
+    for _ in range(300):
+        names = "abcdefg"[: rng.randint(1, 7)]
+        blocks, weights = {k: rng.randint(1, 40) for k in names}, {k: rng.choice((1, 1, 2, 3, 4, 6, 30)) for k in names}
+        assert slots_of(blocks, weights) == plan_by_hand(blocks, weights)
+    # weights that add up to far more slots than there are blocks
+    blocks, weights = {"a": 50, "b": 20, "c": 1}, {"a": 3_000_017, "b": 1_000_003, "c": 12_345}
+    assert slots_of(blocks, weights) == plan_by_hand(blocks, weights)
+
+
+def test_too_large_a_plan_is_refused():
+    with pytest.raises(ValueError, match="larger blocks"):
+        M.plan({"a": 10**9, "b": 10**9}, {"a": 10**9 + 7, "b": 10**9 + 9})
+
+
+def test_against_sql(spark):
+    """Ties, short blocks, a null source, rows without an id, names that the operator uses itself."""
+    rows = [(k, f"src{k % 7}" if k % 3 else "src0", k, "x", [k]) for k in range(500)] + [(900 + k, None, 0, None, None) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, k bigint, b string, phases array<int>")
+    out = M.mix(docs)
+    assert out.columns == [*docs.columns, "mix_block", "mix_slot", "mix_position"]
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "source").toPandas())
+    assert sorted(con.sql(M.oracle()).fetchall(), key=repr) == sorted((tuple(r) for r in out.drop("k", "b", "phases").collect()), key=repr)
+
+
 def test_clashing_names_and_empty_tables(spark):
+    own = ["doc", "key", "order", "bucket", "n", "before", "nth", "rank", "phases", "block", "p", "j", "slot", "position", "k", "b"]
+    many = spark.createDataFrame([(k, "a", *[k] * len(own)) for k in range(40)], "doc_id bigint, source string, " + ", ".join(f"`{c}` int" for c in own))
+    out = M.mix(many)
+    assert out.columns == [*many.columns, "mix_block", "mix_slot", "mix_position"] and sorted(r["mix_position"] for r in out.collect()) == list(range(40))
     docs = spark.createDataFrame([(1, "a", 5)], "doc_id bigint, source string, mix_slot int")
     assert M.mix(docs).columns == ["doc_id", "source", "mix_slot", "mix_block", "mix_slot_", "mix_position"]
     assert M.mix(docs.where("false")).count() == 0
