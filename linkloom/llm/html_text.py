@@ -11,9 +11,15 @@
    of its host; a page that has none, or no text there, uses its own best one.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are known by tag, role or class/id words and never enter a score or
-a text. (A header inside an article is part of it.) The winners are broadcast only
-while they are at most ``BROADCAST_HOSTS``; beyond that Spark joins by host.
+reader comments are known by tag, role or class and id names and never enter a score
+or a text. (A header inside an article is part of it.) A name counts only as a whole:
+all its parts between hyphens must be known ones, and one must say what the element
+is, so ``site-footer`` and ``article-comments`` match, ``has-sidebar``,
+``related-work`` and ``notice-board`` don't. A form, or an element with a name that
+layouts give to wrappers too (``sidebar-left`` on a body's only div), stays if a main
+or article element is in it or more than half of the page's text; adverts, notices
+on cookies and reader comments never do. The winners are broadcast only while they
+are at most ``BROADCAST_HOSTS``; beyond that Spark joins by host.
 
 Edge cases: a null or empty html gives an empty text; markup without an end runs to
 the end of the page; repeated rows stay; a null url is the host named ''.
@@ -40,14 +46,19 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-_DROP = frozenset("head script style noscript template iframe object svg math nav footer aside form button select textarea input dialog menu canvas audio video title noembed noframes".split())
+_DROP = frozenset("head script style noscript template iframe object svg math nav footer aside button select textarea input dialog menu canvas audio video title noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 _CONTAINER = frozenset("html body div article main section td th blockquote li dd center details figure fieldset header".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|sidebars?|side|nav|navbar|navigation|menus?|breadcrumbs?|crumbs|footers?|foot|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|signup|share|sharing|social|related|recommended|widgets?|masthead|topbar|toolbar|pagination|pager|hidden|skip|login|search)(?=$|[\s_-]|\d)"
-)
-_OUTER_HEAD = re.compile(r"(?:^|[\s_-])(?:header|head|site-header|page-header|top)(?=$|[\s_-]|\d)")
+#: Names of what is never part of an article.
+_NEVER = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner banners comment comments commentlist disqus replies respond cookie cookies consent gdpr popup popups newsletter newsletters subscribe signup".split())
+#: Names of what is beside an article, but also given to elements around one.
+_BESIDE = frozenset("sidebar sidebars aside side nav navbar navigation menu menus breadcrumb breadcrumbs crumbs footer footers foot notice notices alert alerts modal modals overlay share sharing social related recommended widget widgets masthead topbar toolbar pagination pager hidden skip login search form".split())
+#: And of a page's head, outside an article.
+_HEADS = frozenset("header head top".split())
+#: Parts that a name may have beside those.
+_WITH = frozenset("site page main global bottom left right bar box list area section container wrapper wrap block blocks link links post posts article articles inner outer content contents item items user users reader readers blog primary secondary mobile desktop sticky fixed thread group panel module unit slot zone holder frame message text title meta button buttons home email mail web google js the sub mega small large big mini first second third".split()) | {""}
+_PARTS = re.compile(r"[\s_-]+|\d+|(?<=[a-z])(?=[A-Z])")
 _P_ENDS = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SCOPES = frozenset("html body div article main section td th blockquote table header footer aside nav form figure fieldset button object".split())
 #: An open element of the key tag ends where one of the value tags opens.
@@ -56,12 +67,12 @@ _LIST_SCOPES = frozenset("ul ol dl table".split())
 
 
 class Block:
-    """Text of one block: where it stands and which containers hold it."""
+    """Text of one block: which containers and which doubtful elements hold it."""
 
-    __slots__ = ("chain", "parts", "linked")
+    __slots__ = ("chain", "doubts", "parts", "linked")
 
-    def __init__(self, chain: tuple[int, ...]):
-        self.chain, self.parts, self.linked = chain, [], 0
+    def __init__(self, chain: tuple[int, ...], doubts: tuple[int, ...]):
+        self.chain, self.doubts, self.parts, self.linked = chain, doubts, [], 0
 
 
 def host_of(url: str | None) -> str:
@@ -69,20 +80,42 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _bad(tag: str, attributes: str, in_article: bool) -> bool:
+#: What becomes of an element: it stays, it is dropped, it is dropped unless it holds the article, too.
+STAYS, DROPPED, DOUBTFUL = range(3)
+
+
+def _named(value: str, in_article: bool) -> int:
+    """By the names in a class or id."""
+    worst = STAYS
+    for name in value.split():
+        parts = {x.lower() for x in _PARTS.split(name)}
+        if not parts <= _NEVER | _BESIDE | _HEADS | _WITH:
+            continue
+        if parts & _NEVER:
+            return DROPPED
+        if parts & _BESIDE or (parts & _HEADS and not in_article):
+            worst = DOUBTFUL
+    return worst
+
+
+def _kind(tag: str, attributes: str, in_article: bool) -> int:
     if tag in _DROP or (tag == "header" and not in_article):
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
+        return DROPPED
+    worst = DOUBTFUL if tag == "form" else STAYS
+    if not attributes or tag in ("html", "body", "main"):
+        return worst
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-        if name == "role" and value in _ROLES:
-            return True
-        if name in ("class", "id") and (_BAD.search(value) or (not in_article and _OUTER_HEAD.search(value))):
-            return True
-    return False
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.lower().replace(" ", "")):
+            return DROPPED
+        if name == "role" and value.lower() in _ROLES:
+            worst = DOUBTFUL
+        if name in ("class", "id"):
+            found = _named(value, in_article)
+            if found == DROPPED:
+                return DROPPED
+            worst = worst or found
+    return worst
 
 
 def _step(tag: str, attributes: str) -> str:
@@ -97,7 +130,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[str, str, int]]]:
     """The text blocks of a page and its containers (path, tag, number of the container around it or -1)."""
     blocks: list[Block] = []
     containers: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, int]] = []  # (tag, path, container)
+    stack: list[tuple[str, str, int, tuple[int, ...]]] = []  # (tag, path, container, doubtful elements around)
+    n_doubts, holders = 0, set()  # of the doubtful elements, those that hold an article or main
     skip = 0  # depth of the stack at which dropping began, plus 1
     articles = links = at = 0
     block: Block | None = None
@@ -125,7 +159,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[str, str, int]]]:
                 while k >= 0:
                     chain.append(k)
                     k = containers[k][2]
-                block = Block(tuple(chain))
+                block = Block(tuple(chain), stack[-1][3] if stack else ())
             block.parts.append(text)
             if links:
                 block.linked += len(text)
@@ -174,19 +208,36 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[str, str, int]]]:
             continue
         if attributes.endswith("/") and tag not in _BLOCK:
             continue
-        parent = stack[-1] if stack else ("", "", -1)
-        if not skip and _bad(tag, attributes, articles > 0):
-            skip = len(stack) + 1
+        parent = stack[-1] if stack else ("", "", -1, ())
+        doubts = parent[3]
+        if not skip:
+            kind = _kind(tag, attributes, articles > 0)
+            if kind == DROPPED:
+                skip = len(stack) + 1
+            elif kind == DOUBTFUL:
+                doubts = (*doubts, n_doubts)
+                n_doubts += 1
+            if not skip and tag in ("article", "main"):
+                holders.update(doubts)
         path = f"{parent[1]}>{_step(tag, attributes)}" if not skip else ""
         own = parent[2]
         if tag in _CONTAINER and not skip:
             own = len(containers)
             containers.append((path, tag, parent[2]))
-        stack.append((tag, path, own))
+        stack.append((tag, path, own, doubts))
         articles += tag in ("article", "main")
         links += tag == "a"
     if block is not None:
         blocks.append(block)
+    if n_doubts:
+        sizes, total = Counter(), 0
+        for b in blocks:
+            n = len(_text(b))
+            total += n
+            for k in b.doubts:
+                sizes[k] += n
+        holders.update(k for k, n in sizes.items() if 2 * n > total)
+        blocks = [b for b in blocks if holders.issuperset(b.doubts)]
     return blocks, containers
 
 
