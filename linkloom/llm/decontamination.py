@@ -24,7 +24,6 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from linkloom.llm.common import fresh, written
 
@@ -149,17 +148,23 @@ def _merged(rows: DataFrame, blocks: Iterator[dict]) -> DataFrame:
         shared.destroy()
         out = part if out is None else out.unionByName(part)
     merged = out.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("run_bytes")).alias("run_bytes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    join = F.udf(lambda runs: _union(runs), T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])))
-    return merged.withColumn("runs", join("runs")).withColumn("run_bytes", join("run_bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            united = [pa.array([_union(x) for x in batch.column(k).to_pylist()], batch.schema.field(k).type) for k in (3, 4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *united, batch.column(5)], schema=batch.schema)
+
+    return merged.mapInArrow(run, merged.schema)
 
 
-def _union(runs) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((r[0], r[1]) for r in runs):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+def _union(runs: list[dict]) -> list[dict]:
+    """The runs in order; overlapping and touching ones are one."""
+    out: list[dict] = []
+    for a, b in sorted((r["first"], r["last"]) for r in runs):
+        if out and a <= out[-1]["last"]:
+            out[-1]["last"] = max(b, out[-1]["last"])
         else:
-            out.append((a, b))
+            out.append({"first": a, "last": b})
     return out
 
 
