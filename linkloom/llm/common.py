@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,3 +94,15 @@ def fresh(columns: list[str], stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def one_text_each(docs: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each doc_id of ``ids`` (doc_id and more, each id once) that ``docs`` has: doc_id, the more, and ``columns``.
+
+    Of rows that repeat a doc_id the least counts. ``ids`` is broadcast, so its caller
+    bounds it, and no more rows than it has come back. Names in ``docs`` cannot clash.
+    """
+    more = [c for c in ids.columns if c != "doc_id"]
+    rows = docs.select(F.col("doc_id").alias("own_id"), F.struct(*columns).alias("own"))
+    found = rows.join(F.broadcast(ids), F.col("own_id") == F.col("doc_id")).groupBy("doc_id", *more).agg(F.min("own").alias("own"))
+    return found.select("doc_id", *more, *(F.col("own")[c].alias(c) for c in columns))

@@ -6,8 +6,9 @@ probabilities are the mean over all its positions. Gates are piecewise linear
 (clipped), which keeps whole texts affordable in numpy. Training is back-propagation
 through time with Adam, from a fixed seed.
 
-It learns from at most ``TRAIN_DOCS`` documents of each language, those first in
-order of a hash of doc_id, held-out ones excluded, in random windows of them. Every
+It learns from at most ``TRAIN_DOCS`` documents of each language and ``TRAIN_TOTAL`` of
+all, those first in order of a hash of doc_id, held-out ones excluded, in random
+windows of them; of rows that repeat a doc_id one is learned. Every
 byte of every text is read in the prediction; long texts are only cut into windows,
 so memory is bounded by a batch of windows.
 
@@ -26,9 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import one_text_each
+
 WINDOW = 128
 HIDDEN = 8
 TRAIN_DOCS = 400
+TRAIN_TOTAL = 20_000
 SHARES = 16
 STEPS = 360
 BATCH = 192
@@ -195,14 +199,15 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
-def training_rows(docs: DataFrame, each: int) -> tuple[list[bytes], np.ndarray, list[str]]:
-    """At most ``each`` texts of every language, not held out, to the driver."""
-    ids = docs.where(F.col("lang").isNotNull() & (remainder(3) != 1)).select(F.col("doc_id").alias("train_id"), F.col("lang").alias("train_lang"), F.xxhash64("doc_id").alias("order"))
+def training_rows(docs: DataFrame, each: int, total: int = TRAIN_TOTAL) -> tuple[list[bytes], np.ndarray, list[str]]:
+    """At most ``each`` texts of every language and ``total`` of all, not held out, to the driver."""
+    ids = docs.where(F.col("lang").isNotNull() & (remainder(3) != 1)).select("doc_id", F.col("lang").alias("train_lang"), F.xxhash64("doc_id").alias("order"))
     # the first of each share of the hashes, then of all: no task gets more than `each` rows of a share or SHARES * each of a language
-    first = lambda df, *keys: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("order", "train_id"))).where(F.col("k") <= each)
-    ids = first(first(ids.withColumn("share", F.pmod(F.col("order"), F.lit(SHARES))), "train_lang", "share"), "train_lang").select("train_id", "train_lang")
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("train_id"))  # bounded by `each` for a language
-    rows = [(encode(r[1]), r[2], r[0]) for r in found.select("doc_id", "text", "train_lang").toLocalIterator() if r[1] and _LETTER.search(r[1])]
+    first = lambda df, *keys: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("order", "doc_id"))).where(F.col("k") <= each)
+    ids = first(first(ids.withColumn("share", F.pmod(F.col("order"), F.lit(SHARES))), "train_lang", "share"), "train_lang")
+    ids = ids.groupBy("doc_id").agg(F.min("train_lang").alias("train_lang"), F.min("k").alias("k"), F.min("order").alias("order"))
+    ids = ids.orderBy("k", "order", "doc_id").limit(total).select("doc_id", "train_lang")  # the first of each language, then the second ones
+    rows = [(encode(r[2]), r[1], r[0]) for r in one_text_each(docs, ids, ["text"]).toLocalIterator() if r[2] and _LETTER.search(r[2])]
     rows.sort(key=lambda r: (r[2], r[1], r[0]))
     langs = sorted({r[1] for r in rows})
     return [r[0] for r in rows], np.array([langs.index(r[1]) for r in rows], int), langs

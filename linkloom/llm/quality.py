@@ -1,21 +1,24 @@
 """Quality by co-training of a text classifier and a metadata classifier.
 
-The text view sees shares of kinds of characters and words in the whole text; the
-metadata view sees the source, the language, the length and the layout of lines. Each
-starts from the labelled sample. In every round each view labels the documents of an
-unlabelled pool of which it is most confident, in the proportion of the labels, and
-the other view learns them too. Both are then calibrated on labelled documents that
-were set aside, and a logistic combination of the two calibrated views, fitted there
-as well, scores all documents.
-
-The labelled sample has at most ``LABELLED`` documents and the pool ``POOL``, those
-first in order of a hash of doc_id. Scoring reads every whole text where it lies,
+The text view sees only the text: shares of kinds of characters and words, marks that
+follow one another, and the shape of its lines. The metadata view sees only the other
+columns: source, language and length. Each starts from the labelled sample. In every
+round each view labels the documents of an unlabelled pool of which it is most
+confident, in the proportion of the labels, and the other view learns them too. Both
+are then calibrated on labelled documents that were set aside, and a logistic
+combination of the two calibrated views, fitted there as well, scores all documents.
+
+Two parameters bound what the fit reads: ``labelled`` documents (``LABELLED``) and, as
+teachers' ground only, ``pool`` unlabelled ones (``POOL``), those first in order of a
+hash of doc_id; the pool is a sample because it can only move two small linear models,
+which a few thousand documents settle. Scoring reads every whole text where it lies,
 without a shuffle.
 
-Edge cases: a null or empty text has no shares and length 0; a null source or
-language is a value of its own; without labels of both kinds all documents score 1
-and are kept; conflicting labels of a doc_id count by the smallest; extra columns are
-kept by ``keep_good``.
+Edge cases: a null or empty text has no shares and one empty line; a null source,
+language or length is a value of its own; without labels of both kinds all documents
+score 1 and are kept; conflicting labels of a doc_id count by the smallest; of rows
+that repeat a doc_id one is learned and all are scored; extra columns, whatever their
+names, are kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import one_text_each
+
 LABELLED = 6_000
 POOL = 3_000
 ROUNDS = 4
@@ -35,6 +40,7 @@ ASIDE = 4  # one labelled document of so many is set aside
 THRESHOLD = 0.5
 SOURCE_BINS = 32
 LANG_BINS = 8
+LENGTH_BINS = 32
 
 #: Classes of bytes: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 sentence mark, 7 symbol, 8 part of a longer character.
 _CLASS = np.zeros(256, np.uint8)
@@ -46,12 +52,21 @@ _CLASS[128:] = 8
 def text_view(text: str | None) -> list[float]:
     data = (text or "").encode("utf-8", "surrogatepass")
     n = max(1, len(data))
-    share = np.bincount(_CLASS[np.frombuffer(data, np.uint8)], minlength=9) / n
+    kinds = _CLASS[np.frombuffer(data, np.uint8)]
+    share = np.bincount(kinds, minlength=9) / n
     words = data.split()
     m = max(1, len(words))
     letters = share[1] + share[2] + share[8] + 1e-3
     same = sum(map(bytes.__eq__, words, words[1:])) / m
     distinct = len(set(words)) / m
+    marks = kinds >= 6
+    marks &= kinds < 8
+    doubled = int((marks[1:] & marks[:-1]).sum()) / m
+    lines = data.split(b"\n")
+    sizes = np.array([len(x) for x in lines], float)
+    ends = [x.rstrip()[-1:] for x in lines]
+    ended = sum(x in (b".", b"!", b"?") for x in ends) / len(lines)
+    marked = sum(x != b"" and _CLASS[x[0]] == 7 for x in ends) / len(lines)
     return [
         *share[1:].tolist(),
         share[2] / letters,
@@ -60,23 +75,25 @@ def text_view(text: str | None) -> list[float]:
         distinct,
         float(np.log1p(m)) / 8 * distinct,
         len(data) / m / 10,
-        data.count(b"!!") / m,
-        data.count(b"|") / m,
-        sum(data.count(x) for x in (b"%%", b"##", b"$$", b"&&", b"**", b"==", b"~~")) / m,
+        doubled,
         data.count(b"http") / m,
+        float(np.log1p(len(lines))) / 5,
+        float(np.log1p(sizes.mean())) / 6,
+        float(np.log1p(sizes.std())) / 6,
+        float((sizes < 40).mean()),
+        ended,
+        marked,
     ]
 
 
-def metadata_view(source, lang, n_chars, text: str | None) -> list[float]:
-    out = [0.0] * (SOURCE_BINS + LANG_BINS)
+def metadata_view(source, lang, n_chars) -> list[float]:
+    out = [0.0] * (SOURCE_BINS + LANG_BINS + LENGTH_BINS)
     out[zlib.crc32(repr(source).encode()) % SOURCE_BINS] = 1.0
     out[SOURCE_BINS + zlib.crc32(repr(lang).encode()) % LANG_BINS] = 1.0
-    n = float(n_chars or 0)
-    lines = (text or "").split("\n")
-    sizes = np.array([len(x) for x in lines], float)
-    ended = sum(x.rstrip()[-1:] in (".", "!", "?") for x in lines) / len(lines)
-    marked = sum(x.rstrip()[-2:] == "!!" or x.rstrip()[-1:] in "|%#$&*" for x in lines if x.strip()) / len(lines)
-    return [*out, float(np.log1p(max(n, 0))) / 10, float(np.log1p(len(lines))) / 5, float(np.log1p(sizes.mean())) / 6, float(np.log1p(sizes.std())) / 6, float((sizes < 40).mean()), ended, marked]
+    n = max(0.0, float(n_chars or 0))
+    size = np.log2(1 + n) * 1.5  # a bin for each third of an octave or so
+    out[SOURCE_BINS + LANG_BINS + min(LENGTH_BINS - 1, int(size))] = 1.0
+    return [*out, float(size) / 20, float(n_chars is None)]
 
 
 class Linear:
@@ -141,24 +158,23 @@ def scores(model: dict | None, views: list[np.ndarray]) -> tuple[np.ndarray, np.
 
 def _views(texts, sources, langs, sizes) -> list[np.ndarray]:
     a = np.array([text_view(t) for t in texts]).reshape(len(texts), -1)
-    b = np.array([metadata_view(s, g, n, t) for t, s, g, n in zip(texts, sources, langs, sizes, strict=True)]).reshape(len(texts), -1)
+    b = np.array([metadata_view(s, g, n) for s, g, n in zip(sources, langs, sizes, strict=True)]).reshape(len(texts), -1)
     return [a, b]
 
 
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict | None:
     """Trains on a bounded sample of documents, read to the driver."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select(F.col("doc_id").alias("id"), "q")
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     free = docs.select("doc_id").join(labels.select("doc_id").distinct(), "doc_id", "left_anti").where("doc_id is not null").distinct()
-    free = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).select(F.col("doc_id").alias("id"), F.lit(None).cast("int").alias("q"))
-    ids = F.broadcast(marks.unionByName(free))  # bounded by labelled + pool
-    found = docs.join(ids, F.col("doc_id") == F.col("id")).select("doc_id", "q", "text", "source", "lang", "n_chars")
+    free = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).select("doc_id", F.lit(None).cast("int").alias("q"))
+    found = one_text_each(docs, marks.unionByName(free), ["text", "source", "lang", "n_chars"])  # at most labelled + pool rows
     rows, views = [], ([], [])
     for r in found.toLocalIterator():
-        rows.append((r[0], r[1], zlib.crc32((r[2] or "").encode("utf-8", "surrogatepass"))))
-        views[0].append(text_view(r[2]))
-        views[1].append(metadata_view(r[3], r[4], r[5], r[2]))
-    order = sorted(range(len(rows)), key=lambda k: (zlib.crc32(str(rows[k][0]).encode()), rows[k][0], rows[k][2]))
+        rows.append((r["doc_id"], r["q"]))
+        views[0].append(text_view(r["text"]))
+        views[1].append(metadata_view(r["source"], r["lang"], r["n_chars"]))
+    order = sorted(range(len(rows)), key=lambda k: (zlib.crc32(str(rows[k][0]).encode()), rows[k][0]))
     known, rest = [k for k in order if rows[k][1] is not None], [k for k in order if rows[k][1] is None]
     if not known:
         return None
