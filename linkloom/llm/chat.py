@@ -10,8 +10,10 @@ bare. A turn is rendered as it is, parsed again, and compared with its source; a
 turn that the parser refuses or recovers differently is escaped and rendered
 again. Escaping puts one backslash behind the first character of every string that
 reads as a control string with any number of backslashes there, so it is reversed
-by taking one away, whatever a text holds. The parser always unescapes, so both
-kinds of turn are read by one parser.
+by taking one away, whatever a text holds, and a second round would find nothing
+left to escape. The parser always unescapes, so both kinds of turn are read by one
+parser. The whole conversation is parsed once more at the end, and one that does not
+come back identical fails the job instead of being returned.
 
 A conversation is one string by its contract, so its turns meet in one row; all
 else is per turn. Turns are ordered by (turn, role, text), nulls first; a null role
@@ -79,7 +81,9 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
           (s, t) -> named_struct('at', s.at + length(t.piece), 'spans',
             if(t.role = 'assistant', array_append(s.spans, named_struct('start', s.at + length(t.piece) - {len(END)} - t.n, 'n', cast(t.n as bigint))), s.spans))).spans"""))
     source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return ends.select("conv_id", "formatted", F.col("spans").alias("loss_spans"), source.alias("source_turns"), parse(F.col("formatted")).eqNullSafe(source).alias("round_trip_ok"))
+    same = parse(F.col("formatted")).eqNullSafe(source)
+    lost = F.raise_error(F.concat(F.lit("conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit(" does not survive its round trip")))
+    return ends.select("conv_id", "formatted", F.col("spans").alias("loss_spans"), source.alias("source_turns"), F.when(same, F.lit(True)).otherwise(lost.cast("boolean")).alias("round_trip_ok"))
 
 
 def digests(conversations: DataFrame) -> DataFrame:
