@@ -70,8 +70,10 @@ GRAM = 16
 #: Rows of a bucket, about, and sampled rows for each.
 BUCKET_ROWS = 500_000
 SAMPLED = 100
-#: Texts are sampled as a whole up to so many bytes, longer ones by rows; so many are sampled at least, if there are.
+#: Of texts up to so many bytes some are sampled, and of these one row in ``THIN``; longer ones are all sampled by rows.
 WHOLE = 1 << 14
+THIN = 16
+#: The sample stands for the rows of so many texts at least, if there are.
 LEAST_TEXTS = 2_000
 BLOCK = 1 << 22
 FLUSH = 1 << 16
@@ -234,11 +236,11 @@ def _bytes(column: pa.Array) -> Iterator[bytes]:
     return (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column)
 
 
-def token_rows(texts: DataFrame, step: int, length: int, splitters: list[np.ndarray] | None = None, rate: float = 1.0) -> DataFrame:
+def token_rows(texts: DataFrame, step: int, length: int, splitters: list[np.ndarray] | None = None, rate: float = 1.0, long_rate: float = 1.0) -> DataFrame:
     """Token rows of texts (row, text), of parts of them (row, text, within) or of parts of their open ranges (row, text, ats).
 
-    With ``splitters``, each row's bucket, too. Of texts over ``WHOLE`` bytes only a
-    share ``rate`` of the rows is given back.
+    With ``splitters``, each row's bucket, too. Only a share ``rate`` of the rows is
+    given back, of those of texts over ``WHOLE`` bytes a share ``long_rate``.
     """
     more = texts.columns[2] if len(texts.columns) > 2 else None
 
@@ -265,9 +267,9 @@ def token_rows(texts: DataFrame, step: int, length: int, splitters: list[np.ndar
                 for k in range(0, len(ats), some):
                     part = ats[k : k + some]
                     parts = divided(part, step) if more == "ats" else (part >> 16, part >> 8 & 255, part & 255, np.zeros(len(part), np.int64))
-                    if rate < 1 and len(data) > WHOLE:
-                        mixed = (parts[0] - parts[3] + row).astype(np.uint64) * _A
-                        chosen = (mixed ^ (mixed >> np.uint64(29))) * _C >> np.uint64(40) < np.uint64(rate * (1 << 24))
+                    if (share := long_rate if len(data) > WHOLE else rate) < 1:
+                        mixed = ((parts[0] - parts[3]).astype(np.uint64) + np.uint64(row * int(_B) % 2**64)) * _A
+                        chosen = (mixed ^ (mixed >> np.uint64(29))) * _C >> np.uint64(40) < np.uint64(share * (1 << 24))
                         parts = tuple(x[chosen] for x in parts)
                     p, most, least, base = parts
                     held.append([*tokens(data, parts, step, length), np.full(len(p), row), p << 16 | most << 8 | least])
@@ -284,21 +286,21 @@ def token_rows(texts: DataFrame, step: int, length: int, splitters: list[np.ndar
 def _splitters(texts: DataFrame, n_texts: int, step: int, length: int) -> list[np.ndarray] | None:
     """Splitters between buckets of about equal size: sorted columns t1, t2, t3, row, at. None if no sampled text has token rows.
 
-    Every token row has the same chance to be in the sample, short texts as a whole and
-    long ones row by row.
+    Every token row has the same chance to be in the sample, whatever text it is of, and
+    few rows of one text are in it together.
     """
     spark = texts.sparkSession
     rate = min(1.0, max(max(LEAST_TEXTS, 20 * slots(spark)) / max(1, n_texts), SAMPLED / BUCKET_ROWS))
-    if rate < 1:
-        drawn = F.pmod(F.xxhash64("row"), F.lit(1 << 24)) < int(rate * (1 << 24))
-        texts = texts.where(drawn | (F.octet_length("text") > WHOLE))
-    sample = written(token_rows(texts, step, length, rate=rate), "sample")
+    drawn = min(1.0, THIN * rate)
+    if drawn < 1:
+        texts = texts.where((F.pmod(F.xxhash64("row"), F.lit(1 << 24)) < int(drawn * (1 << 24))) | (F.octet_length("text") > WHOLE))
+    sample = written(token_rows(texts, step, length, rate=rate / drawn, long_rate=rate), "sample")
     n_rows = sample.count()
     buckets = max(slots(spark), int(n_rows / rate / BUCKET_ROWS) + 1)
     every = max(1, n_rows // buckets)
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = every // 2
+        at = 0  # so that no bucket gets more than `every` sampled rows
         for batch in batches:
             yield batch.take(pa.array(np.arange(at, batch.num_rows, every)))
             at = (at - batch.num_rows) % every if at < batch.num_rows else at - batch.num_rows
