@@ -276,6 +276,7 @@ def groups(docs: DataFrame, words: int = WORDS, max_node: int = MAX_NODE) -> Dat
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = linked.join(lowest, "root").select(F.col("fp").alias("linked_fp"), "component_id")
     named = distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("own_fp"), F.coalesce("component_id", "first").alias("component_id"))
+    named = written(named, "named")  # a table of its own, so that Spark can split what a common fingerprint brings to the join
     return found.join(named, F.col("fp") == F.col("own_fp")).select("doc_id", "fp", "component_id")
 
 
@@ -453,6 +454,7 @@ def similar_groups(docs: DataFrame, words: int, similarity: float, max_node: int
     lowest = linked.groupBy("root").agg(F.min("first").alias("group"))
     linked = linked.join(lowest, "root").select(F.col("id").alias("linked_id"), "group")
     named = distinct.select("id", "first").join(linked, F.col("id") == F.col("linked_id"), "left").select(F.col("id").alias("own_id"), F.coalesce("group", "first").alias("group"))
+    named = written(named, "named")
     return found.select("member", "id").join(named, F.col("id") == F.col("own_id")).select("member", "group")
 
 
