@@ -81,18 +81,27 @@ def github(uri: Column) -> Column:
     return F.when(fits, F.struct(owner.alias("owner"), repo.alias("repo"), _some(rest).alias("endpoint")))
 
 
+#: Extensions by the type of their documents.
+EXTENSIONS = {
+    "markdown": "md markdown mdx qmd rmd mkd mkdn mdwn mdown mkdown".split(),
+    "html": ["htm", "html"],
+    "css": ["css"],
+    "xml": ["xml"],
+    "plaintext": ["txt"],
+}
+
+
+def type_of_extension(ext: str) -> str:
+    """The type of documents with an extension; plain text if it is unknown."""
+    return next((k for k, known in EXTENSIONS.items() if ext.lower().lstrip(".") in known), "plaintext")
+
+
 def file_type(source: Column) -> Column:
     """Type of a document by its extension; an http(s) URL without a known one is HTML, all else plain text."""
     ext = F.lower(F.regexp_extract(F.regexp_replace(source, r"[?#].*$", ""), r"[^/.][^/]*\.([A-Za-z0-9]+)$", 1))
     remote = source.rlike(r"^https?://")
     bare_host = source.rlike(r"^https?://[^/]*/?(?:[?#].*)?$")
-    return (
-        F.when(bare_host, "html")
-        .when(ext.isin("md markdown mdx qmd rmd mkd mkdn mdwn mdown mkdown".split()), "markdown")  # fixed values
-        .when(ext.isin("htm", "html"), "html")
-        .when(ext == "css", "css")
-        .when(ext == "xml", "xml")
-        .when(ext == "txt", "plaintext")
-        .when(remote, "html")
-        .otherwise("plaintext")
-    )
+    by_extension = F.when(bare_host, "html")
+    for kind, known in EXTENSIONS.items():
+        by_extension = by_extension.when(ext.isin(known), kind)
+    return by_extension.when(remote, "html").otherwise("plaintext")

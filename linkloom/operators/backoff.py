@@ -59,17 +59,25 @@ def host_backoff(requests: DataFrame) -> DataFrame:
     """Per host the wait after its last response: host, backoff_ms.
 
     Only what follows a host's last 2xx matters, and of that the last ``SETTLED`` 429s
-    and 5xxs (with reset times in between), so the fold reads a short log even of a
-    host with most of the rows, and is still exact.
+    and 5xxs (the steps), and of the reset times between two steps the greatest. So the
+    fold reads at most 129 entries even of a host with most of the rows, and is exact.
     """
     reset = F.col("reset_ms") if "reset_ms" in requests.columns else F.lit(None).cast("bigint")
-    rows = requests.select("host", F.struct("ts", "event_id").alias("at"), "code", reset.alias("reset_ms"))
+    rows = requests.select("host", F.struct("ts", "event_id").alias("at"), "code", reset.cast("bigint").alias("reset_ms"))
     last = rows.groupBy("host").agg(F.max(F.when(F.col("code").between(200, 299), F.col("at"))).alias("last_ok"))
-    steps = F.coalesce((F.col("code") == 429) | F.col("code").between(500, 599), F.lit(False))
-    recent = rows.where(steps).withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("at")))).where(F.col("k") <= SETTLED)
-    cuts = last.join(recent.groupBy("host").agg(F.min("at").alias("first_step")), "host", "left")
-    tail = rows.where(steps | F.col("reset_ms").isNotNull()).join(cuts, "host")
-    tail = tail.where((F.col("last_ok").isNull() | (F.col("at") > F.col("last_ok"))) & (F.col("first_step").isNull() | (F.col("at") >= F.col("first_step"))))
-    folded = tail.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "code", "reset_ms"))).alias("log"))
-    folded = folded.select("host", F.aggregate("log", F.lit(0).cast("bigint"), _step).alias("backoff_ms"))
+    stepping = F.coalesce((F.col("code") == 429) | F.col("code").between(500, 599), F.lit(False))
+    tail = rows.where(stepping | F.col("reset_ms").isNotNull()).join(last, "host").where(F.col("last_ok").isNull() | (F.col("at") > F.col("last_ok"))).drop("last_ok")
+    recent = tail.where(stepping).withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("at")))).where(F.col("k") <= SETTLED)
+    steps = recent.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "code", "reset_ms"))).alias("steps"))
+    # reset times on responses that are no steps, by the number of steps before them
+    none = F.array().cast(steps.schema["steps"].dataType)
+    between = tail.where(~stepping).join(steps, "host", "left").withColumn("steps", F.coalesce("steps", none))
+    between = between.select("host", "reset_ms", F.size("steps").alias("n"), F.size(F.filter("steps", lambda x: x["at"] <= F.col("at"))).alias("nth"))
+    between = between.where((F.col("nth") > 0) | (F.col("n") < SETTLED)).groupBy("host", "nth").agg(F.max("reset_ms").alias("reset_ms"))
+    entry = lambda nth, kind, code, ms: F.struct(nth.cast("int").alias("nth"), F.lit(kind).alias("kind"), code.cast("int").alias("code"), ms.alias("reset_ms"))
+    resets = between.groupBy("host").agg(F.collect_list(entry(F.col("nth"), 1, F.lit(None), F.col("reset_ms"))).alias("resets"))
+    log = steps.join(resets, "host", "full_outer")
+    made = F.transform(F.coalesce("steps", none), lambda x, k: entry(k + 1, 0, x["code"], x["reset_ms"]))
+    log = log.select("host", F.array_sort(F.concat(made, F.coalesce("resets", F.array().cast(resets.schema["resets"].dataType)))).alias("log"))
+    folded = log.select("host", F.aggregate("log", F.lit(0).cast("bigint"), _step).alias("backoff_ms"))
     return last.select("host").join(folded, "host", "left").fillna(0, ["backoff_ms"])

@@ -20,13 +20,19 @@ def load(cache: DataFrame, now: int, max_age_s: int, excluded_codes: S.Ranges =
     return rows.groupBy("uri").agg(F.max_by("status", F.struct("ts", "status")).alias("status"), F.max("ts").alias("ts"))
 
 
+def latest(cache: DataFrame) -> DataFrame:
+    """uri and status, one row for each uri: the last stored one, or without times the greatest."""
+    order = F.struct("ts", "status") if "ts" in cache.columns else F.struct("status")
+    return cache.groupBy("uri").agg(F.max_by("status", order).alias("status"))
+
+
 def misses(uris: DataFrame, cache: DataFrame) -> DataFrame:
     return uris.join(cache.select("uri"), "uri", "left_anti")
 
 
 def hits(uris: DataFrame, cache: DataFrame, ranges: S.Ranges = S.DEFAULT_ACCEPT) -> DataFrame:
     """uri and status of those in the cache."""
-    return uris.join(cache.select("uri", F.col("status").alias("_text")), "uri").withColumn("status", S.from_cache(S.cache_kind(F.col("_text")), ranges)).drop("_text")
+    return uris.join(latest(cache).withColumnRenamed("status", "_text"), "uri").withColumn("status", S.from_cache(S.cache_kind(F.col("_text")), ranges)).drop("_text")
 
 
 def storable(responses: DataFrame, now: int, excluded_codes: S.Ranges = ()) -> DataFrame:

@@ -42,6 +42,12 @@ class Snapshots:
     missing: str = "timeout"  # error class of URLs that the snapshot lacks
 
 
+def one_each(snapshot: DataFrame, keys: Sequence[str], columns: Sequence[str], later: Column | None = None) -> DataFrame:
+    """One row for each key, so that repeated snapshot rows multiply no link: the least one, rows with ``later`` last."""
+    order = F.struct((F.lit(False) if later is None else F.coalesce(later, F.lit(False))).alias("_later"), *columns)
+    return snapshot.groupBy(*keys).agg(F.min(order).alias("_least")).select(*keys, *(F.col("_least")[c].alias(c) for c in columns))
+
+
 def prepared(requests: DataFrame, config: LinkCheckConfig) -> DataFrame:
     """Requests with remap applied (uri, remap) and excluded, in this order."""
     out = requests.withColumn("_m", R.remapped(F.col("uri"), config.remaps)).withColumn("uri", F.col("_m.uri")).withColumn("remap", F.col("_m.remap")).drop("_m")
@@ -83,7 +89,8 @@ def check_http(uris: DataFrame, snapshots: Snapshots, config: LinkCheckConfig) -
     methods = config.methods
     asked = uris.select("uri", R.quirks(F.col("uri")).alias("asked")).withColumn("url_nofrag", U.strip_fragment(F.col("asked")))
     tried = asked.select("*", F.posexplode(F.array(*map(F.lit, methods))).alias("pos", "method")) if len(methods) > 1 else asked.withColumn("pos", F.lit(0)).withColumn("method", F.lit(methods[0]))
-    snapshot = snapshots.http.select("method", "url_nofrag", "status", "error_class", "error_message", "redirects", "duration_ms", F.col("method").alias("snapshot_method"))
+    # an answer counts before a failure
+    snapshot = one_each(snapshots.http, ["method", "url_nofrag"], ["status", "error_class", "error_message", "redirects", "duration_ms"], F.col("status").isNull()).withColumn("snapshot_method", F.col("method"))
     rows = tried.join(snapshot, ["method", "url_nofrag"], "left")
     chain = F.when(F.size("redirects") > 0, F.struct(F.col("asked").alias("origin"), F.slice("redirects", 1, config.get("max_redirects")).alias("redirects")))
     rows = with_status(rows, config, snapshots.missing).withColumn("chain", chain)
@@ -105,7 +112,7 @@ def check_http(uris: DataFrame, snapshots: Snapshots, config: LinkCheckConfig) -
 
 def github_fallback(outcomes: DataFrame, repositories: DataFrame) -> DataFrame:
     """Failed GitHub URIs of a known public repository (owner, repo, private) without an endpoint are fine; else the first status stays."""
-    known = repositories.select(F.col("owner").alias("g_owner"), F.col("repo").alias("g_repo"), F.col("private").alias("g_private"))
+    known = repositories.groupBy(F.col("owner").alias("g_owner"), F.col("repo").alias("g_repo")).agg(F.bool_or("private").alias("g_private"))
     rows = outcomes.withColumn("_g", F.when(~S.is_success(F.col("status")), U.github(F.col("uri"))))
     rows = rows.join(known, (F.col("_g.owner") == F.col("g_owner")) & (F.col("_g.repo") == F.col("g_repo")), "left")
     fine = S.make(S.OK, F.lit(200), text=S.code_text(F.lit(200)), details=S.code_text(F.lit(200)))
@@ -136,7 +143,7 @@ def fragment_verdict(links: DataFrame, documents: DataFrame, anchors: bool, text
     body goes to Python in the task that reads it.
     """
     asked = links.where(~FR.passes_always(F.col("fragment")))
-    needed = documents.join(asked.select("key").distinct(), "key", "left_semi")
+    needed = one_each(documents.join(asked.select("key").distinct(), "key", "left_semi"), ["key"], ["file_type", "content"])
     indexed = fragment_index(needed.withColumn("shown", visible(F.when(F.col("file_type") == "html", F.col("content")))) if texts else needed.withColumn("shown", F.lit("")))
     rows = asked.join(indexed.withColumnRenamed("file_type", "doc_type"), "key", "left")
     ids = F.array_compact(F.array(F.lit(None).cast("string")))
@@ -197,7 +204,7 @@ def check_mail(uris: DataFrame, mail: DataFrame | None) -> DataFrame:
     if mail is None:
         rows = rows.withColumn("result", F.lit("uncertain")).withColumn("reason", F.lit("address is not in the snapshot"))
     else:
-        rows = rows.join(mail.select("address", "result", "reason"), "address", "left").withColumn("reason", F.when(F.col("result").isNull(), "address is not in the snapshot").otherwise(F.col("reason"))).withColumn("result", F.coalesce("result", F.lit("uncertain")))
+        rows = rows.join(one_each(mail, ["address"], ["result", "reason"]), "address", "left").withColumn("reason", F.when(F.col("result").isNull(), "address is not in the snapshot").otherwise(F.col("reason"))).withColumn("result", F.coalesce("result", F.lit("uncertain")))
     return rows.select("uri", S.mail_status(F.col("result"), F.col("reason")).alias("status"), none, F.lit(None).cast("double").alias("duration_ms"))
 
 
@@ -238,7 +245,7 @@ def check(requests: DataFrame, snapshots: Snapshots, config: LinkCheckConfig) ->
     todo = rows.where("uri is not null and not excluded").groupBy("uri").agg(F.max(U.scheme(F.col("uri"))).alias("scheme"))
     cached = None
     if snapshots.cache is not None:
-        hits = todo.select("uri").join(snapshots.cache.select("uri", F.col("status").alias("stored")), "uri")
+        hits = todo.select("uri").join(C.latest(snapshots.cache).select("uri", F.col("status").alias("stored")), "uri")
         cached = hits.select("uri", S.from_cache(S.cache_kind(F.col("stored")), config.accepted).alias("status"), F.lit(None).cast(f"struct<origin:string,redirects:{REDIRECTS}>").alias("redirects"), F.lit(None).cast("double").alias("duration_ms"))
         todo = C.misses(todo, snapshots.cache)
     of = lambda test: todo.where(test).select("uri")
@@ -270,7 +277,7 @@ def check(requests: DataFrame, snapshots: Snapshots, config: LinkCheckConfig) ->
 
 def redirect_chains(starts: DataFrame, redirects: DataFrame, max_redirects: int = 10) -> DataFrame:
     """Follows a table (from_url, to_url, code) from each distinct url: url, redirects, final_url. ``max_redirects`` equi joins at most."""
-    hops = redirects.select(F.col("from_url").alias("_from"), F.struct(F.col("to_url").alias("url"), F.col("code").cast("int").alias("code")).alias("_hop"))
+    hops = redirects.groupBy(F.col("from_url").alias("_from")).agg(F.min(F.struct(F.col("to_url").alias("url"), F.col("code").cast("int").alias("code"))).alias("_hop"))
     rows = starts.select("url").distinct().withColumn("redirects", F.array().cast(REDIRECTS)).withColumn("final_url", F.col("url"))
     for _ in range(max_redirects):
         rows = rows.join(hops, F.col("final_url") == F.col("_from"), "left")
@@ -281,5 +288,5 @@ def redirect_chains(starts: DataFrame, redirects: DataFrame, max_redirects: int
 def suggestions(responses: DataFrame, archive: DataFrame) -> DataFrame:
     """Archived copies (url, suggestion) of failed links: source, original, suggestion. Timeouts, data, mail and file links have none."""
     failed = responses.where(F.col("status.kind").isin(S.ERROR, S.REQUEST_ERROR) & ~F.coalesce(U.scheme(F.col("uri")).isin("data", "mailto", "file"), F.lit(False)) & (F.col("uri") != "error:"))
-    found = failed.select("source", F.col("uri").alias("url")).distinct().join(archive.where("suggestion is not null"), "url")
+    found = failed.select("source", F.col("uri").alias("url")).distinct().join(archive.groupBy("url").agg(F.max("suggestion").alias("suggestion")).where("suggestion is not null"), "url")
     return found.select("source", F.col("url").alias("original"), "suggestion")

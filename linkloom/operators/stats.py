@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import status as S
@@ -118,6 +118,22 @@ def sorted_hosts(stats: DataFrame) -> DataFrame:
     return stats.orderBy(F.desc("total_requests"), "host")
 
 
-def sorted_by_display(rows: DataFrame, *columns: str) -> DataFrame:
+def host_places(stats: DataFrame) -> DataFrame:
+    """host, total_requests and place, the number of a host in the order of ``sorted_hosts``.
+
+    Hosts are numbered within each total, and totals by a running sum; there are fewer
+    distinct totals than the root of twice the requests, so no task gets all hosts.
+    """
+    totals = stats.groupBy("total_requests").agg(F.count("*").alias("_n"))
+    before = totals.select("total_requests", (F.sum("_n").over(Window.orderBy(F.desc("total_requests"))) - F.col("_n")).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("total_requests").orderBy("host"))
+    return stats.select("host", "total_requests", nth.alias("_nth")).join(before, "total_requests").select("host", "total_requests", (F.col("_nth") + F.col("_before")).cast("bigint").alias("place"))
+
+
+def display_order(*columns: str) -> list[Column]:
     """Case-insensitive order, ties by the exact text."""
-    return rows.orderBy(*(x for c in columns for x in (F.lower(c), F.col(c))))
+    return [x for c in columns for x in (F.lower(c), F.col(c))]
+
+
+def sorted_by_display(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.orderBy(*display_order(*columns))

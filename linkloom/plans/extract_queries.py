@@ -35,27 +35,12 @@ def sc_11_file_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, KINDS, "source string").select("source", U.file_type(F.col("source")).alias("file_type"))
 
 
-@query("SELECT url AS source, 'url' AS source_kind, 'html' AS file_type, length(html) AS n FROM pages")
-def sc_02_remote_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as documents (all their URLs are HTML by name)."""
-    return pages(spark, sf_dir).select("source", "source_kind", F.lit("html").alias("file_type"), F.length("content").cast("bigint").alias("n"))
-
-
 @query("SELECT CAST(doc_id AS VARCHAR) AS source, 'string' AS source_kind, 'plaintext' AS file_type, length(coalesce(text, '')) AS n FROM documents")
 def sc_06_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.from_table(table(spark, sf_dir, "documents"), "doc_id", "text", "string", "plaintext")
     return rows.select("source", "source_kind", "file_type", F.length("content").cast("bigint").alias("n"))
 
 
-LISTED = [("a.md",), ("",), ("# note",), ("  # note",), ("  b.md ",), ("https://x.org/#f",)]
-
-
-@query(f"SELECT trim(value) AS line FROM {values(LISTED, 'value')} WHERE trim(value) <> '' AND NOT starts_with(trim(value), '#')")
-def sc_09_files_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a list of inputs that count."""
-    return frame(spark, LISTED, "value string").select(F.trim("value").alias("line")).where("line <> '' and not startswith(line, '#')")
-
-
 @query("SELECT url AS source FROM pages WHERE NOT regexp_matches(url, '/a|\\.org')")
 def sc_12_exclude_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).where(~matches_any(F.col("source"), ["/a", r"\.org"])).select("source")
@@ -107,14 +92,14 @@ def ex_04_xml_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {PAGE_LINKS} SELECT source, text FROM links")
-def ex_05_anchor_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of pages, JVM only."""
+def ex_05_anchor_links_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages whose anchors have one attribute, JVM only."""
     return L.anchor_links(pages(spark, sf_dir)).select("source", "text")
 
 
 @query(f"WITH {PAGE_LINKS} SELECT source, text FROM links")
-def ex_05_html_links_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the HTML parser."""
+def ex_05_html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages by the HTML parser."""
     return L.extract_links(pages(spark, sf_dir).withColumn("file_type", F.lit("html"))).select("source", "text")
 
 
@@ -136,23 +121,28 @@ def ex_18_wikilinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, WIKI, "id int, md string").select("id", F.explode(L.wikilink_targets(F.col("md"))).alias("target"))
 
 
-@query("""WITH p AS (SELECT url AS source, html, strpos(html, '<a href="') + 8 AS o FROM pages WHERE strpos(html, '<a href="') > 0), b AS (SELECT source, substr(html, 1, o) AS before FROM p)
-SELECT source, length(before) - length(replace(before, chr(10), '')) + 1 AS line, length(split_part(before, chr(10), -1)) + 1 AS col FROM b""")
-def ex_21_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line and column of the first link of each page, JVM only."""
-    at = F.locate('<a href="', F.col("content"))
-    rows = pages(spark, sf_dir).where(at > 0).select("source", L.span_of(F.col("content"), at + 8).alias("s"))
-    return rows.select("source", F.col("s.line").cast("bigint").alias("line"), F.col("s.column").cast("bigint").alias("col"))
+_SPANS = """WITH p AS (SELECT url AS source, string_split(html, '<a href="') AS parts FROM pages WHERE contains(html, '<a href="')),
+k AS (SELECT source, parts, unnest(range(1, len(parts))) AS n FROM p), b AS (SELECT source, array_to_string(parts[1:n], '<a href="') || '<a href="' AS before FROM k)
+SELECT source, length(before) - length(replace(before, chr(10), '')) + 1 AS line, length(split_part(before, chr(10), -1)) + 1 AS col FROM b"""
 
 
-@query("""WITH p AS (SELECT url AS source, html, strpos(html, '<a href="') + 8 AS o FROM pages WHERE strpos(html, '<a href="') > 0), b AS (SELECT source, substr(html, 1, o) AS before FROM p)
-SELECT source, length(before) - length(replace(before, chr(10), '')) + 1 AS line, length(split_part(before, chr(10), -1)) + 1 AS col FROM b""")
-def ex_21_spans_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the HTML parser."""
-    rows = L.extract_links(pages(spark, sf_dir).withColumn("file_type", F.lit("html"))).where("pos = 0")
+@query(_SPANS)
+def ex_21_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line and column of every link of every page."""
+    rows = L.extract_links(pages(spark, sf_dir).withColumn("file_type", F.lit("html")))
     return rows.select("source", F.col("span.line").cast("bigint").alias("line"), F.col("span.column").cast("bigint").alias("col"))
 
 
+@query(_SPANS)
+def ex_21_spans_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for anchors with one attribute, JVM only."""
+    mark = '<a href="'
+    parts = pages(spark, sf_dir).select("source", "content", F.split("content", mark).alias("parts")).where(F.size("parts") > 1)
+    ends = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda n: F.length(F.array_join(F.slice("parts", F.lit(1), n), mark)) + len(mark))
+    rows = parts.select("source", "content", F.explode(ends).alias("at")).select("source", L.span_of(F.col("content"), F.col("at")).alias("s"))
+    return rows.select("source", F.col("s.line").cast("bigint").alias("line"), F.col("s.column").cast("bigint").alias("col"))
+
+
 IDS = [(1, '<h1 id="a">x</h1><a name="b"></a><p id="a">'), (2, "<p>none</p>"), (3, '<div id="c" name="d"></div>')]
 
 

@@ -11,6 +11,7 @@ from linkloom.functions import uri as U
 from linkloom.operators import cache as CA
 from linkloom.operators import check as C
 from linkloom.operators import files, resolve
+from linkloom.operators.run_cache import host_caches, run_cache
 from linkloom.plans.literals import BYTE, CODE, EXAMPLE, HOST, PAGE_LINKS, frame, page_requests, page_responses, page_snapshot, request_log, values
 from linkloom.session import table
 
@@ -47,24 +48,23 @@ def link_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(page_responses(spark, sf_dir))
 
 
-@query(SUMMARY)
-def link_status_summary_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the HTML parser in place of the quick link finder."""
-    return _summary(page_responses(spark, sf_dir, quick=False))
-
-
 @query(f"WITH {CHECKED} SELECT source, uri, CASE WHEN excluded THEN 'Excluded' WHEN code = 200 THEN 'Ok' ELSE 'Error' END AS kind, CASE WHEN NOT excluded THEN CAST(code AS VARCHAR) END AS code FROM checked")
 def jo_01_snapshot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of every link by the snapshot."""
     return page_responses(spark, sf_dir).select("source", "uri", F.col("status.kind").alias("kind"), F.col("status.code").cast("string").alias("code"))
 
 
-@query(f"WITH {PAGE_LINKS}, n AS (SELECT uri, count(*) AS n FROM requests GROUP BY uri) SELECT source, uri, n AS occurrences, n - 1 AS cache_hits FROM requests JOIN n USING (uri)")
+@query(f"WITH {PAGE_LINKS}, n AS (SELECT uri, count(*) AS n FROM requests GROUP BY uri) SELECT source, uri, c.n AS occurrences, c.n - 1 AS cache_hits FROM requests JOIN n AS c USING (uri)")
 def jo_02_dedup_join_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every URI is requested once; the rest of its occurrences are cache hits."""
     links = page_requests(spark, sf_dir)
-    n = links.groupBy("uri").agg(F.count("*").alias("occurrences"))
-    return links.join(n, "uri").select("source", "uri", "occurrences", (F.col("occurrences") - 1).alias("cache_hits"))
+    keys = run_cache(links.select(F.lit("GET").alias("method"), F.col("uri").alias("url"), F.lit(False).alias("needs_body"), "pos", F.struct("source", "pos").alias("seq")), _answers(links))
+    return links.join(keys, U.strip_fragment(F.col("uri")) == F.col("url_nofrag")).select("source", "uri", "occurrences", F.col("hits").alias("cache_hits"))
+
+
+def _answers(links: DataFrame) -> DataFrame:
+    """Every URL is fine."""
+    return links.select(F.lit("GET").alias("method"), U.strip_fragment(F.col("uri")).alias("url_nofrag"), F.lit(200).alias("status")).distinct()
 
 
 NOW = 1_700_000_000
@@ -122,12 +122,11 @@ def ca_06_07_storable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CA.storable(page_responses(spark, sf_dir), NOW).select("uri", "status")
 
 
-@query(f"WITH {PAGE_LINKS} SELECT r.uri, EXISTS (SELECT 1 FROM pages p WHERE p.url = r.uri) AS is_page FROM (SELECT DISTINCT uri FROM requests UNION SELECT url FROM pages WHERE page_id % 2 = 0) r")
+@query(f"WITH {PAGE_LINKS} SELECT r.uri, EXISTS (SELECT 1 FROM pages p WHERE p.url = r.uri) AS is_page FROM (SELECT DISTINCT uri FROM requests UNION SELECT url FROM pages) r")
 def jo_04_existing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets that are pages of the table, by semi and anti joins."""
     known = table(spark, sf_dir, "pages").select(F.col("url").alias("path"))
-    some = table(spark, sf_dir, "pages").where("page_id % 2 = 0").select(F.col("url").alias("path"))
-    asked = page_requests(spark, sf_dir).select(F.col("uri").alias("path")).unionByName(some).distinct()
+    asked = page_requests(spark, sf_dir).select(F.col("uri").alias("path")).unionByName(known).distinct()
     there = files.existing(asked, known).withColumn("is_page", F.lit(True))
     return there.unionByName(files.missing(asked, known).withColumn("is_page", F.lit(False))).select(F.col("path").alias("uri"), "is_page")
 
@@ -210,12 +209,12 @@ def jo_12_ck_14_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("uri", F.col("status.kind").alias("kind"), F.col("status.details").alias("details"))
 
 
-@query(f"WITH {CHECKED} SELECT DISTINCT source, uri AS original, 'https://archive.org/web/' || uri AS suggestion FROM checked WHERE NOT excluded AND code <> 200 AND {_B} % 2 = 0")
+@query(f"WITH {CHECKED} SELECT DISTINCT source, uri AS original, 'https://archive.org/web/' || uri AS suggestion FROM checked WHERE NOT excluded AND code = 404")
 def jo_13_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archived copies of failed links."""
+    """Archived copies of failed links; the made-up archive has those that are gone, each of them twice."""
     responses = page_responses(spark, sf_dir)
-    even = F.conv(F.substring(F.md5("uri"), 1, 2), 16, 10).cast("int") % 2 == 0
-    archive = responses.select("uri").distinct().where(even).select(F.col("uri").alias("url"), F.concat(F.lit("https://archive.org/web/"), "uri").alias("suggestion"))
+    gone = responses.where("status.code = 404").select("uri").distinct()
+    archive = gone.unionByName(gone).select(F.col("uri").alias("url"), F.concat(F.lit("https://archive.org/web/"), "uri").alias("suggestion"))
     return C.suggestions(responses, archive)
 
 
@@ -296,13 +295,28 @@ def ck_05_retry_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.attempts_outcome(rows, 3, S.DEFAULT_ACCEPT).select(F.col("url_nofrag").alias("url"), "attempt")
 
 
-@query(f"WITH {PAGE_LINKS}, n AS (SELECT regexp_replace(uri, '#.*$', '') AS url_nofrag, count(*) AS n FROM requests GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS requests, CAST(sum(n - 1) FILTER (NOT ({CODE.format(u='url_nofrag')} >= 429)) AS BIGINT) AS cache_hits FROM n")
-def ck_06_run_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of a run and the hits of its cache, which does not keep 5xx, 408 and 429."""
+_RUN = f"""asked AS (SELECT regexp_replace(uri, '#.*$', '') AS url, row_number() OVER (PARTITION BY regexp_replace(uri, '#.*$', '') ORDER BY source, text) AS n, {BYTE.format(u="source || text")} < 64 AS body FROM requests),
+k AS (SELECT url, count(*) AS n, coalesce(min(CASE WHEN body THEN n END), 0) AS b, {CODE.format(u="url")} < 429 AS stored FROM asked GROUP BY url),
+keys AS (SELECT *, CASE WHEN NOT stored THEN n WHEN b > 1 THEN 2 ELSE 1 END AS misses FROM k)"""
+
+
+def _run_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = page_requests(spark, sf_dir)
-    n = requests.groupBy(U.strip_fragment(F.col("uri")).alias("url_nofrag")).agg(F.count("*").alias("n")).join(page_snapshot(requests), "url_nofrag")
-    kept = ~S.retryable_code(F.col("status"))
-    return n.agg(F.sum("n").alias("occurrences"), F.count("*").alias("requests"), F.sum(F.when(kept, F.col("n") - 1)).alias("cache_hits"))
+    body = F.conv(F.substring(F.md5(F.concat("source", "text")), 1, 2), 16, 10).cast("int") < 64
+    asked = requests.select(F.lit("GET").alias("method"), F.col("uri").alias("url"), body.alias("needs_body"), F.struct("source", "text").alias("seq"))
+    return run_cache(asked, page_snapshot(requests).unionByName(page_snapshot(requests)))
+
+
+@query(f"WITH {PAGE_LINKS}, {_RUN} SELECT url AS url_nofrag, n AS occurrences, CAST(misses AS BIGINT) AS misses, CAST(n - misses AS BIGINT) AS hits, stored FROM keys")
+def ck_06_run_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that a run makes of each URL and the hits of its cache, which does not keep 5xx, 408 and 429; some requests need the body."""
+    return _run_keys(spark, sf_dir).select("url_nofrag", "occurrences", "misses", "hits", "stored")
+
+
+@query(f"WITH {PAGE_LINKS}, {_RUN} SELECT {HOST.format(u='url')} AS host, CAST(sum(n - misses) AS BIGINT) AS cache_hits, CAST(sum(misses) AS BIGINT) AS cache_misses, count(*) FILTER (stored) AS cache_size, round(sum(n - misses) / sum(n), 9) AS cache_hit_rate FROM keys GROUP BY 1")
+def ag_13_host_caches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and hit rate of the cache of every active host."""
+    return host_caches(_run_keys(spark, sf_dir)).withColumn("cache_hit_rate", F.round("cache_hit_rate", 9))
 
 
 @query(f"WITH {CHECKED} SELECT uri, CASE WHEN starts_with(uri, 'http:') THEN 'Ok' ELSE 'Excluded' END AS kind FROM (SELECT DISTINCT uri FROM checked)")

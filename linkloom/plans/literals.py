@@ -12,7 +12,7 @@ from linkloom.config import LinkCheckConfig
 from linkloom.functions import uri as U
 from linkloom.operators import check as C
 from linkloom.operators import resolve
-from linkloom.operators.extract.links import anchor_links, extract_links
+from linkloom.operators.extract.links import extract_links
 from linkloom.session import table
 from linkloom.sources.inputs import from_table
 
@@ -42,9 +42,12 @@ EXAMPLE = "coalesce(regexp_matches(" + HOST + r", '^(?:[^.]*\.)?example\.(?:com|
 
 #: All links of ``pages`` with their absolute URI (all of them are root-relative).
 PAGE_LINKS = r"""links AS (
-  SELECT page_id, url AS source, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS text FROM pages),
-encoded AS (SELECT page_id, source, text, replace(replace(replace(replace(replace(replace(url_encode(text), '%2F', '/'), '%3F', '?'), '%3D', '='), '%26', '&'), '%2C', ','), '%23', '#') AS path FROM links),
-requests AS (SELECT page_id, source, text, regexp_extract(source, '^([a-z]+://[^/?#]*)', 1) || path AS uri FROM encoded)"""
+  SELECT page_id, url AS source, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS text, unnest(range(1, len(regexp_extract_all(html, '<a href="([^"]*)"')) + 1)) AS n FROM pages),
+encoded AS (SELECT page_id, n, source, text, replace(replace(replace(replace(replace(replace(url_encode(text), '%2F', '/'), '%3F', '?'), '%3D', '='), '%26', '&'), '%2C', ','), '%23', '#') AS path FROM links),
+requests AS (SELECT page_id, n, source, text, regexp_extract(source, '^([a-z]+://[^/?#]*)', 1) || path AS uri FROM encoded)"""
+#: Where the links of ``PAGE_LINKS`` stand (a CTE by page_id and n).
+PAGE_SPANS = """spans AS (SELECT page_id, n, length(before) - length(replace(before, chr(10), '')) + 1 AS line, length(split_part(before, chr(10), -1)) + 1 AS col
+  FROM (SELECT page_id, n, array_to_string(parts[1:n], '<a href="') || '<a href="' AS before FROM (SELECT page_id, parts, unnest(range(1, len(parts))) AS n FROM (SELECT page_id, string_split(html, '<a href="') AS parts FROM pages))))"""
 #: Code that the made-up snapshot gives for a URI without fragment.
 BYTE = "CAST(('0x' || substr(md5({u}), 1, 2)) AS INT)"
 CODE = "CASE WHEN " + BYTE + " < 200 THEN 200 WHEN " + BYTE + " < 230 THEN 404 WHEN " + BYTE + " < 245 THEN 429 ELSE 500 END"
@@ -57,10 +60,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_table(table(spark, sf_dir, "pages"), "url", "html")
 
 
-def page_requests(spark: SparkSession, sf_dir: str, config: LinkCheckConfig | None = None, quick: bool = True) -> DataFrame:
+def page_requests(spark: SparkSession, sf_dir: str, config: LinkCheckConfig | None = None) -> DataFrame:
+    """Requests of all links that the HTML parser finds in ``pages``."""
     config = config or LinkCheckConfig()
-    links = anchor_links(pages(spark, sf_dir)) if quick else extract_links(pages(spark, sf_dir))
-    return resolve.to_requests(links, config.base_url, config.root_dir)
+    return resolve.to_requests(extract_links(pages(spark, sf_dir)), config.base_url, config.root_dir)
 
 
 def page_snapshot(requests: DataFrame) -> DataFrame:
@@ -72,10 +75,21 @@ def page_snapshot(requests: DataFrame) -> DataFrame:
     return url.select(F.lit("GET").alias("method"), "url_nofrag", code.alias("status"), *(F.lit(None).cast(t).alias(c) for c, t in rest.items()))
 
 
-def page_responses(spark: SparkSession, sf_dir: str, config: LinkCheckConfig | None = None, quick: bool = True) -> DataFrame:
+_HELD: list[DataFrame] = []
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` kept while it is read several times; what was kept before is let go, so a session holds one of them."""
+    while _HELD:
+        _HELD.pop().unpersist()
+    _HELD.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _HELD[0]
+
+
+def page_responses(spark: SparkSession, sf_dir: str, config: LinkCheckConfig | None = None) -> DataFrame:
     config = config or LinkCheckConfig()
     # read three times below: for the made-up snapshot, the distinct URIs and the rows
-    requests = page_requests(spark, sf_dir, config, quick).persist(StorageLevel.MEMORY_AND_DISK)
+    requests = held(page_requests(spark, sf_dir, config))
     return C.check(requests, C.Snapshots(http=page_snapshot(requests)), config)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from linkloom.config import LinkCheckConfig
 from linkloom.operators import check as C
@@ -11,9 +12,19 @@ from linkloom.operators.extract.links import extract_links
 
 
 def requests_of(contents: DataFrame, config: LinkCheckConfig) -> DataFrame:
-    """Documents to requests; narrow, so a document's links are made where it is read."""
-    links = extract_links(contents, config.get("include_verbatim"), config.get("include_wikilinks"), config.get("tree_rules"))
-    return resolve.to_requests(links, config.base_url, config.root_dir)
+    """Documents to requests; narrow, so a document's links are made where it is read.
+
+    A source that could not be read (error_kind is set) is one request that is an error.
+    """
+    failed = contents.where("error_kind is not null") if "error_kind" in contents.columns else None
+    fine = contents if failed is None else contents.where("error_kind is null").drop("error_kind", "error_text")
+    links = extract_links(fine, config.get("include_verbatim"), config.get("include_wikilinks"), config.get("tree_rules"))
+    requests = resolve.to_requests(links, config.base_url, config.root_dir)
+    if failed is None:
+        return requests
+    text = F.col("error_text") if "error_text" in contents.columns else F.col("error_kind")
+    errors = failed.select("source", "source_kind", "error_kind", F.coalesce(text, "error_kind").alias("error_text"))
+    return requests.unionByName(errors, allowMissingColumns=True)
 
 
 def check_links(contents: DataFrame, snapshots: C.Snapshots, config: LinkCheckConfig | None = None, store: str | None = None) -> DataFrame:

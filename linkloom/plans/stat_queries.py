@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.config import LinkCheckConfig
 from linkloom.operators import report
 from linkloom.operators import stats as ST
 from linkloom.plans.join_queries import CHECKED
-from linkloom.plans.literals import EVENT_CODE, EVENT_HOST, EXAMPLE, PAGE_LINKS, page_requests, page_responses, pages, request_log, values
+from linkloom.plans.literals import EVENT_CODE, EVENT_HOST, EXAMPLE, PAGE_LINKS, PAGE_SPANS, page_requests, page_responses, pages, request_log, values
 from linkloom.session import table
 
 QUERIES: dict = {}
@@ -33,10 +33,10 @@ def ag_01_04_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.counters(page_responses(spark, sf_dir)).withColumnRenamed("unique", "unique_uris")
 
 
-@query(f"""WITH {CHECKED}, c AS (SELECT DISTINCT source, uri, CASE WHEN excluded THEN 'excluded' WHEN code = 200 THEN 'success' ELSE 'error' END AS class FROM checked)
+@query(f"""WITH {CHECKED}, {PAGE_SPANS}, c AS (SELECT DISTINCT source, uri, line, col, CASE WHEN excluded THEN 'excluded' WHEN code = 200 THEN 'success' ELSE 'error' END AS class FROM checked JOIN spans USING (page_id, n))
 SELECT source, class, count(*) AS bodies FROM c GROUP BY ALL""")
 def ag_05_sets_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct responses of every page by class."""
+    """Distinct responses of every page, each with its place, by class."""
     return ST.per_source(page_responses(spark, sf_dir), detailed=True).groupBy("source", "class").agg(F.count("*").alias("bodies"))
 
 
@@ -48,13 +48,13 @@ def ag_07_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOG = f"log AS (SELECT {EVENT_HOST} AS host, ts, event_id, {EVENT_CODE} AS code, value AS ms FROM events)"
 
 
-@query(f"""WITH {_LOG}, hits AS (SELECT host, count(*) AS h FROM log WHERE event_id % 7 = 0 GROUP BY host),
+@query(f"""WITH {_LOG}, hits AS (SELECT host, count(*) AS h FROM log WHERE code = 200 AND ms < 50 GROUP BY host),
 a AS (SELECT host, count(*) AS n, count(*) FILTER (code = 200) AS ok, count(*) FILTER (code = 429) AS rate_limited, count(*) FILTER (code BETWEEN 400 AND 499 AND code <> 429) AS client_errors, count(*) FILTER (code BETWEEN 500 AND 599) AS server_errors, median(ms) AS median_ms, arg_max(ms, {{'t': ts, 'e': event_id}}) AS latest_ms FROM log GROUP BY host)
 SELECT host, n + h AS total_requests, ok + h AS successful_requests, rate_limited, client_errors, server_errors, median_ms, latest_ms, round((ok + h) / (n + h), 6) AS success_rate, round(100.0 * (rate_limited + client_errors + server_errors) / (n + h), 6) AS error_rate, round(h / (n + h), 6) AS cache_hit_rate FROM a JOIN hits USING (host)""")
 def ag_08_11_host_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters, times and rates of every host."""
+    """Counters, times and rates of every host; quick answers are counted as cache hits once more."""
     log = request_log(spark, sf_dir)
-    hits = log.where("event_id % 7 = 0").groupBy("host").agg(F.count("*").alias("cache_hits"))
+    hits = log.where("code = 200 and duration_ms < 50").groupBy("host").agg(F.count("*").alias("cache_hits"))
     s = ST.host_stats(log, hits)
     return s.select("host", "total_requests", "successful_requests", "rate_limited", "client_errors", "server_errors", "median_ms", "latest_ms", F.round("success_rate", 6).alias("success_rate"), F.round("error_rate", 6).alias("error_rate"), F.round("cache_hit_rate", 6).alias("cache_hit_rate"))
 
@@ -86,24 +86,10 @@ def ag_14_rate_limited_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LOG}, n AS (SELECT host, count(*) AS total_requests FROM log GROUP BY host) SELECT host, total_requests, row_number() OVER (ORDER BY total_requests DESC, host) AS place FROM n")
 def so_01_hosts_by_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts by requests; the place is a column so that the order can be compared."""
-    s = ST.host_stats(request_log(spark, sf_dir)).select("host", "total_requests")
-    return s.select("host", "total_requests", F.row_number().over(Window.orderBy(F.desc("total_requests"), "host")).cast("bigint").alias("place"))
+    return ST.host_places(ST.host_stats(request_log(spark, sf_dir)))
 
 
-@query(r"""WITH s AS (SELECT DISTINCT url AS source, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM pages) SELECT source, host, row_number() OVER (PARTITION BY host ORDER BY lower(source), source) AS place FROM s""")
-def so_02_sorted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of each host in the order of reports."""
-    s = pages(spark, sf_dir).select("source", F.regexp_extract("source", r"^[a-z]+://([^/?#:]*)", 1).alias("host")).distinct()
-    return s.select("source", "host", F.row_number().over(Window.partitionBy("host").orderBy(F.lower("source"), "source")).cast("bigint").alias("place"))
-
-
-@query("SELECT DISTINCT url AS source FROM pages")
-def so_04_distinct_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = pages(spark, sf_dir).select("source")
-    return both.unionByName(both).distinct()
-
-
-@query(f"""WITH {CHECKED} SELECT uri, '[' || CASE WHEN excluded THEN 'EXCLUDED' ELSE CAST(code AS VARCHAR) END || '] ' || uri || CASE WHEN excluded THEN ' | This is due to your ''exclude'' values' WHEN code = 200 THEN '' ELSE ' | Rejected status code: ' || code || ' ' || CASE code WHEN 404 THEN 'Not Found' WHEN 429 THEN 'Too Many Requests' ELSE 'Internal Server Error' END END AS line FROM checked""")
+@query(f"""WITH {CHECKED}, {PAGE_SPANS} SELECT uri, '[' || CASE WHEN excluded THEN 'EXCLUDED' ELSE CAST(code AS VARCHAR) END || '] ' || uri || ' (at ' || line || ':' || col || ')' || CASE WHEN excluded THEN ' | This is due to your ''exclude'' values' WHEN code = 200 THEN '' ELSE ' | Rejected status code: ' || code || ' ' || CASE code WHEN 404 THEN 'Not Found' WHEN 429 THEN 'Too Many Requests' ELSE 'Internal Server Error' END END AS line FROM checked JOIN spans USING (page_id, n)""")
 def rp_06_response_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every response as a line."""
     rows = page_responses(spark, sf_dir)

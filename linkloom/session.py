@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +23,16 @@ def local_session(cpus: str = "*", partitions: int = 8, more: dict[str, str] | N
     )
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this name that driver and executors share: below ``spark.checkpoint.dir``, or, only in a local session without that setting, below the machine's temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/linkloom-{name}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables as a DataFrame (columns are pruned by Catalyst)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.config import TYPE_EXTENSIONS
+from linkloom.config import TYPE_EXTENSIONS, LinkCheckConfig
 from linkloom.functions import uri as U
 from linkloom.functions.filters import matches_any
 
@@ -43,6 +43,11 @@ def distinct_inputs(texts: Iterable[str]) -> list[str]:
     return list(dict.fromkeys(texts))
 
 
+def distinct_sources(contents: DataFrame) -> DataFrame:
+    """The same for a table of any size: source."""
+    return contents.select("source").distinct()
+
+
 def from_table(table: DataFrame, source: str, content: str, kind: str = "url", file_type: str | None = None) -> DataFrame:
     """Rows of any table as documents; a null content is an empty one."""
     name = F.col(source).cast("string")
@@ -57,29 +62,48 @@ def from_texts(spark: SparkSession, texts: Sequence[str], kind: str = "string",
 def from_urls(urls: DataFrame, http_snapshot: DataFrame) -> DataFrame:
     """Remote documents by their GET response: url, source columns, or error_kind for those without 2xx."""
     asked = urls.select(F.col("url").alias("source")).distinct().withColumn("url_nofrag", U.strip_fragment(F.col("source")))
-    rows = asked.join(http_snapshot.where("method = 'GET'").select("url_nofrag", "status", "body"), "url_nofrag", "left")
+    answers = http_snapshot.where("method = 'GET'").groupBy("url_nofrag").agg(F.min(F.struct(F.col("status").isNull(), "status", "body")).alias("_a"))
+    rows = asked.join(answers.select("url_nofrag", "_a.status", "_a.body"), "url_nofrag", "left")
     fine = F.col("status").between(200, 299)
     error = F.when(F.col("status").isNull(), "NetworkRequest").when(~fine, "ReadInputUrlStatusCode")
     return rows.select("source", F.lit("url").alias("source_kind"), U.file_type(F.col("source")).alias("file_type"), F.when(fine, F.coalesce("body", F.lit(""))).alias("content"), error.alias("error_kind"))
 
 
-def read_files(spark: SparkSession, paths: Sequence[str], exclude_path: Sequence[str] = (), hint: str | None = None) -> DataFrame:
-    """Files as they are named, whatever their extension. Files that are no UTF-8 are left out.
+def read_files(spark: SparkSession, paths: Sequence[str], exclude_path: Sequence[str] = (), hint: str | None = None, skip_missing: bool = False) -> DataFrame:
+    """Files as they are named, whatever their extension, with error_kind and error_text. Files that are no UTF-8 are left out.
 
-    Spark's sources pass over names that begin with a dot or an underscore; such files are
-    opened by the tasks themselves, so they have to be on a file system that all mount.
+    A path that is not there is a row with a null content and an error, or no row with
+    ``skip_missing``; the others are read all the same. Spark's sources pass over names
+    that begin with a dot or an underscore; such files are opened by the tasks
+    themselves, so they have to be on a file system that all mount.
     """
-    passed_over = [p for p in paths if os.path.basename(p)[:1] in (".", "_")]
-    rest = [p for p in paths if os.path.basename(p)[:1] not in (".", "_")]
+    there, gone = [], []
+    for p in distinct_inputs(paths):
+        (there if _exists(spark, p) else gone).append(p)
+    passed_over = [p for p in there if os.path.basename(p)[:1] in (".", "_")]
+    rest = [p for p in there if os.path.basename(p)[:1] not in (".", "_")]
     parts = []
     if rest:
         parts.append(spark.read.format("binaryFile").load(rest).select("path", "content"))
     if passed_over:
         parts.append(_opened(spark.createDataFrame([(p,) for p in passed_over], "path string")))
-    if not parts:
-        return spark.createDataFrame([], CONTENTS)
-    binary = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return _decoded(binary, exclude_path, hint)
+    errors = "error_kind string, error_text string"
+    found = spark.createDataFrame([], f"{CONTENTS}, {errors}")
+    if parts:
+        binary = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        none = F.lit(None).cast("string")
+        found = _decoded(binary, exclude_path, hint).withColumns({"error_kind": none, "error_text": none})
+    if gone and not skip_missing:
+        lost = spark.createDataFrame([(p, "file", None, None, "ReadFileInput", f"Cannot read input content from file '{p}'") for p in gone], f"{CONTENTS}, {errors}")
+        lost = lost.withColumn("file_type", U.file_type(F.col("source")))
+        found = found.unionByName(lost.where(~matches_any(F.col("source"), exclude_path)) if exclude_path else lost)
+    return found
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, in any file system that Spark knows, is there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
 def _opened(paths: DataFrame) -> DataFrame:
@@ -104,13 +128,13 @@ def _decoded(binary: DataFrame, exclude_path: Sequence[str], hint: str | None) -
     return rows.select("source", F.lit("file").alias("source_kind"), kind.alias("file_type"), F.col("content").cast("string").alias("content"))
 
 
-def read_glob(spark: SparkSession, pattern: str, ignore_case: bool = False, hidden: bool = False, exclude_path: Sequence[str] = ()) -> DataFrame:
+def read_glob(spark: SparkSession, pattern: str, ignore_case: bool = False, hidden: bool = False, exclude_path: Sequence[str] = (), hint: str | None = None) -> DataFrame:
     """Files that match a glob; extensions do not matter, hidden ones need ``hidden``."""
     pattern = os.path.expanduser(pattern)
     if ignore_case:
         pattern = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
     found = expand_glob(pattern, hidden)
-    return read_files(spark, found, exclude_path)
+    return read_files(spark, found, exclude_path, hint)
 
 
 def expand_glob(pattern: str, hidden: bool = False) -> list[str]:
@@ -119,9 +143,48 @@ def expand_glob(pattern: str, hidden: bool = False) -> list[str]:
     return sorted(p for p in glob.glob(pattern, recursive=True, include_hidden=hidden) if os.path.isfile(p))
 
 
-def read_folder(spark: SparkSession, path: str, extensions: Sequence[str] = TYPE_EXTENSIONS, hidden: bool = False, no_ignore: bool = False, exclude_path: Sequence[str] = ()) -> DataFrame:
+def read_folder(spark: SparkSession, path: str, extensions: Sequence[str] = TYPE_EXTENSIONS, hidden: bool = False, no_ignore: bool = False, exclude_path: Sequence[str] = (), hint: str | None = None) -> DataFrame:
     """A folder and all below it: files with one of the extensions that no ignore file names."""
-    return read_files(spark, list(walk(path, extensions, hidden, no_ignore)), exclude_path)
+    return read_files(spark, list(walk(path, extensions, hidden, no_ignore)), exclude_path, hint)
+
+
+def read_inputs(spark: SparkSession, texts: Iterable[str], config: LinkCheckConfig, http_snapshot: DataFrame | None = None, stdin: str = "") -> DataFrame:
+    """All inputs that a user names, under the options of the configuration: contents with error_kind and error_text.
+
+    ``files_from`` adds the lines of a file; ``default_extension`` is the type of files
+    whose own extension says nothing; with ``skip_missing`` inputs that are not there
+    are passed over, else a missing file is an error row and any other text is refused.
+    """
+    found = list(texts)
+    if config.files_from is not None:
+        found += [r[0] for r in lines_of(spark, config.files_from).collect()]  # a list that a person keeps
+    by_kind: dict[str, list[str]] = {}
+    for text in distinct_inputs(found):
+        try:
+            by_kind.setdefault(classify(text), []).append(text)
+        except ValueError:
+            if os.path.splitext(text)[1]:
+                by_kind.setdefault("file", []).append(text)  # it is named like a file
+            elif not config.get("skip_missing"):
+                raise
+    hint = U.type_of_extension(config.default_extension) if config.default_extension else None
+    none = F.lit(None).cast("string")
+    out = spark.createDataFrame([], CONTENTS + ", error_kind string, error_text string")
+    add = lambda df: out.unionByName(df if "error_kind" in df.columns else df.withColumn("error_kind", none), allowMissingColumns=True)
+    if "stdin" in by_kind:
+        out = add(from_texts(spark, [stdin], "stdin", hint or "plaintext"))
+    if "url" in by_kind:
+        if http_snapshot is None:
+            raise ValueError("URLs as inputs need a snapshot of their answers")
+        out = add(from_urls(spark.createDataFrame([(u,) for u in by_kind["url"]], "url string"), http_snapshot))
+    for pattern in by_kind.get("glob", ()):
+        out = add(read_glob(spark, pattern, config.get("glob_ignore_case"), config.get("hidden"), config.exclude_path, hint))
+    paths = [os.path.expanduser(p) for p in by_kind.get("file", ())]
+    for folder in filter(os.path.isdir, paths):
+        out = add(read_folder(spark, folder, config.get("extensions"), config.get("hidden"), config.get("no_ignore"), config.exclude_path, hint))
+    if files := [p for p in paths if not os.path.isdir(p)]:
+        out = add(read_files(spark, files, config.exclude_path, hint, config.get("skip_missing")))
+    return out
 
 
 def _ignore_rules(path: str) -> list[tuple[bool, bool, bool, str]]:

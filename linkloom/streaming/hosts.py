@@ -25,8 +25,8 @@ class Backoff(StatefulProcessor):
         found = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         wait = int(self.state.get()[0]) if self.state.exists() else 0
         out = []
-        for code in found["code"]:
-            wait = step(wait, None if pd.isna(code) else int(code))
+        for code, reset in zip(found["code"], found["reset_ms"], strict=True):
+            wait = step(wait, None if pd.isna(code) else int(code), None if pd.isna(reset) else int(reset))
             out.append(wait)
         self.state.update((wait,))
         yield pd.DataFrame({"host": key[0], "event_id": found["event_id"].to_numpy(), "backoff_ms": out})
@@ -36,8 +36,14 @@ class Backoff(StatefulProcessor):
 
 
 def backoff(requests: DataFrame) -> DataFrame:
-    """A stream of requests (host, ts, event_id, code) to host, event_id, backoff_ms. Needs the RocksDB state store."""
-    return requests.select("host", "ts", "event_id", "code").groupBy("host").transformWithStateInPandas(Backoff(), BACKOFF, "append", "None")
+    """A stream of requests (host, ts, event_id, code and, if known, reset_ms) to host, event_id, backoff_ms. Needs the RocksDB state store.
+
+    A task holds what one host sends in one trigger, to put it in order; bound the
+    triggers (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) where a host may send more.
+    """
+    reset = F.col("reset_ms") if "reset_ms" in requests.columns else F.lit(None)
+    rows = requests.select("host", "ts", "event_id", "code", reset.cast("bigint").alias("reset_ms"))
+    return rows.groupBy("host").transformWithStateInPandas(Backoff(), BACKOFF, "append", "None")
 
 
 def distinct_links(links: DataFrame, key: str = "uri", event_time: str = "ts", delay: str = "1 day") -> DataFrame:

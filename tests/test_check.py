@@ -150,6 +150,68 @@ def test_fetcher_makes_a_snapshot(spark, world):
     assert len(rows) == 2 and rows["https://h.org/ok"]["status"] == 200 and rows["https://h.org/no"]["headers"] == {"a": "me"}
 
 
+def test_fetcher_keeps_to_the_limits_of_hosts(spark):
+    """No more requests at a time than a host allows, and a pause before each of its own."""
+    from linkloom.config import HostConfig
+
+    def get(method, url, headers, timeout):
+        import sys
+        import threading
+        import time
+
+        lock, now, most = sys.__dict__.setdefault("linkloom_test", (threading.Lock(), {}, {}))  # the worker's own
+        host = url.split("/")[2]
+        with lock:
+            now[host] = now.get(host, 0) + 1
+            most[host] = max(most.get(host, 0), now[host])
+        time.sleep(0.05)
+        with lock:
+            now[host] -= 1
+        return {"status": 200, "error_class": "none", "body": f"{most[host]} {headers.get('x', '')}", "redirects": []}
+
+    urls = spark.createDataFrame([(f"https://{h}/{k}",) for h in ("one.org", "two.org") for k in range(8)], "url string")
+    config = LinkCheckConfig(host_concurrency=4, host_request_interval_ms=0, max_concurrency=8, hosts={"one.org": HostConfig(concurrency=1, headers={"x": "y"})})
+    got = fetch.fetch(urls, config, get).collect()
+    seen = {h: max(int(r["body"].split()[0]) for r in got if h in r["url_nofrag"]) for h in ("one.org", "two.org")}
+    assert len(got) == 16 and seen["one.org"] == 1 and 1 < seen["two.org"] <= 4
+    assert all(r["body"].endswith("y") == ("one.org" in r["url_nofrag"]) for r in got)
+
+
+def test_tls_options():
+    import ssl
+
+    assert fetch.tls_context(True, None).verify_mode == ssl.CERT_NONE
+    assert fetch.tls_context(False, "TLSv1_3").minimum_version == ssl.TLSVersion.TLSv1_3
+    with pytest.raises(ValueError):
+        fetch.tls_context(False, "SSLv3")
+
+
+def test_run_cache_by_a_table(spark):
+    """Random requests against a dictionary that is asked one by one."""
+    import random
+
+    from linkloom.operators.run_cache import host_caches, run_cache
+
+    rng = random.Random(9)
+    status = {f"https://h{k % 3}.org/{k}": rng.choice([200, 404, 429, 500, 408, None]) for k in range(30)}
+    asked = [(rng.choice(["GET", "HEAD"]), rng.choice(sorted(status)) + rng.choice(["", "#a"]), rng.random() < 0.3, n) for n in range(400)]
+    kept, hits, misses = {}, {}, {}
+    for method, url, body, _ in asked:
+        key = (method, url.split("#")[0])
+        if key in kept and (kept[key] or not body):
+            hits[key] = hits.get(key, 0) + 1
+            continue
+        misses[key] = misses.get(key, 0) + 1
+        code = status[key[1]]
+        if code is not None and code not in (408, 429) and code < 500:
+            kept[key] = body
+    outcomes = spark.createDataFrame([(m, u, s) for u, s in status.items() for m in ("GET", "HEAD", "GET")], "method string, url_nofrag string, status int")
+    keys = run_cache(spark.createDataFrame(asked, "method string, url string, needs_body boolean, seq int"), outcomes)
+    got = {(r["method"], r["url_nofrag"]): (r["hits"], r["misses"], r["stored"]) for r in keys.collect()}
+    assert got == {k: (hits.get(k, 0), misses[k], k in kept) for k in misses}
+    assert sum(r["cache_size"] for r in host_caches(keys).collect()) == len(kept)
+
+
 def test_cookies(tmp_path):
     jar = tmp_path / "jar.json"
     assert fetch.load_cookies(str(jar)) == []

@@ -69,3 +69,33 @@ def test_preprocessor(spark, tmp_path):
 def test_index_of_files(spark, site):
     rows = {r["path"]: r for r in I.fs_index(spark, str(site)).collect()}
     assert rows[str(site)]["is_dir"] and rows[f"{site}/sub/e.txt"]["ext"] == "txt"
+
+
+def test_missing_files_are_error_rows(spark, site):
+    from linkloom.config import LinkCheckConfig
+    from linkloom.operators.check import Snapshots
+    from linkloom.plans import pipeline
+
+    paths = [f"{site}/a.md", f"{site}/gone.md", f"{site}/.hidden.md", f"{site}/.gone.md", f"{site}/a.md"]
+    got = {os.path.basename(r["source"]): (r["content"], r["error_kind"], r["file_type"]) for r in I.read_files(spark, paths).collect()}
+    assert got == {"a.md": ("[x](y)", None, "markdown"), ".hidden.md": ("h", None, "markdown"), "gone.md": (None, "ReadFileInput", "markdown"), ".gone.md": (None, "ReadFileInput", "markdown")}
+    assert names(I.read_files(spark, paths, skip_missing=True)) == [".hidden.md", "a.md"]
+    assert I.read_files(spark, [f"{site}/gone.md"], skip_missing=True).count() == 0
+    assert names(I.read_files(spark, paths, exclude_path=("gone",))) == [".hidden.md", "a.md"]
+    http = spark.createDataFrame([], "method string, url_nofrag string, status int, error_class string, error_message string, headers map<string,string>, body string, final_url string, redirects array<struct<url:string,code:int>>, duration_ms double")
+    run = pipeline.check_links(I.read_files(spark, paths), Snapshots(http=http), LinkCheckConfig()).collect()
+    failed = [r for r in run if r["status"]["error_kind"] == "ReadFileInput"]
+    assert sorted(os.path.basename(r["source"]) for r in failed) == [".gone.md", "gone.md"] and all(r["uri"] == "error:" and "gone.md" in r["status"]["text"] for r in failed)
+
+
+def test_inputs_under_the_options(spark, site):
+    from linkloom.config import LinkCheckConfig
+
+    (site / "list").write_text(f"{site}/sub\n# no\n{site}/gone.md\n")
+    config = LinkCheckConfig(files_from=f"{site}/list", default_extension="html", exclude_path=("bad",))
+    got = {os.path.basename(r["source"]): (r["file_type"], r["error_kind"]) for r in I.read_inputs(spark, ["-", f"{site}/c.bin", f"{site}/*.MD", f"{site}/c.bin"], config, stdin="x").collect()}
+    assert got == {"<stdin>": ("html", None), "c.bin": ("html", None), "e.txt": ("plaintext", None), "gone.md": ("markdown", "ReadFileInput")}
+    assert names(I.read_inputs(spark, [f"{site}/gone.md", "nowhere"], LinkCheckConfig(skip_missing=True))) == []
+    with pytest.raises(ValueError, match="not found"):
+        I.read_inputs(spark, ["nowhere"], LinkCheckConfig())
+    assert names(I.read_inputs(spark, [f"{site}/*.MD"], LinkCheckConfig(glob_ignore_case=True))) == ["a.md"]

@@ -29,6 +29,17 @@ def test_backoff_stream_equals_the_fold(spark, tmp_path):
     assert got == want
 
 
+def test_backoff_stream_with_reset_times(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    reset = F.when(F.col("code").isin(404, 429), F.col("event_id") * 300)
+    got = {r["event_id"]: r["backoff_ms"] for r in run(spark, tmp_path, lambda s: hosts.backoff(s.withColumn("reset_ms", reset)), "resets")}
+    want, state = {}, {}
+    for host, _, event_id, code, _ in rows():
+        want[event_id] = state[host] = step(state.get(host, 0), code, event_id * 300 if code in (404, 429) else None)
+    assert got == want
+
+
 def test_distinct_links(spark, tmp_path):
     got = run(spark, tmp_path, hosts.distinct_links, "links")
     assert sorted(r["uri"] for r in got) == ["u0", "u1", "u2"]
