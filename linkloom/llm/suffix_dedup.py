@@ -55,7 +55,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import kept_as, slots, written
@@ -217,11 +217,10 @@ def compared(rows: DataFrame, buckets: int) -> DataFrame:
     dealt = rows.repartitionById(buckets, F.col("bucket")).drop("bucket")
     flagged = written(dealt.mapInArrow(_in_buckets, TOKENS + ", state int, edge boolean"), "repeats")
     # two rows of each bucket, compared across the boundaries
-    ends = flagged.where("edge").select(*_NAMES, "state")
-    n = ends.groupBy("t1", "t2", "t3").agg(F.count("*").alias("n"))
-    m = n.groupBy("t1", "t2").agg(F.count("*").alias("m"))
-    across = F.when(F.col("n") > 1, 2).otherwise(0).bitwiseOR(F.when(F.col("m") > 1, 1).otherwise(0))
-    ends = ends.join(n, ["t1", "t2", "t3"]).join(m, ["t1", "t2"]).select("row", "at", F.col("state").bitwiseOR(across).alias("state"))
+    same, lead = Window.partitionBy("t1", "t2", "t3"), Window.partitionBy("t1", "t2")
+    ends = flagged.where("edge").withColumn("mixed", F.min("t3").over(lead) < F.max("t3").over(lead)).withColumn("n", F.count("*").over(same))
+    across = F.when(F.col("n") > 1, 2).otherwise(0).bitwiseOR(F.when(F.col("mixed"), 1).otherwise(0))
+    ends = ends.select("row", "at", F.col("state").bitwiseOR(across).alias("state"))
     return flagged.where("not edge").select("row", "at", "state").unionByName(ends).where("state > 0")
 
 
