@@ -217,10 +217,11 @@ def compared(rows: DataFrame, buckets: int) -> DataFrame:
     dealt = rows.repartitionById(buckets, F.col("bucket")).drop("bucket")
     flagged = written(dealt.mapInArrow(_in_buckets, TOKENS + ", state int, edge boolean"), "repeats")
     # two rows of each bucket, compared across the boundaries
-    same, lead = Window.partitionBy("t1", "t2", "t3"), Window.partitionBy("t1", "t2")
-    ends = flagged.where("edge").withColumn("mixed", F.min("t3").over(lead) < F.max("t3").over(lead)).withColumn("n", F.count("*").over(same))
-    across = F.when(F.col("n") > 1, 2).otherwise(0).bitwiseOR(F.when(F.col("mixed"), 1).otherwise(0))
-    ends = ends.select("row", "at", F.col("state").bitwiseOR(across).alias("state"))
+    ends = flagged.where("edge").select(*_NAMES, "state")
+    lead = Window.partitionBy("t1", "t2")  # over distinct tokens, so a very common one is a single row of it
+    known = ends.groupBy("t1", "t2", "t3").agg(F.count("*").alias("n")).withColumn("m", F.count("*").over(lead))
+    across = F.when(F.col("n") > 1, 2).otherwise(0).bitwiseOR(F.when(F.col("m") > 1, 1).otherwise(0))
+    ends = ends.join(known, ["t1", "t2", "t3"]).select("row", "at", F.col("state").bitwiseOR(across).alias("state"))
     return flagged.where("not edge").select("row", "at", "state").unionByName(ends).where("state > 0")
 
 
