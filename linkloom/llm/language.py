@@ -27,13 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import one_text_each
+from linkloom.llm.common import drawn, one_text_each, place
 
 WINDOW = 128
 HIDDEN = 8
 TRAIN_DOCS = 400
 TRAIN_TOTAL = 20_000
-SHARES = 16
 STEPS = 360
 BATCH = 192
 TRAIN_WINDOW = 64
@@ -201,12 +200,13 @@ def remainder(n: int):
 
 def training_rows(docs: DataFrame, each: int, total: int = TRAIN_TOTAL) -> tuple[list[bytes], np.ndarray, list[str]]:
     """At most ``each`` texts of every language and ``total`` of all, not held out, to the driver."""
-    ids = docs.where(F.col("lang").isNotNull() & (remainder(3) != 1)).select("doc_id", F.col("lang").alias("train_lang"), F.xxhash64("doc_id").alias("order"))
-    # the first of each share of the hashes, then of all: no task gets more than `each` rows of a share or SHARES * each of a language
-    first = lambda df, *keys: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("order", "doc_id"))).where(F.col("k") <= each)
-    ids = first(first(ids.withColumn("share", F.pmod(F.col("order"), F.lit(SHARES))), "train_lang", "share"), "train_lang")
-    ids = ids.groupBy("doc_id").agg(F.min("train_lang").alias("train_lang"), F.min("k").alias("k"), F.min("order").alias("order"))
-    ids = ids.orderBy("k", "order", "doc_id").limit(total).select("doc_id", "train_lang")  # the first of each language, then the second ones
+    ids = docs.where(F.col("lang").isNotNull() & (remainder(3) != 1)).select("doc_id", F.col("lang").alias("train_lang"))
+    # of each language about 16 times as many as are asked for, drawn by place alone, so no task gets a language as a whole
+    sizes = ids.groupBy("train_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "train_lang").limit(total)
+    ids = ids.join(F.broadcast(sizes), "train_lang").where(drawn(16 * each / F.col("n"))).groupBy("doc_id").agg(F.min("train_lang").alias("train_lang"))
+    nth = F.row_number().over(Window.partitionBy("train_lang").orderBy(place(), "doc_id"))
+    ids = ids.withColumn("nth", nth).where(F.col("nth") <= each)
+    ids = ids.orderBy("nth", place(), "doc_id").limit(total).select("doc_id", "train_lang")  # the first of each language, then the second ones
     rows = [(encode(r[2]), r[1], r[0]) for r in one_text_each(docs, ids, ["text"]).toLocalIterator() if r[2] and _LETTER.search(r[2])]
     rows.sort(key=lambda r: (r[2], r[1], r[0]))
     langs = sorted({r[1] for r in rows})

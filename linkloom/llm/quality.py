@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import one_text_each
+from linkloom.llm.common import drawn, first_ids, one_text_each, place
 
 LABELLED = 6_000
 POOL = 3_000
@@ -165,9 +165,11 @@ def _views(texts, sources, langs, sizes) -> list[np.ndarray]:
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict | None:
     """Trains on a bounded sample of documents, read to the driver."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    free = docs.select("doc_id").join(labels.select("doc_id").distinct(), "doc_id", "left_anti").where("doc_id is not null").distinct()
-    free = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).select("doc_id", F.lit(None).cast("int").alias("q"))
+    marks = first_ids(marks, labelled)
+    # drawn by place first, so that few ids are compared with the labels
+    some = docs.select(F.col("doc_id")).where(F.col("doc_id").isNotNull() & drawn(F.lit(min(1.0, 16 * pool / max(1, docs.count())))))
+    free = some.distinct().join(labels.select("doc_id"), "doc_id", "left_anti")
+    free = free.orderBy(place(), "doc_id").limit(pool).select("doc_id", F.lit(None).cast("int").alias("q"))
     found = one_text_each(docs, marks.unionByName(free), ["text", "source", "lang", "n_chars"])  # at most labelled + pool rows
     rows, views = [], ([], [])
     for r in found.toLocalIterator():

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import one_text_each
+from linkloom.llm.common import first_ids, one_text_each
 
 TRAIN_ROWS = 8_000
 MAX_TERMS = 400
@@ -204,7 +204,7 @@ def remainder(doc_id, n: int):
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[list[str | None], np.ndarray]:
     """Texts and labels of at most ``rows`` labelled documents that are not held out, to the driver."""
     ids = labels.where((remainder("doc_id", 4) != 2) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic_label"))
-    ids = ids.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    ids = first_ids(ids.where("doc_id is not null"), rows)
     found = sorted(((r[0], r[2] or "", r[1]) for r in one_text_each(docs, ids, ["text"]).toLocalIterator()), key=lambda r: r[:2])
     return [r[1] for r in found], np.array([r[2] == 1 for r in found], bool)
 
