@@ -1,15 +1,16 @@
 """Links and heading fragments of Markdown.
 
 A scanner for the parts of CommonMark that decide what is a link: block structure
-(fences, indented code, HTML blocks, headings, math, definitions, footnotes) and, in
-running text, code spans, inline HTML, autolinks, links, images and wikilinks.
+(quotes, lists and footnotes at any depth; in them fences, indented code, HTML blocks,
+headings, rules, definitions and text) and, in running text, code spans, math, inline
+HTML, autolinks, links, images and wikilinks.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from typing import NamedTuple
 
 from linkloom.operators.extract.html import html_fragments, html_links
 from linkloom.operators.extract.linkfinder import plaintext_links
@@ -22,9 +23,12 @@ _HTML_BLOCK = re.compile(r" {0,3}<(?:/?[A-Za-z][A-Za-z0-9-]*(?:[\s/>]|$)|!--|\?|
 _BLOCK_TAGS = frozenset(
     "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul pre script style textarea".split()
 )
-_COMPLETE_TAG = re.compile(r" {0,3}</?[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:{][^\s=>]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?)*\s*/?>\s*$", re.S)
 _OPEN_TAG = re.compile(r"<[A-Za-z][A-Za-z0-9-]*(?:\s+[^<>\"']*(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)?\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>|<!--.*?-->", re.S)
-_DEFINITION = re.compile(r" {0,3}\[(?P<label>(?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(?:<(?P<angle>[^<>\n]*)>|(?P<bare>\S+))[ \t]*(?:\n?[ \t]*(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*(?=\n|\Z)")
+_DEFINITION = re.compile(r" {0,3}\[(?P<label>(?!\^)(?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(?:<(?P<angle>[^<>\n]*)>|(?P<bare>\S+))[ \t]*(?:\n?[ \t]*(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*(?=\n|\Z)")
+_ITEM = re.compile(r"(?:[-*+]|(?P<number>\d{1,9})[.)])(?=[ \t]|$)")
+_BLANK = re.compile(r"[ \t]*$")
+_RULE = re.compile(r"([-*_])(?:[ \t]*\1){2,}[ \t]*$")
+_FRONT_MATTER = re.compile(r"(---|\+\+\+)\n(?:.*\n)*?\1[ \t]*(?:\n|\Z)")
 _FOOTNOTE = re.compile(r" {0,3}\[\^[^\]\s]+\]:")
 _AUTOLINK = re.compile(r"<(?P<url>[A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*|[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9.-]+)>")
 _TARGET = re.compile(r"\(\s*(?:<(?P<angle>(?:[^<>\n\\]|\\.)*)>|(?P<bare>(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.|\([^\s()]*\))*\))*))(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)")
@@ -33,125 +37,259 @@ _EXPLICIT_ID = re.compile(r"[ \t]*\{(?P<inner>[^{}]*)\}[ \t]*$")
 _ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
 
 
-def _lines(text: str) -> Iterator[tuple[int, str]]:
-    at = 0
-    while at < len(text):
-        end = text.find("\n", at)
-        end = len(text) if end < 0 else end
-        yield at, text[at:end]
-        at = end + 1
-
-
 def _label(text: str) -> str:
     return " ".join(text.split()).casefold()
 
 
-def blocks(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the blocks: code, html, math, heading, definition, text."""
-    out: list[tuple[str, int, int]] = []
-    rows = list(_lines(text))
-    k = 0
-    paragraph: int | None = None  # row at which running text began
-
-    def flush(upto: int) -> None:
-        nonlocal paragraph
-        if paragraph is not None and upto > paragraph:
-            a, b = rows[paragraph][0], rows[upto - 1][0] + len(rows[upto - 1][1])
-            out.append(("text", a, b))
-        paragraph = None
-
-    if text.startswith("---\n") or text.startswith("+++\n"):  # front matter is no text
-        close = next((j for j in range(1, len(rows)) if rows[j][1].rstrip() == text[:3]), None)
-        k = close + 1 if close else 0
-    while k < len(rows):
-        at, line = rows[k]
-        bare = re.sub(r"^(?: {0,3}>[ ]?)+", "", line)
-        item = re.match(r" *(?:[-*+]|\d{1,9}[.)])[ \t]+", bare)
-        fence = _FENCE.match(bare[item.end() :] if item else bare)
+class Block(NamedTuple):
+    """A leaf block: code, html, heading, definition or text. ``shown`` starts at ``at`` of the document; marks of quotes and lists in it are spaces, so places in it are places in the document."""
+
+    kind: str
+    at: int
+    shown: str
+
+
+class _Cursor:
+    """A line of the document, of which containers take marks and columns of indentation."""
+
+    def __init__(self, text: str, at: int, end: int):
+        self.text, self.at, self.end = text, at, end
+        self.col = self.spare = 0  # column of ``at``, and columns left of a tab that was taken in part
+
+    def indent(self) -> tuple[int, int]:
+        """Columns of white space from here, and where it ends."""
+        at, col = self.at, self.col
+        while at < self.end and self.text[at] in " \t":
+            col += 1 if self.text[at] == " " else 4 - col % 4
+            at += 1
+        return self.spare + col - self.col, at
+
+    def skip(self, columns: int) -> None:
+        """Takes so many columns of white space, or what there is of them."""
+        taken = min(columns, self.spare)
+        self.spare -= taken
+        while taken < columns and self.at < self.end and self.text[self.at] in " \t":
+            width = 1 if self.text[self.at] == " " else 4 - self.col % 4
+            self.at, self.col = self.at + 1, self.col + width
+            self.spare = max(0, taken + width - columns)
+            taken += width
+
+    def take(self, chars: int) -> None:
+        self.at, self.col, self.spare = self.at + chars, self.col + chars, 0
+
+    def rest(self) -> str:
+        return self.text[self.at : self.end]
+
+
+class _Blocks:
+    """Line by line: which containers go on, which open, and to which leaf the rest of the line belongs."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.out: list[Block] = []
+        self.within: list[list] = []  # containers: None for a quote, else [columns that a line of the item is indented by, whether it is still empty]
+        self.leaf: str | None = None
+        self.parts: list[tuple[int, int]] = []
+        self.fence = self.until = ""
+        self.tag_end = 0
+
+    def close(self, as_heading: bool = False) -> None:
+        """Ends the open leaf."""
+        kind, parts, self.leaf, self.parts = self.leaf, self.parts, None, []
+        if kind == "code" and not self.fence:
+            while parts and not self.text[slice(*parts[-1])].strip():
+                parts.pop()
+        if not parts:
+            return
+        start, shown, end = parts[0][0], "", parts[0][0]
+        pieces = []
+        for a, b in parts:
+            pieces.append(("\n" + " " * (a - end - 1) if a > end else "") + self.text[a:b])
+            end = b
+        shown = "".join(pieces)
+        if kind == "text":
+            while shown and (m := _DEFINITION.match(shown)):
+                self.out.append(Block("definition", start, m[0]))
+                cut = m.end() + len(shown[m.end() :]) - len(shown[m.end() :].lstrip())
+                start, shown = start + cut, shown[cut:]
+            kind = "heading" if as_heading else "text"
+        if shown:
+            self.out.append(Block(kind, start, shown))
+
+    def leave(self, depth: int) -> None:
+        """Ends the containers beyond ``depth``, with the leaf in them."""
+        if depth < len(self.within):
+            self.close()
+            del self.within[depth:]
+
+    def line(self, at: int, end: int) -> None:
+        c = _Cursor(self.text, at, end)
+        depth = 0
+        for box in self.within:
+            width, ink = c.indent()
+            if box is None:
+                if width > 3 or self.text[ink : ink + 1] != ">" or ink >= end:
+                    break
+                c.skip(width)
+                c.take(1)
+                c.skip(1)
+            elif ink >= end and not box[1]:
+                c.skip(width)
+            elif width >= box[0] and ink < end:
+                c.skip(box[0])
+            else:
+                break
+            depth += 1
+        whole = depth == len(self.within)
+        if whole and self.leaf in ("code", "html") and self.goes_on(c):
+            return
+        lazy = self.leaf == "text" and not whole
+        marks = at + len(self.text[at:end].rstrip(" \t-*_"))  # a rule can only be behind all else
+        while True:  # containers that begin here
+            width, ink = c.indent()
+            if width > 3 or ink >= end:
+                break
+            inside = self.leaf == "text" and whole and depth == len(self.within)
+            item = _ITEM.match(self.text, ink, end)
+            note = _FOOTNOTE.match(self.text, ink, end)
+            if self.text[ink] == ">":
+                self.enter(depth, None)
+                c.skip(width)
+                c.take(1)
+                c.skip(1)
+            elif note:
+                self.enter(depth, [4, False])
+                c.skip(width)
+                c.take(note.end() - ink)
+            elif item and not (ink >= marks and _RULE.match(self.text, ink, end)) and not (inside and (_BLANK.match(self.text, item.end(), end) or item["number"] not in (None, "1"))):
+                c.skip(width)
+                c.take(item.end() - ink)
+                gap, text_at = c.indent()
+                bare = text_at >= end
+                gap = 1 if bare or gap > 4 else gap
+                self.enter(depth, [width + item.end() - ink + gap, bare])
+                c.skip(gap)
+            else:
+                break
+            depth += 1
+            lazy, whole = False, True
+        self.last(c, depth, lazy)
+
+    def enter(self, depth: int, box: list | None) -> None:
+        self.leave(depth)
+        self.close()
+        self.filled()
+        self.within.append(box)
+
+    def goes_on(self, c: _Cursor) -> bool:
+        """Whether the line belongs to the open code or HTML; the last line of a fence does, too."""
+        width, ink = c.indent()
+        if self.leaf == "code" and self.fence:
+            if width < 4 and self.text.startswith(self.fence, ink, c.end) and re.match(rf"{re.escape(self.fence[0])}{{{len(self.fence)},}}\s*$", self.text[ink : c.end]):
+                self.close()
+            else:
+                self.parts.append((c.at, c.end))
+            return True
+        if self.leaf == "code":
+            if width < 4 and ink < c.end:
+                return False
+            self.parts.append((c.at, c.end))
+            return True
+        rest = c.rest()
+        if not self.until and not rest.strip() and c.at >= self.tag_end:
+            self.close()
+            return True
+        self.parts.append((c.at, c.end))
+        if self.until and self.until in rest.lower():
+            self.close()
+        return True
+
+    def last(self, c: _Cursor, depth: int, lazy: bool) -> None:
+        """The rest of a line, behind the marks of its containers."""
+        width, ink = c.indent()
+        if ink >= c.end:  # blank
+            self.leave(depth)
+            if self.leaf:
+                self.close()
+            return
+        rest = self.text[ink : c.end]
+        if width > 3:
+            if self.leaf == "text":
+                self.parts.append((ink, c.end))
+                return
+            self.leave(depth)
+            self.close()
+            self.begin("code", (c.at, c.end), "")
+            return
+        fence = _FENCE.match(rest)
         if fence and not (fence["mark"][0] == "`" and "`" in fence["info"]):
-            flush(k)
-            j = k + 1
-            while j < len(rows) and not re.match(rf"[ >]*{re.escape(fence['mark'][0])}{{{len(fence['mark'])},}}\s*$", rows[j][1]):
-                j += 1
-            if j > k + 1:
-                out.append(("code", rows[k + 1][0], rows[j - 1][0] + len(rows[j - 1][1])))
-            k = j + 1
-            continue
-        if bare.strip() == "$$":
-            flush(k)
-            j = k + 1
-            while j < len(rows) and not rows[j][1].rstrip().endswith("$$"):
-                j += 1
-            k = j + 1
-            continue
-        if not bare.strip():
-            flush(k)
-            k += 1
-            continue
-        if paragraph is None and (line.startswith("    ") or line.startswith("\t")) and not item:
-            earlier = next((rows[j][1] for j in range(k - 1, -1, -1) if rows[j][1].strip() and not rows[j][1].startswith(("    ", "\t"))), "")
-            if not re.match(r" *(?:[-*+]|\d{1,9}[.)])[ \t]", earlier):
-                j = k
-                while j < len(rows) and (rows[j][1].startswith(("    ", "\t")) or not rows[j][1].strip()):
-                    j += 1
-                while not rows[j - 1][1].strip():
-                    j -= 1
-                out.append(("code", at, rows[j - 1][0] + len(rows[j - 1][1])))
-                k = j
-                continue
-        if _HEADING.match(line):
-            flush(k)
-            out.append(("heading", at, at + len(line)))
-            k += 1
-            continue
-        if paragraph is not None and _UNDERLINE.match(line):
-            a, b = rows[paragraph][0], rows[k - 1][0] + len(rows[k - 1][1])
-            paragraph = None
-            out.append(("heading", a, b))
-            k += 1
-            continue
-        if paragraph is None and _FOOTNOTE.match(line):
-            paragraph = k
-            k += 1
-            continue
-        d = _DEFINITION.match(text, at) if paragraph is None else None
-        if d:
-            out.append(("definition", at, d.end()))
-            while k < len(rows) and rows[k][0] < d.end():
-                k += 1
-            continue
-        if _HTML_BLOCK.match(line):
-            name = re.match(r"\s*</?([A-Za-z][A-Za-z0-9-]*)", line)
-            known = not name or name[1].lower() in _BLOCK_TAGS
-            tag_end = at
-            if not known and paragraph is None:
-                m = re.compile(r" {0,3}" + _OPEN_TAG.pattern, re.S).match(text, at)
-                rest = text[m.end() :].split("\n", 1)[0] if m else "x"
-                known = bool(m) and not rest.strip() and ("\n" not in text[at : m.end()] or name[1][0].isupper())
-                tag_end = m.end() if m else at
-            if known:
-                flush(k)
-                raw = name[1].lower() if name and name[1].lower() in ("pre", "script", "style", "textarea") else None
-                j = k
-                while j < len(rows):
-                    line_j = rows[j][1]
-                    if raw and f"</{raw}>" in line_j.lower():
-                        j += 1
-                        break
-                    if line.lstrip().startswith("<!--") and "-->" in line_j:
-                        j += 1
-                        break
-                    if not raw and not line.lstrip().startswith("<!--") and not line_j.strip() and rows[j][0] >= tag_end:
-                        break
-                    j += 1
-                out.append(("html", at, rows[j - 1][0] + len(rows[j - 1][1])))
-                k = j
-                continue
-        if paragraph is None:
-            paragraph = k
-        k += 1
-    flush(len(rows))
-    return out
+            self.leave(depth)
+            self.close()
+            self.begin("code", None, fence["mark"])
+        elif _HEADING.match(rest):
+            self.leave(depth)
+            self.close()
+            self.filled()
+            self.out.append(Block("heading", ink, rest))
+        elif self.leaf == "text" and not lazy and _UNDERLINE.match(rest):
+            self.close(as_heading=True)
+        elif _RULE.match(rest):
+            self.leave(depth)
+            self.close()
+            self.filled()
+        elif not self.html(c, ink, rest, depth):
+            if self.leaf != "text":
+                self.leave(depth)
+                self.close()
+                self.begin("text", None, "")
+            self.parts.append((ink, c.end))
+
+    def html(self, c: _Cursor, ink: int, rest: str, depth: int) -> bool:
+        """Whether a block of HTML begins here; it is opened then."""
+        if not _HTML_BLOCK.match(rest):
+            return False
+        name = re.match(r"</?([A-Za-z][A-Za-z0-9-]*)", rest)
+        known = not name or name[1].lower() in _BLOCK_TAGS
+        tag_end = ink
+        if not known and self.leaf != "text":
+            m = _OPEN_TAG.match(self.text, ink)
+            behind = self.text[m.end() :].split("\n", 1)[0] if m else "x"
+            known = bool(m) and not behind.strip() and ("\n" not in m[0] or name[1][0].isupper())
+            tag_end = m.end() if m else ink
+        if not known:
+            return False
+        self.leave(depth)
+        self.close()
+        self.begin("html", (ink, c.end), "")
+        self.tag_end = tag_end
+        raw = name and name[1].lower() in ("pre", "script", "style", "textarea") and rest[1] != "/"
+        self.until = f"</{name[1].lower()}>" if raw else "" if name else "-->" if rest.startswith("<!--") else "?>" if rest.startswith("<?") else ">"
+        if self.until and self.until in rest.lower():
+            self.close()
+        return True
+
+    def filled(self) -> None:
+        """The innermost container is no longer empty; those around it have not been since it began."""
+        if self.within and self.within[-1]:
+            self.within[-1][1] = False
+
+    def begin(self, leaf: str, part: tuple[int, int] | None, fence: str) -> None:
+        self.filled()
+        self.leaf, self.parts, self.fence, self.until = leaf, [part] if part else [], fence, ""
+
+
+def blocks(text: str) -> list[Block]:
+    """The leaf blocks of a document in order, those in quotes, lists and footnotes too, however they are nested."""
+    found, at = _Blocks(text), 0
+    if front := _FRONT_MATTER.match(text):  # is no text
+        at = front.end()
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        found.line(at, end)
+        at = end + 1
+    found.close()
+    return found.out
 
 
 def _plain(text: str) -> str:
@@ -274,24 +412,24 @@ class _Inline:
         return stop
 
 
-def _definitions(text: str, found: list[tuple[str, int, int]]) -> dict[str, str]:
+def _definitions(found: list[Block]) -> dict[str, str]:
     out: dict[str, str] = {}
-    for kind, a, _ in found:
-        if kind == "definition" and (m := _DEFINITION.match(text, a)) and not m["label"].startswith("^"):
+    for b in found:
+        if b.kind == "definition" and (m := _DEFINITION.match(b.shown)):
             out.setdefault(_label(m["label"]), _plain(m["angle"] if m["angle"] is not None else m["bare"]))
     return out
 
 
 def markdown_links(text: str, include_verbatim: bool = False, include_wikilinks: bool = False) -> list[Link]:
     found = blocks(text)
-    inline = _Inline(_definitions(text, found), include_verbatim, include_wikilinks)
-    for kind, a, b in found:
-        if kind in ("text", "heading"):
-            inline.scan(text[a:b], a)
-        elif kind == "html":
-            inline.links.extend(html_links(text[a:b], include_verbatim, offset=a))
-        elif kind == "code" and include_verbatim:
-            inline.links.extend(plaintext_links(text[a:b], a))
+    inline = _Inline(_definitions(found), include_verbatim, include_wikilinks)
+    for b in found:
+        if b.kind in ("text", "heading"):
+            inline.scan(b.shown, b.at)
+        elif b.kind == "html":
+            inline.links.extend(html_links(b.shown, include_verbatim, offset=b.at))
+        elif b.kind == "code" and include_verbatim:
+            inline.links.extend(plaintext_links(b.shown, b.at))
     return inline.links
 
 
@@ -302,7 +440,7 @@ def heading_id(text: str) -> str:
 
 def _heading_text(raw: str) -> str:
     """What a reader sees of a heading; line ends in it are no text."""
-    raw = raw.replace("\n", "")
+    raw = re.sub(r"[ \t]*\n[ \t]*", "", raw)
     raw = re.sub(r"(`+)(.+?)\1", lambda m: m[2].strip(), raw)
     raw = re.sub(r"!?\[((?:[^\[\]]|\[[^\]]*\])*)\](?:\([^)]*\)|\[[^\]]*\])?", r"\1", raw)
     raw = re.sub(r"</?[A-Za-z][^>]*>", "", raw)
@@ -315,9 +453,8 @@ def markdown_fragments(text: str) -> list[str]:
     """Explicit and generated heading ids and the ids of embedded HTML, in document order."""
     out: dict[str, None] = {}
     seen: dict[str, int] = {}
-    for kind, a, b in blocks(text):
+    for kind, _, line in blocks(text):
         if kind == "heading":
-            line = text[a:b]
             m = _HEADING.match(line)
             title = (m["text"] or "") if m else line.strip()
             explicit = _EXPLICIT_ID.search(title)
@@ -332,8 +469,8 @@ def markdown_fragments(text: str) -> list[str]:
                 out[f"{base}-{n}" if n else base] = None
             out.update(dict.fromkeys(html_fragments(title)))
         elif kind == "html":
-            out.update(dict.fromkeys(html_fragments(text[a:b])))
+            out.update(dict.fromkeys(html_fragments(line)))
         elif kind == "text":
-            for m in _OPEN_TAG.finditer(re.sub(r"(`+).+?\1", lambda m: " " * len(m[0]), text[a:b], flags=re.S)):
+            for m in _OPEN_TAG.finditer(re.sub(r"(`+).+?\1", lambda m: " " * len(m[0]), line, flags=re.S)):
                 out.update(dict.fromkeys(html_fragments(m[0])))
     return list(out)

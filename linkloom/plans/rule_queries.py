@@ -139,6 +139,18 @@ rule(
     "Bare links in text count, code and formulas do not.",
 )
 rule("ex_19_code_included", "markdown", [("`https://c~.org/x`\n\n```\nhttps://f~.org/y\n```\n", [(None, None, "https://c~.org/x"), (None, None, "https://f~.org/y")])], "With the option code counts, too.", include_verbatim=True)
+rule(
+    "ex_19_nested_blocks",
+    "markdown",
+    [
+        ("- > 1. [a](/deep/~)\n  >\n  >        [no](/code/~)\n  >\n  >    [b](/item/~)\nlazy [c](/lazy/~)\n", [("a", "href", f"/{x}/~") for x in ("deep", "item", "lazy")]),
+        ("> ```\n> [no](/fence/~)\n[a](/outside/~)\n", [("a", "href", "/outside/~")]),
+        ("* x\n\n\t[a](/tab/~)\n\n\t\t[no](/tab-code/~)\n\n[b][r]\n\n> [r]: /from-quote/~\n", [("a", "href", "/tab/~"), ("a", "href", "/from-quote/~")]),
+        ("[^n]: x\n\n    [a](/note/~)\n\n        [no](/note-code/~)\n", [("a", "href", "/note/~")]),
+        ("> <div>\n> <a href=/in-div/~>x\n\n[a](/after/~)\n", [("a", "href", "/in-div/~"), ("a", "href", "/after/~")]),
+    ],
+    "Quotes, lists and notes within each other: what is text and what is code.",
+)
 rule(
     "ex_20_embedded_html",
     "markdown",

@@ -1,3 +1,6 @@
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from linkloom.operators.extract import html as H
 from linkloom.operators.extract import markdown as MD
 from linkloom.operators.extract.css import css_links
@@ -110,6 +113,89 @@ def test_markdown():
     assert more == {"https://indented.org", "https://fenced.org", "https://code.org"}
 
 
+NESTED = """> - one [a](a.md)
+>   continued [b
+>   c](b.md)
+>
+>       https://code-in-item.org
+>
+>   1. ```
+>      https://fenced-in-item.org
+>      ```
+>      after [c](c.md)
+>
+> lazy [d](d.md)
+goes on [e](e.md)
+
+- outer
+
+  > quoted [f][F]
+
+      https://code-in-list.org
+
+  [F]: f.md
+
+- <div><a href="g.html">
+  x</a></div>
+
+[^n]: note [h](h.md)
+
+    second [i](i.md)
+
+        https://code-in-note.org
+
+10) ten [j](j.md)
+	* tab [k](k.md)
+"""
+
+
+def test_markdown_nested_blocks():
+    got = MD.markdown_links(NESTED)
+    assert t(got) == ["a.md", "b.md", "c.md", "d.md", "e.md", "f.md", "g.html", "h.md", "i.md", "j.md", "k.md"]
+    at = {x.text: x.offset for x in got}
+    assert all(NESTED[at[f"{c}.md"]] == "[" for c in "abcdefhijk")
+    assert set(t(MD.markdown_links(NESTED, True))) - set(t(got)) == {f"https://{x}.org" for x in ("code-in-item", "fenced-in-item", "code-in-list", "code-in-note")}
+
+
+def kinds(text):
+    return [b.kind for b in MD.blocks(text)]
+
+
+def test_markdown_block_rules():
+    # what may interrupt a paragraph, and what may not
+    assert kinds("a\n2. b") == ["text"] and kinds("a\n1. b") == ["text", "text"] and kinds("a\n-\nb") == ["heading", "text"] and kinds("a\n*\nb") == ["text"]
+    assert kinds("a\n    b") == ["text"] and kinds("a\n\n    b") == ["text", "code"]
+    assert kinds("> a\nb") == ["text"] and kinds("> a\n- b") == ["text", "text"] and kinds("> a\n---") == ["text"]
+    # fences end with their container; a fence needs as many marks as opened it
+    assert kinds("> ```\n> a\nb") == ["code", "text"] and kinds("````\na\n```\nb\n`````\nc") == ["code", "text"]
+    # indentation counts from the item's text; a tab reaches the next fourth column
+    assert kinds("- a\n\n  b\n\n      c") == ["text", "text", "code"] and kinds("-\ta\n\n\tb") == ["text", "text"] and kinds("1.  a\n\n   b") == ["text", "text"]
+    assert kinds("- a\n\n\t\tb") == ["text", "code"] and kinds(">\t\tb") == ["code"]
+    # an item that begins with a blank line holds no more of them
+    assert kinds("-\n\n  a") == ["text"] and kinds("-\n  a\n\n  b") == ["text", "text"]
+    assert kinds("* * *\n- # h\n-     c") == ["heading", "code"]
+    # HTML ends at a blank line, raw text elements and comments at their ends
+    assert kinds("<!-- a\n\nb -->\nc") == ["html", "text"] and kinds("<div>\na\n\nb") == ["html", "text"] and kinds("<pre>\n\na</pre>\nb") == ["html", "text"]
+    assert kinds("> <div>\na") == ["html", "text"]
+    # definitions open a paragraph and may be followed by its text
+    assert kinds("[a]: b\n[c]: <d> 'e'\nf") == ["definition", "definition", "text"] and kinds("f\n[a]: b") == ["text"]
+    assert t(MD.markdown_links("$$ [a](b)\n\n[c](d)")) == ["b", "d"] and t(MD.markdown_links("$$\n[a](b)\n$$ [c](d)")) == ["d"]
+    assert MD.markdown_fragments("> - Two\n>   lines\n>   ===\n>   ## In *it*") == ["twolines", "in-it"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["> ", "- ", "1. ", "  ", "    ", "\t", "```", "\n", "\n\n", "a", "[x](y)", "[r]: z", "[r]", "<div>", "<!--", "# ", "---", "[^f]: ", "`", "$$"]), max_size=24))
+def test_markdown_places_are_places_of_the_document(parts):
+    text, end = "".join(parts), 0
+    for b in MD.blocks(text):
+        assert b.at >= end or not b.shown
+        end = b.at + len(b.shown)
+        assert end <= len(text)
+        assert all(c == d or c == " " for c, d in zip(b.shown, text[b.at : end], strict=True))
+    for link in MD.markdown_links(text, include_verbatim=True):
+        assert link.text != "y" or text.startswith("[x](y)", link.offset)
+
+
 def test_markdown_link_text_counts_only_verbatim():
     text = "[https://shown.org](https://target.org)"
     assert t(MD.markdown_links(text)) == ["https://target.org"]
