@@ -1,7 +1,9 @@
 """Texts for people and machines: response lines, dumps, reports and hints.
 
 Lines are Columns, so a dump of any size is written by the tasks that have the rows.
-Reports read their counters, and their rows in order, one partition at a time.
+Reports are sorted by Spark and come in pieces, of which the driver holds one source's
+suggestions or redirects and one partition of rows at a time: ``*_parts`` give them, to
+be written as they come, and the functions without that ending join them.
 """
 
 from __future__ import annotations
@@ -10,10 +12,11 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import groupby
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.config import LinkCheckConfig, shown_duration
@@ -29,11 +32,19 @@ def redirects_text(redirects: Column) -> Column:
     return F.concat(redirects["origin"], F.array_join(hops, ""))
 
 
+def place_text(columns: Iterable[str]) -> Column:
+    """`` (at line:column)`` of a response row, null without a span."""
+    if "span" not in columns:
+        return F.lit(None).cast("string")
+    column = F.coalesce(F.concat(F.lit(":"), F.col("span.column").cast("string")), F.lit(""))
+    return F.when(F.col("span").isNotNull(), F.concat(F.lit(" (at "), F.col("span.line").cast("string"), column, F.lit(")")))
+
+
 def body_text(columns: Iterable[str] = ("span", "remap", "redirects")) -> Column:
     """``uri (at line:column) | details | Remaps: ... | Followed n redirect(s). Redirects: ...`` of a response row."""
     have, uri, s = set(columns), F.col("uri"), F.col("status")
     none = F.lit(None).cast("string")
-    at = F.when(F.col("span").isNotNull(), F.concat(F.lit(" (at "), F.col("span.line").cast("string"), F.coalesce(F.concat(F.lit(":"), F.col("span.column").cast("string")), F.lit("")), F.lit(")"))) if "span" in have else none
+    at = place_text(have)
     remap = F.when(F.col("remap").isNotNull(), F.concat(F.lit(" | Remaps: "), F.col("remap.original"), F.lit(" --> "), F.col("remap.new"))) if "remap" in have else none
     chain = none
     if "redirects" in have:
@@ -83,71 +94,92 @@ def natural_key(text: str) -> list:
     return [(0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.findall(r"\d+|\D+", text.lower())]
 
 
-def _rows(responses: DataFrame, classes: Iterable[str], mode: str, detailed: bool) -> Iterator[tuple[str, str, str, Row]]:
-    """(source, class, line, row) in the order of reports."""
-    found = ST.per_source(responses, detailed).where(F.col("class").isin(*classes))
-    found = found.withColumn("line", response_line(mode, found.columns)).withColumn("body", body_text(found.columns))
-    for r in ST.sorted_by_display(found, "source", "body").toLocalIterator():
-        yield r["source"], r["class"], r["line"], r
+ISSUES = ("error", "timeout", "unsupported")
+ROWS, SUGGESTIONS, REDIRECTS = range(3)
 
 
-def _by_source(pairs: Iterable[tuple[str, str]]) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for source, text in pairs:
-        out.setdefault(source, []).append(text)
-    return {k: sorted(v, key=natural_key) for k, v in out.items()}
+def _part(rows: DataFrame, section: Column | int, part: int, text: Column, order: Column) -> DataFrame:
+    """Rows for a report: section, source, part, text; ``order`` is the order within a source's part."""
+    section = F.lit(section) if isinstance(section, int) else section
+    return rows.select(section.cast("int").alias("section"), "source", F.lit(part).alias("part"), text.alias("text"), F.lower(order).alias("by"), order.alias("then"))
 
 
-def _redirects(responses: DataFrame) -> dict[str, list[str]]:
-    return _by_source((r[0], r[1]) for r in ST.redirects_per_source(responses).select("source", redirects_text(F.col("redirects"))).toLocalIterator())
+def _redirects(responses: DataFrame, section: int) -> DataFrame:
+    text = redirects_text(F.col("redirects"))
+    return _part(ST.redirects_per_source(responses), section, REDIRECTS, text, text)
 
 
-def _suggested(suggestions: DataFrame | None) -> dict[str, list[str]]:
-    if suggestions is None:
-        return {}
-    return _by_source((r[0], f"{r[1]} --> {r[2]}") for r in suggestions.select("source", "original", "suggestion").distinct().toLocalIterator())
+def _suggested(suggestions: DataFrame, section: int) -> DataFrame:
+    text = F.concat("original", F.lit(" --> "), "suggestion")
+    return _part(suggestions.select("source", "original", "suggestion").distinct(), section, SUGGESTIONS, text, text)
 
 
-def compact(responses: DataFrame, suggestions: DataFrame | None = None, mode: str = "plain", seconds: float = 0.0) -> str:
+def _groups(*parts: DataFrame) -> Iterator[tuple[int, str, int, Iterator[str]]]:
+    """(section, source, part, texts) in the order of reports; each is to be read before the next. Texts that are no rows are in natural order."""
+    rows = reduce(DataFrame.unionByName, parts)
+    rows = rows.orderBy("section", *ST.display_order("source"), "part", "by", "then").select("section", "source", "part", "text")
+    for (section, source, part), found in groupby(rows.toLocalIterator(), key=lambda r: (r[0], r[1], r[2])):
+        texts = (r[3] for r in found)
+        yield section, source, part, texts if part == ROWS else iter(sorted(texts, key=natural_key))
+
+
+def compact_parts(responses: DataFrame, suggestions: DataFrame | None = None, mode: str = "plain", seconds: float = 0.0) -> Iterator[str]:
     c = ST.counters(responses).first()
-    suggested = _suggested(suggestions)
-    rows = list(_rows(responses, ("error", "timeout", "unsupported"), mode, False))
-    issues = len({(r[0], r[1]) for r in rows})
-    out = []
-    if issues:
-        out.append(f"Issues found in {issues} {'input' if issues == 1 else 'inputs'}. Find details below.\n")
-    for source, part in groupby(rows, key=lambda r: r[0]):
-        out.append(f"[{source}]:")
-        out += [r[2] for r in part]
-        if source in suggested:
-            out += ["", "ℹ Suggestions", *suggested[source]]
-        out.append("")
+    found = ST.per_source(responses, False).where(F.col("class").isin(*ISSUES))
+    if issues := found.select("source", "class").distinct().count():
+        yield f"Issues found in {issues} {'input' if issues == 1 else 'inputs'}. Find details below.\n\n"
+    parts = [_part(found, 0, ROWS, response_line(mode, found.columns), body_text(found.columns))]
+    if suggestions is not None:
+        parts.append(_suggested(suggestions, 0))
+    shown = None
+    for _, source, part, texts in _groups(*parts):
+        if part == ROWS:
+            if shown is not None:
+                yield "\n"
+            shown = source
+            yield f"[{source}]:\n"
+            yield from (f"{x}\n" for x in texts)
+        elif source == shown:
+            yield "\nℹ Suggestions\n"
+            yield from (f"{x}\n" for x in texts)
+    if shown is not None:
+        yield "\n"
     line = f"🔍 {c['total']} Total (in {shown_duration(seconds, True)}) 🔗 {c['unique']} Unique ✅ {c['successful']} OK 🚫 {c['errors']} {'Error' if c['errors'] == 1 else 'Errors'}"
     for icon, name, key in (("❓", "Unknown", "unknown"), ("👻", "Excluded", "excludes"), ("⏳", "Timeouts", "timeouts"), ("⛔", "Unsupported", "unsupported"), ("🔀", "Redirects", "redirects")):
         if c[key]:
             line += f" {icon} {c[key]} {name}"
-    return "\n".join([*out, line])
+    yield line
+
+
+def compact(responses: DataFrame, suggestions: DataFrame | None = None, mode: str = "plain", seconds: float = 0.0) -> str:
+    return "".join(compact_parts(responses, suggestions, mode, seconds))
 
 
 SUMMARY = (("🔍 Total", "total"), ("🔗 Unique", "unique"), ("✅ Successful", "successful"), ("⏳ Timeouts", "timeouts"), ("🔀 Redirected", "redirects"), ("👻 Excluded", "excludes"), ("❓ Unknown", "unknown"), ("🚫 Errors", "errors"), ("⛔ Unsupported", "unsupported"))
 WIDTH = 20
 
 
-def detailed(responses: DataFrame, suggestions: DataFrame | None = None, mode: str = "plain") -> str:
+def detailed_parts(responses: DataFrame, suggestions: DataFrame | None = None, mode: str = "plain") -> Iterator[str]:
     c = ST.counters(responses).first()
-    out = ["📝 Summary", "-" * (WIDTH + 1)]
-    out += [title + str(c[key]).rjust(WIDTH - len(title), ".") for title, key in SUMMARY]
-    text = "\n".join(out)
-    suggested, chains = _suggested(suggestions), _redirects(responses)
-    rows = list(_rows(responses, ("error", "timeout", "unsupported"), mode, True))
-    for source, part in groupby((r for r in rows if r[1] != "unsupported"), key=lambda r: r[0]):
-        text += f"\n\nErrors in {source}" + "".join(f"\n{r[2]}" for r in part)
-        for title, found in (("Suggestions", suggested), ("Redirects", chains)):
-            if source in found:
-                text += f"\n\n{title} in {source}\n" + "".join(f"{x}\n" for x in found[source])
-    for source, part in groupby((r for r in rows if r[1] == "unsupported"), key=lambda r: r[0]):
-        text += f"\n\nIgnored in {source}" + "".join(f"\n{r[2]}" for r in part)
-    return text
+    yield "\n".join(["📝 Summary", "-" * (WIDTH + 1), *(title + str(c[key]).rjust(WIDTH - len(title), ".") for title, key in SUMMARY)])
+    found = ST.per_source(responses, True).where(F.col("class").isin(*ISSUES))
+    ignored = F.when(F.col("class") == "unsupported", 1).otherwise(0)
+    parts = [_part(found, ignored, ROWS, response_line(mode, found.columns), body_text(found.columns)), _redirects(responses, 0)]
+    if suggestions is not None:
+        parts.append(_suggested(suggestions, 0))
+    shown = None
+    for section, source, part, texts in _groups(*parts):
+        if part == ROWS:
+            shown = source
+            yield f"\n\n{'Ignored' if section else 'Errors'} in {source}"
+            yield from (f"\n{x}" for x in texts)
+        elif source == shown:
+            yield f"\n\n{'Suggestions' if part == SUGGESTIONS else 'Redirects'} in {source}\n"
+            yield from (f"{x}\n" for x in texts)
+
+
+def detailed(responses: DataFrame, suggestions: DataFrame | None = None, mode: str = "plain") -> str:
+    return "".join(detailed_parts(responses, suggestions, mode))
 
 
 def _width(text: str) -> int:
@@ -162,24 +194,28 @@ def table(heads: list[str], rows: list[list[str]]) -> str:
     return "\n".join([line(heads), "|" + "|".join("-" * (w + 2) for w in wide) + "|", *map(line, rows)])
 
 
-def markdown(responses: DataFrame, suggestions: DataFrame | None = None) -> str:
+def markdown_parts(responses: DataFrame, suggestions: DataFrame | None = None) -> Iterator[str]:
     c = ST.counters(responses).first()
-    out = ["# Summary", "", table(["Status", "Count"], [[t, str(c[k])] for t, k in SUMMARY])]
-    rows = list(_rows(responses, ("error", "timeout", "unsupported"), "plain", True))
-    for title, kind in (("Errors", "error"), ("Timeouts", "timeout"), ("Ignored", "unsupported")):
-        if own := [r for r in rows if r[1] == kind]:
-            out.append(f"\n## {title} per input")
-            for source, part in groupby(own, key=lambda r: r[0]):
-                out.append(f"\n### {title} in {source}\n")
-                for _, _, line, r in part:
-                    at = re.search(r" \(at [\d:]+\)", line) if "span" in r.asDict() and r["span"] is not None else None
-                    out.append(f"* {line.split(' ', 1)[0]} <{r['uri']}>" + (at[0] if at else "") + f" | {r['status']['details'] or r['status']['text']}")
-    for title, found in (("Redirects", _redirects(responses)), ("Suggestions", _suggested(suggestions))):
-        if found:
-            out.append(f"\n## {title} per input")
-            for source in sorted(found, key=lambda s: (s.lower(), s)):
-                out += [f"\n### {title} in {source}\n", *(f"* {x}" for x in found[source])]
-    return "\n".join(out) + "\n"
+    yield "# Summary\n\n" + table(["Status", "Count"], [[t, str(c[k])] for t, k in SUMMARY]) + "\n"
+    titles = ("Errors", "Timeouts", "Ignored", "Redirects", "Suggestions")
+    found = ST.per_source(responses, True).where(F.col("class").isin(*ISSUES))
+    section = F.when(F.col("class") == "error", 0).when(F.col("class") == "timeout", 1).otherwise(2)
+    why = F.coalesce(F.nullif(F.col("status.details"), F.lit("")), F.col("status.text"), F.lit(""))
+    text = F.concat(F.lit("["), S.code_shown(F.col("status")), F.lit("] <"), F.col("uri"), F.lit(">"), F.coalesce(place_text(found.columns), F.lit("")), F.lit(" | "), why)
+    parts = [_part(found, section, ROWS, text, body_text(found.columns)), _redirects(responses, 3)]
+    if suggestions is not None:
+        parts.append(_suggested(suggestions, 4))
+    last = None
+    for k, source, _, texts in _groups(*parts):
+        if k != last:
+            yield f"\n## {titles[k]} per input\n"
+        last = k
+        yield f"\n### {titles[k]} in {source}\n\n"
+        yield from (f"* {x}\n" for x in texts)
+
+
+def markdown(responses: DataFrame, suggestions: DataFrame | None = None) -> str:
+    return "".join(markdown_parts(responses, suggestions))
 
 
 def status_json(status: Column) -> Column:
@@ -187,37 +223,69 @@ def status_json(status: Column) -> Column:
     return F.struct(status["text"].alias("text"), status["code"].alias("code"), F.when(status["code"].isNull(), status["details"]).alias("details"))
 
 
-def json_report(responses: DataFrame, suggestions: DataFrame | None = None, hosts: DataFrame | None = None, seconds: float = 0.0, detailed: bool = False) -> str:
-    out = ST.counters(responses).first().asDict()
-    maps: dict[str, dict[str, list]] = {f"{k}_map": {} for k in ("success", "error", "timeout", "suggestion", "redirect", "excluded", "unsupported")}
+MAPS = ("success", "error", "timeout", "suggestion", "redirect", "excluded", "unsupported")
+
+
+def json_parts(responses: DataFrame, suggestions: DataFrame | None = None, hosts: DataFrame | None = None, seconds: float = 0.0, detailed: bool = False) -> Iterator[str]:
+    dump = lambda x: json.dumps(x, indent=2, ensure_ascii=False, default=str)
+    yield dump(ST.counters(responses).first().asDict())[:-2]
     found = ST.per_source(responses, detailed)
-    shown = found.select("source", "class", F.to_json(F.struct(F.col("uri").alias("url"), status_json(F.col("status")).alias("status"), *(F.col(c) for c in ("redirects", "remap", "span", "duration_ms") if c in found.columns))).alias("body"), "uri")
-    for r in ST.sorted_by_display(shown, "source", "uri").toLocalIterator():
-        maps[f"{r[1]}_map"].setdefault(r[0], []).append(json.loads(r[2]))
+    body = F.to_json(F.struct(F.col("uri").alias("url"), status_json(F.col("status")).alias("status"), *(F.col(c) for c in ("redirects", "remap", "span", "duration_ms") if c in found.columns)))
+    number = F.array_position(F.array(*map(F.lit, MAPS)), F.col("class")) - 1
+    parts = [_part(found, number, ROWS, body, F.col("uri"))]
     if detailed:
-        maps["redirect_map"] = _redirects(responses)
-    maps["suggestion_map"] = _suggested(suggestions)
-    out |= maps | {"duration_ms": round(seconds * 1000), "detailed_stats": detailed}
+        parts.append(_redirects(responses, MAPS.index("redirect")))
+    if suggestions is not None:
+        parts.append(_suggested(suggestions, MAPS.index("suggestion")))
+    done, inside = 0, False  # maps that are begun, and whether the last of them holds a source
+    for k, source, part, texts in _groups(*parts):
+        while done <= k:
+            yield ("\n  }" if inside else "}" if done else "") + f',\n  "{MAPS[done]}_map": {{'
+            done, inside = done + 1, False
+        yield ("," if inside else "") + f"\n    {json.dumps(source, ensure_ascii=False)}: ["
+        inside = True
+        for n, x in enumerate(texts):
+            shown = dump(json.loads(x) if part == ROWS else x).replace("\n", "\n      ")
+            yield ("," if n else "") + "\n      " + shown
+        yield "\n    ]"
+    while done < len(MAPS):
+        yield ("\n  }" if inside else "}" if done else "") + f',\n  "{MAPS[done]}_map": {{'
+        done, inside = done + 1, False
+    yield ("\n  }" if inside else "}") + f',\n  "duration_ms": {round(seconds * 1000)},\n  "detailed_stats": {json.dumps(detailed)}'
     if hosts is not None:
-        out["host_stats"] = {r["host"]: {k: v for k, v in r.asDict().items() if k != "host"} for r in ST.sorted_hosts(hosts).toLocalIterator()}
-    return json.dumps(out, indent=2, ensure_ascii=False, default=str)
+        yield ',\n  "host_stats": {'
+        n = 0
+        for r in ST.sorted_hosts(hosts).toLocalIterator():
+            shown = dump({k: v for k, v in r.asDict().items() if k != "host"}).replace("\n", "\n    ")
+            yield ("," if n else "") + f"\n    {json.dumps(r['host'], ensure_ascii=False)}: {shown}"
+            n += 1
+        yield "\n  }" if n else "}"
+    yield "\n}"
 
 
-def junit(responses: DataFrame) -> str:
+def json_report(responses: DataFrame, suggestions: DataFrame | None = None, hosts: DataFrame | None = None, seconds: float = 0.0, detailed: bool = False) -> str:
+    return "".join(json_parts(responses, suggestions, hosts, seconds, detailed))
+
+
+def junit_parts(responses: DataFrame) -> Iterator[str]:
     """Errors fail, exclusions are skipped, successes pass; timeouts and unsupported ones are left out."""
     found = ST.per_source(responses, True).where(F.col("class").isin("error", "excluded", "success"))
+    n = {"error": 0, "excluded": 0, "success": 0} | {r[0]: r[1] for r in found.groupBy("class").count().collect()}  # three rows
+    counts = f'tests="{sum(n.values())}" errors="0" failures="{n["error"]}"'
+    yield f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuites name="{NAME}" {counts}>\n    <testsuite name="{NAME}" {counts} disabled="{n["excluded"]}">\n'
     found = found.withColumn("body", body_text(found.columns))
-    cases, n = [], {"error": 0, "excluded": 0, "success": 0}
     order = F.when(F.col("class") == "error", 0).when(F.col("class") == "excluded", 1).otherwise(2)
     for r in found.orderBy(order, F.lower("source"), "source", "body").toLocalIterator():
-        n[r["class"]] += 1
         word, tag = {"error": ("Failed", "failure"), "excluded": ("Excluded", "skipped"), "success": ("Successful", "")}[r["class"]]
         line = f" line={quoteattr(str(r['span']['line']))}" if "span" in r.asDict() and r["span"] is not None else ""
         time = f" time={quoteattr(f'{r['duration_ms'] / 1000:.3f}')}" if r["duration_ms"] is not None else ""
         inner = f"<{tag} message={quoteattr(r['body'])}/>" if tag else ""
-        cases.append(f"        <testcase name={quoteattr(f'{word} {r['uri']}')}{time} file={quoteattr(r['source'])}{line}>{inner}<system-out>{escape(r['body'])}</system-out></testcase>")
-    counts = f'tests="{sum(n.values())}" errors="0" failures="{n["error"]}"'
-    return "\n".join(['<?xml version="1.0" encoding="UTF-8"?>', f'<testsuites name="{NAME}" {counts}>', f'    <testsuite name="{NAME}" {counts} disabled="{n["excluded"]}">', *cases, "    </testsuite>", "</testsuites>"])
+        yield f"        <testcase name={quoteattr(f'{word} {r['uri']}')}{time} file={quoteattr(r['source'])}{line}>{inner}<system-out>{escape(r['body'])}</system-out></testcase>\n"
+    yield "    </testsuite>\n</testsuites>"
+
+
+def junit(responses: DataFrame) -> str:
+    return "".join(junit_parts(responses))
 
 
 def host_table(hosts: DataFrame, form: str = "compact") -> str:

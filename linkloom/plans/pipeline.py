@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,22 +47,28 @@ def summary(contents: DataFrame, snapshots: C.Snapshots, config: LinkCheckConfig
     return stats.counters(check_links(contents, snapshots, config))
 
 
-def write_report(responses: DataFrame, config: LinkCheckConfig, suggestions: DataFrame | None = None, hosts: DataFrame | None = None, seconds: float = 0.0) -> str:
-    """The report in the configured format; written to ``output`` if that is set."""
+def report_parts(responses: DataFrame, config: LinkCheckConfig, suggestions: DataFrame | None = None, hosts: DataFrame | None = None, seconds: float = 0.0) -> Iterator[str]:
+    """The report in the configured format, in pieces."""
     form = config.get("format")
     if form == "json":
-        text = report.json_report(responses, suggestions, hosts, seconds, config.detailed)
+        yield from report.json_parts(responses, suggestions, hosts, seconds, config.detailed)
     elif form == "junit":
-        text = report.junit(responses)
+        yield from report.junit_parts(responses)
     elif form == "markdown":
-        text = report.markdown(responses, suggestions)
+        yield from report.markdown_parts(responses, suggestions)
     elif form == "detailed":
-        text = report.detailed(responses, suggestions, config.get("mode"))
+        yield from report.detailed_parts(responses, suggestions, config.get("mode"))
     else:
-        text = report.compact(responses, suggestions, config.get("mode"), seconds)
+        yield from report.compact_parts(responses, suggestions, config.get("mode"), seconds)
     if hosts is not None and form in ("compact", "detailed", "markdown"):
-        text += "\n" + report.host_table(hosts, form)
-    if config.output:
-        with open(config.output, "w", encoding="utf-8") as f:
-            f.write(text)
-    return text
+        yield "\n" + report.host_table(hosts, form)
+
+
+def write_report(responses: DataFrame, config: LinkCheckConfig, suggestions: DataFrame | None = None, hosts: DataFrame | None = None, seconds: float = 0.0) -> str | None:
+    """The report in the configured format. If ``output`` is set it is written there piece by piece, and nothing is returned."""
+    parts = report_parts(responses, config, suggestions, hosts, seconds)
+    if not config.output:
+        return "".join(parts)
+    with open(config.output, "w", encoding="utf-8") as f:
+        f.writelines(parts)
+    return None
