@@ -245,11 +245,15 @@ def links(distinct: DataFrame, max_node: int = MAX_NODE) -> DataFrame:
     return out
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Per node of the edges (u, v): node and root, the smallest node that it reaches."""
+def components(edges: DataFrame) -> DataFrame:
+    """Per node of the edges (u, v): node and root, the smallest node that it reaches.
+
+    Rounds go on until the edges stay as they are; their number grows with the square
+    of the logarithm of the nodes at most.
+    """
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: all greater neighbours of a node go to its smallest neighbour or itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
@@ -262,8 +266,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
