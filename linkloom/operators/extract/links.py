@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.operators.extract.batches import joined, pieces
 from linkloom.operators.extract.css import URL_PATTERN, css_links
 from linkloom.operators.extract.html import html_fragments, html_links, visible_text
 from linkloom.operators.extract.linkfinder import plaintext_links
@@ -43,17 +44,28 @@ def fragments_of(content: str, file_type: str) -> list[str]:
 
 
 def _link_udf(include_verbatim: bool, include_wikilinks: bool, tree_rules: bool):
-    def run(content: pa.Array, file_type: pa.Array) -> pa.Array:
-        rows = []
+    def part(content: pa.Array, file_type: pa.Array) -> pa.Array:
+        ends, place, texts, elements, attributes, lines, columns = [0], [], [], [], [], [], []
         for text, kind in zip(content.to_pylist(), file_type.to_pylist(), strict=True):
             found = links_of(text, kind or "plaintext", include_verbatim, include_wikilinks, tree_rules) if text else []
-            lines = Lines(text) if found else None
-            row = []
-            for k, x in enumerate(found):
-                line, column = lines.at(x.offset)
-                row.append({"pos": k, "text": x.text, "element": x.element, "attribute": x.attribute, "span": {"line": line, "column": None if tree_rules and kind == "html" else column}})
-            rows.append(row)
-        return pa.array(rows, pa.list_(_LINK))
+            if found:
+                starts = Lines(text)
+                without = tree_rules and kind == "html"
+                for k, x in enumerate(found):
+                    line, column = starts.at(x.offset)
+                    place.append(k)
+                    texts.append(x.text)
+                    elements.append(x.element)
+                    attributes.append(x.attribute)
+                    lines.append(line)
+                    columns.append(None if without else column)
+            ends.append(len(place))
+        span = pa.StructArray.from_arrays([pa.array(lines, pa.int32()), pa.array(columns, pa.int32())], fields=list(_SPAN))
+        rows = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(texts, pa.string()), pa.array(elements, pa.string()), pa.array(attributes, pa.string()), span], fields=list(_LINK))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    def run(content: pa.Array, file_type: pa.Array) -> pa.Array:
+        return joined([part(*p) for p in pieces(content, file_type)], pa.list_(_LINK))
 
     return F.arrow_udf(run, LINKS)
 
@@ -111,15 +123,15 @@ def fragment_index(contents: DataFrame) -> DataFrame:
     """Per document: all its columns but content, and fragments, the ids that links can point at."""
 
     def run(content: pa.Array, file_type: pa.Array) -> pa.Array:
-        pairs = zip(content.to_pylist(), file_type.to_pylist(), strict=True)
-        return pa.array([fragments_of(t, k or "") if t else [] for t, k in pairs], pa.list_(pa.string()))
+        kind = pa.list_(pa.string())
+        return joined([pa.array([fragments_of(t, k or "") if t else [] for t, k in zip(c.to_pylist(), f.to_pylist(), strict=True)], kind) for c, f in pieces(content, file_type)], kind)
 
     return contents.withColumn("fragments", F.arrow_udf(run, "array<string>")("content", "file_type")).drop("content")
 
 
 def visible(content: Column) -> Column:
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array([visible_text(p) if p else "" for p in pages.to_pylist()], pa.string())
+        return joined([pa.array([visible_text(x) if x else "" for x in p.to_pylist()], pa.string()) for (p,) in pieces(pages)], pa.string())
 
     return F.arrow_udf(run, "string")(content)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators.extract import links as L
 from linkloom.plans.literals import values
-from linkloom.session import table
+from linkloom.session import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -25,7 +25,7 @@ def documents(spark: SparkSession, sf_dir: str, templates: Sequence[str], file_t
     """k, case_id, source, content and file_type of each template for each customer."""
     key = F.col("c_custkey").cast("string")
     made = F.array(*(F.struct(F.lit(n).alias("case_id"), F.replace(F.lit(t), F.lit("~"), key).alias("content")) for n, t in enumerate(templates)))
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.explode(made).alias("d"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("k"), F.explode(made).alias("d"))
     return rows.select("k", "d.*", F.lit(file_type).alias("file_type"))
 
 

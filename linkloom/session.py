@@ -36,3 +36,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables as a DataFrame (columns are pruned by Catalyst)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan dealt over all cores, for rows that cost more to work on than to move.
+
+    A file of few row groups is read by few tasks, however many splits it has, so only a
+    scan of several splits for each core stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 4 * cores else rows.repartition(3 * cores)
