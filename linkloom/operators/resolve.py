@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from linkloom.functions import uri as U
 from linkloom.functions import whatwg
 from linkloom.functions.whatwg import Url, UrlError
+from linkloom.operators.extract.batches import joined, pieces
 from linkloom.operators.extract.linkfinder import is_email_link
 
 BASE = "struct<kind:string,origin:string,path:string>"
 RESOLVED = "struct<uri:string,error_kind:string,error_text:string>"
 _RESOLVED = pa.struct([("uri", pa.string()), ("error_kind", pa.string()), ("error_text", pa.string())])
+_LEFT: dict[str, str] = {}  # of a text that is left as it is
 
 
 def base_of_source(source: Column, source_kind: Column) -> Column:
@@ -125,10 +127,13 @@ def _resolved(text, kind, origin, path, root_dir, known) -> dict:
 def resolve_links(rows: DataFrame, text: Column, base: Column, root_dir: str | None = None) -> DataFrame:
     """Rows with uri, error_kind and error_text of their link texts. Each step is a column of its own, so no expression is evaluated twice."""
 
+    def part(known: dict[str, Url], *columns: pa.Array) -> pa.Array:
+        found = [_resolved(t, k, o, p, root_dir, known) if todo else _LEFT for t, k, o, p, todo in zip(*(c.to_pylist() for c in columns), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([x.get(f.name) for x in found], f.type) for f in _RESOLVED], fields=list(_RESOLVED))
+
     def run(texts: pa.Array, kinds: pa.Array, origins: pa.Array, paths: pa.Array, rest: pa.Array) -> pa.Array:
         known: dict[str, Url] = {}
-        columns = zip(texts.to_pylist(), kinds.to_pylist(), origins.to_pylist(), paths.to_pylist(), rest.to_pylist(), strict=True)
-        return pa.array([_resolved(t, k, o, p, root_dir, known) if todo else {} for t, k, o, p, todo in columns], _RESOLVED)
+        return joined([part(known, *p) for p in pieces(texts, kinds, origins, paths, rest)], _RESOLVED)
 
     columns = rows.columns
     rows = rows.withColumn("_text", text).withColumn("_base", base)

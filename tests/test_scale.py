@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
     [
         "ex_08_verbatim",
         "ex_06_link_attributes",
+        "pr_04_08_base_and_root",
     ],
 )
 def test_one_row_group_is_worked_on_by_all_cores(spark, name):
