@@ -11,11 +11,12 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from itertools import groupby
 from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from linkloom.config import LinkCheckConfig, shown_duration
 from linkloom.functions import status as S
 from linkloom.functions import uri as U
 from linkloom.operators import stats as ST
+from linkloom.operators.extract.batches import joined, pieces
 
 NAME = "link check results"
 
@@ -98,6 +100,15 @@ ISSUES = ("error", "timeout", "unsupported")
 ROWS, SUGGESTIONS, REDIRECTS = range(3)
 
 
+def _texts(function: Callable[..., str | None], *columns: Column) -> Column:
+    """A text made by Python of the columns of each row, in the tasks that have the rows."""
+
+    def run(*batch: pa.Array) -> pa.Array:
+        return joined([pa.array([function(*r) for r in zip(*(c.to_pylist() for c in p), strict=True)], pa.string()) for p in pieces(*batch)], pa.string())
+
+    return F.arrow_udf(run, "string")(*columns)
+
+
 def _part(rows: DataFrame, section: Column | int, part: int, text: Column, order: Column) -> DataFrame:
     """Rows for a report: section, source, part, text; ``order`` is the order within a source's part."""
     section = F.lit(section) if isinstance(section, int) else section
@@ -226,13 +237,22 @@ def status_json(status: Column) -> Column:
 MAPS = ("success", "error", "timeout", "suggestion", "redirect", "excluded", "unsupported")
 
 
-def json_parts(responses: DataFrame, suggestions: DataFrame | None = None, hosts: DataFrame | None = None, seconds: float = 0.0, detailed: bool = False) -> Iterator[str]:
-    dump = lambda x: json.dumps(x, indent=2, ensure_ascii=False, default=str)
-    yield dump(ST.counters(responses).first().asDict())[:-2]
+def _indented(x: object) -> str:
+    return json.dumps(x, indent=2, ensure_ascii=False, default=str)
+
+
+def json_entries(responses: DataFrame, detailed: bool = False) -> DataFrame:
+    """Responses as the JSON report shows them, with class and source: the entries of its maps, made where the rows are."""
     found = ST.per_source(responses, detailed)
     body = F.to_json(F.struct(F.col("uri").alias("url"), status_json(F.col("status")).alias("status"), *(F.col(c) for c in ("redirects", "remap", "span", "duration_ms") if c in found.columns)))
+    return found.select("class", "source", "uri", _texts(lambda x: _indented(json.loads(x)), body).alias("entry"))
+
+
+def json_parts(responses: DataFrame, suggestions: DataFrame | None = None, hosts: DataFrame | None = None, seconds: float = 0.0, detailed: bool = False) -> Iterator[str]:
+    yield _indented(ST.counters(responses).first().asDict())[:-2]
+    found = json_entries(responses, detailed)
     number = F.array_position(F.array(*map(F.lit, MAPS)), F.col("class")) - 1
-    parts = [_part(found, number, ROWS, body, F.col("uri"))]
+    parts = [_part(found, number, ROWS, F.col("entry"), F.col("uri"))]
     if detailed:
         parts.append(_redirects(responses, MAPS.index("redirect")))
     if suggestions is not None:
@@ -245,7 +265,7 @@ def json_parts(responses: DataFrame, suggestions: DataFrame | None = None, hosts
         yield ("," if inside else "") + f"\n    {json.dumps(source, ensure_ascii=False)}: ["
         inside = True
         for n, x in enumerate(texts):
-            shown = dump(json.loads(x) if part == ROWS else x).replace("\n", "\n      ")
+            shown = (x if part == ROWS else _indented(x)).replace("\n", "\n      ")
             yield ("," if n else "") + "\n      " + shown
         yield "\n    ]"
     while done < len(MAPS):
@@ -256,7 +276,7 @@ def json_parts(responses: DataFrame, suggestions: DataFrame | None = None, hosts
         yield ',\n  "host_stats": {'
         n = 0
         for r in ST.sorted_hosts(hosts).toLocalIterator():
-            shown = dump({k: v for k, v in r.asDict().items() if k != "host"}).replace("\n", "\n    ")
+            shown = _indented({k: v for k, v in r.asDict().items() if k != "host"}).replace("\n", "\n    ")
             yield ("," if n else "") + f"\n    {json.dumps(r['host'], ensure_ascii=False)}: {shown}"
             n += 1
         yield "\n  }" if n else "}"
@@ -267,20 +287,34 @@ def json_report(responses: DataFrame, suggestions: DataFrame | None = None, host
     return "".join(json_parts(responses, suggestions, hosts, seconds, detailed))
 
 
+_CASES = {"error": ("Failed", "failure"), "excluded": ("Excluded", "skipped"), "success": ("Successful", "")}
+
+
+def _junit_case(kind: str, uri: str, source: str, line: int | None, duration_ms: float | None, body: str) -> str:
+    word, tag = _CASES[kind]
+    place = "" if line is None else f" line={quoteattr(str(line))}"
+    time = "" if duration_ms is None else f" time={quoteattr(f'{duration_ms / 1000:.3f}')}"
+    inner = f"<{tag} message={quoteattr(body)}/>" if tag else ""
+    return f"<testcase name={quoteattr(f'{word} {uri}')}{time} file={quoteattr(source)}{place}>{inner}<system-out>{escape(body)}</system-out></testcase>"
+
+
+def junit_cases(responses: DataFrame) -> DataFrame:
+    """The test cases of the JUnit report with class, source and body: their XML is made where the rows are."""
+    found = ST.per_source(responses, True).where(F.col("class").isin(*_CASES))
+    found = found.withColumn("body", body_text(found.columns))
+    line = F.col("span.line") if "span" in found.columns else F.lit(None).cast("int")
+    return found.select("class", "source", "body", _texts(_junit_case, F.col("class"), F.col("uri"), F.col("source"), line, F.col("duration_ms"), F.col("body")).alias("case"))
+
+
 def junit_parts(responses: DataFrame) -> Iterator[str]:
     """Errors fail, exclusions are skipped, successes pass; timeouts and unsupported ones are left out."""
-    found = ST.per_source(responses, True).where(F.col("class").isin("error", "excluded", "success"))
-    n = {"error": 0, "excluded": 0, "success": 0} | {r[0]: r[1] for r in found.groupBy("class").count().collect()}  # three rows
+    found = junit_cases(responses)
+    n = dict.fromkeys(_CASES, 0) | {r[0]: r[1] for r in found.groupBy("class").count().collect()}  # three rows
     counts = f'tests="{sum(n.values())}" errors="0" failures="{n["error"]}"'
     yield f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuites name="{NAME}" {counts}>\n    <testsuite name="{NAME}" {counts} disabled="{n["excluded"]}">\n'
-    found = found.withColumn("body", body_text(found.columns))
     order = F.when(F.col("class") == "error", 0).when(F.col("class") == "excluded", 1).otherwise(2)
-    for r in found.orderBy(order, F.lower("source"), "source", "body").toLocalIterator():
-        word, tag = {"error": ("Failed", "failure"), "excluded": ("Excluded", "skipped"), "success": ("Successful", "")}[r["class"]]
-        line = f" line={quoteattr(str(r['span']['line']))}" if "span" in r.asDict() and r["span"] is not None else ""
-        time = f" time={quoteattr(f'{r['duration_ms'] / 1000:.3f}')}" if r["duration_ms"] is not None else ""
-        inner = f"<{tag} message={quoteattr(r['body'])}/>" if tag else ""
-        yield f"        <testcase name={quoteattr(f'{word} {r['uri']}')}{time} file={quoteattr(r['source'])}{line}>{inner}<system-out>{escape(r['body'])}</system-out></testcase>\n"
+    for r in found.orderBy(order, F.lower("source"), "source", "body").select("case").toLocalIterator():
+        yield f"        {r[0]}\n"
     yield "    </testsuite>\n</testsuites>"
 
 

@@ -29,3 +29,29 @@ def test_batches_are_worked_on_in_pieces():
     found = [p for (p,) in pieces(texts)]
     assert all(len(p) * (1 << 16) <= 2 * PIECE for p in found) and joined(found, pa.string()).equals(texts)
     assert joined([x for x, _ in pieces(texts[:0], texts[:0])], pa.string()).equals(texts[:0])
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "rp_04_junit_cases",
+    ],
+)
+def test_reports_are_read_where_they_are_made(spark, name):
+    """Nothing of a report with a row for each link goes through the driver."""
+    assert any("customer" in f for f in catalog.QUERIES[name](spark, SF).inputFiles())
+
+
+def test_report_is_its_cases_and_entries(spark):
+    import json
+
+    from linkloom.operators import report
+    from linkloom.plans import run_queries as R
+
+    run = R.responses(spark, SF)
+    lines = report.junit(run).split("\n")
+    assert sorted(x.strip() for x in lines if "<testcase" in x) == sorted(r[0] for r in report.junit_cases(run).select("case").collect())
+    whole = json.loads(report.json_report(run, detailed=True))
+    shown = [(m, s, json.dumps(x)) for m in ("success", "error", "timeout", "excluded", "unsupported") for s, found in whole[f"{m}_map"].items() for x in found]
+    entries = report.json_entries(run, detailed=True).collect()
+    assert sorted(shown) == sorted((r["class"], r["source"], json.dumps(json.loads(r["entry"]))) for r in entries)
