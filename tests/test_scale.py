@@ -35,6 +35,7 @@ def test_batches_are_worked_on_in_pieces():
     "name",
     [
         "rp_04_junit_cases",
+        "rp_03_json_maps",
     ],
 )
 def test_reports_are_read_where_they_are_made(spark, name):
