@@ -15,6 +15,7 @@ SF = "/root/testdata/sf0.001"
         "pr_04_08_base_and_root",
         "ex_19_nested_blocks",
         "ex_20_embedded_html",
+        "ex_08_verbatim_included",
     ],
 )
 def test_one_row_group_is_worked_on_by_all_cores(spark, name):
