@@ -17,6 +17,7 @@ SF = "/root/testdata/sf0.001"
         "ex_20_embedded_html",
         "ex_08_verbatim_included",
         "ex_15_reference_links",
+        "ex_09_rel",
     ],
 )
 def test_one_row_group_is_worked_on_by_all_cores(spark, name):
