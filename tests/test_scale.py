@@ -18,6 +18,7 @@ SF = "/root/testdata/sf0.001"
         "ex_08_verbatim_included",
         "ex_15_reference_links",
         "ex_09_rel",
+        "pr_01_parse_customers",
     ],
 )
 def test_one_row_group_is_worked_on_by_all_cores(spark, name):
