@@ -13,7 +13,7 @@ from linkloom.functions import uri as U
 from linkloom.operators import check as C
 from linkloom.operators import resolve
 from linkloom.operators.extract.links import extract_links
-from linkloom.session import table
+from linkloom.session import spread, table
 from linkloom.sources.inputs import from_table
 
 
@@ -57,7 +57,7 @@ EVENT_HOST = "'h' || CAST(user_id % 10 AS VARCHAR)"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_table(table(spark, sf_dir, "pages"), "url", "html")
+    return from_table(spread(table(spark, sf_dir, "pages").select("url", "html")), "url", "html")
 
 
 def page_requests(spark: SparkSession, sf_dir: str, config: LinkCheckConfig | None = None) -> DataFrame:

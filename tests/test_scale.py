@@ -65,3 +65,25 @@ def test_report_is_its_cases_and_entries(spark):
     shown = [(m, s, json.dumps(x)) for m in ("success", "error", "timeout", "excluded", "unsupported") for s, found in whole[f"{m}_map"].items() for x in found]
     entries = report.json_entries(run, detailed=True).collect()
     assert sorted(shown) == sorted((r["class"], r["source"], json.dumps(json.loads(r["entry"]))) for r in entries)
+
+
+def _peak(function, *batch):
+    """Bytes of Python objects that a call on a batch holds at most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        out = function(*batch)
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_links_of_a_batch_are_not_held_at_once(spark):
+    import pyarrow as pa
+
+    from linkloom.operators.extract.links import _link_udf
+
+    page = "".join(f'<a href="/p/{k}">x</a>' for k in range(20)) + " " * 3000
+    out, peak = _peak(_link_udf(False, False, False).func, pa.array([page] * 10_000), pa.array(["html"] * 10_000))
+    assert len(out) == 10_000 and len(out.flatten()) == 200_000 and peak < 20 << 20
