@@ -124,9 +124,7 @@ def _resolved(text, kind, origin, path, root_dir, known) -> dict:
         return {"error_kind": "ParseUrl", "error_text": f"Cannot parse '{text}' into a URL: {e}"}
 
 
-def resolve_links(rows: DataFrame, text: Column, base: Column, root_dir: str | None = None) -> DataFrame:
-    """Rows with uri, error_kind and error_text of their link texts. Each step is a column of its own, so no expression is evaluated twice."""
-
+def _resolver(root_dir: str | None):
     def part(known: dict[str, Url], *columns: pa.Array) -> pa.Array:
         found = [_resolved(t, k, o, p, root_dir, known) if todo else _LEFT for t, k, o, p, todo in zip(*(c.to_pylist() for c in columns), strict=True)]
         return pa.StructArray.from_arrays([pa.array([x.get(f.name) for x in found], f.type) for f in _RESOLVED], fields=list(_RESOLVED))
@@ -135,6 +133,12 @@ def resolve_links(rows: DataFrame, text: Column, base: Column, root_dir: str | N
         known: dict[str, Url] = {}
         return joined([part(known, *p) for p in pieces(texts, kinds, origins, paths, rest)], _RESOLVED)
 
+    return F.arrow_udf(run, RESOLVED)
+
+
+def resolve_links(rows: DataFrame, text: Column, base: Column, root_dir: str | None = None) -> DataFrame:
+    """Rows with uri, error_kind and error_text of their link texts. Each step is a column of its own, so no expression is evaluated twice."""
+
     columns = rows.columns
     rows = rows.withColumn("_text", text).withColumn("_base", base)
     b = F.col("_base")
@@ -144,7 +148,7 @@ def resolve_links(rows: DataFrame, text: Column, base: Column, root_dir: str | N
     # a bare host gets its slash
     rows = rows.withColumn("_quick", F.when(F.col("_quick").rlike(U.CANONICAL), F.regexp_replace("_quick", "^(https?://[^/?#]*)$", "$1/")))
     # marked so that filters on the result are not pushed below it, where the parser would run once more for each of them
-    slow = F.arrow_udf(run, RESOLVED).asNondeterministic()
+    slow = _resolver(root_dir).asNondeterministic()
     rows = rows.withColumn("_slow", slow("_text", b["kind"], b["origin"], b["path"], F.col("_quick").isNull()))
     return rows.select(*columns, F.coalesce("_quick", "_slow.uri").alias("uri"), F.when(F.col("_quick").isNull(), F.col("_slow.error_kind")).alias("error_kind"), F.when(F.col("_quick").isNull(), F.col("_slow.error_text")).alias("error_text"))
 

@@ -87,3 +87,14 @@ def test_links_of_a_batch_are_not_held_at_once(spark):
     page = "".join(f'<a href="/p/{k}">x</a>' for k in range(20)) + " " * 3000
     out, peak = _peak(_link_udf(False, False, False).func, pa.array([page] * 10_000), pa.array(["html"] * 10_000))
     assert len(out) == 10_000 and len(out.flatten()) == 200_000 and peak < 20 << 20
+
+
+def test_resolved_texts_of_a_batch_are_not_held_at_once(spark):
+    import pyarrow as pa
+
+    from linkloom.operators.resolve import _resolver
+
+    n = 20_000
+    columns = [pa.array(x) for x in ([f"/ä/{k}" + "x" * 500 for k in range(n)], ["full"] * n, ["https://h.org/"] * n, [""] * n, [True] * n)]
+    out, peak = _peak(_resolver(None).func, *columns)
+    assert out[n - 1].as_py()["uri"].startswith(f"https://h.org/%C3%A4/{n - 1}x") and peak < 8 << 20
