@@ -98,3 +98,11 @@ def test_resolved_texts_of_a_batch_are_not_held_at_once(spark):
     columns = [pa.array(x) for x in ([f"/ä/{k}" + "x" * 500 for k in range(n)], ["full"] * n, ["https://h.org/"] * n, [""] * n, [True] * n)]
     out, peak = _peak(_resolver(None).func, *columns)
     assert out[n - 1].as_py()["uri"].startswith(f"https://h.org/%C3%A4/{n - 1}x") and peak < 8 << 20
+
+
+def test_pages_are_parsed_by_all_cores(spark):
+    from linkloom.plans.literals import page_requests
+
+    spark.catalog.clearCache()
+    rows = page_requests(spark, SF).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(n > 0 for n in rows) >= spark.sparkContext.defaultParallelism
