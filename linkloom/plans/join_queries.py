@@ -12,7 +12,7 @@ from linkloom.operators import cache as CA
 from linkloom.operators import check as C
 from linkloom.operators import files, resolve
 from linkloom.operators.run_cache import host_caches, run_cache
-from linkloom.plans.literals import BYTE, CODE, EXAMPLE, HOST, PAGE_LINKS, frame, page_requests, page_responses, page_snapshot, request_log, values
+from linkloom.plans.literals import BYTE, CODE, EXAMPLE, HOST, PAGE_LINKS, frame, held, page_requests, page_responses, page_snapshot, request_log, values
 from linkloom.session import table
 
 QUERIES: dict = {}
@@ -57,7 +57,8 @@ def jo_01_snapshot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PAGE_LINKS}, n AS (SELECT uri, count(*) AS n FROM requests GROUP BY uri) SELECT source, uri, c.n AS occurrences, c.n - 1 AS cache_hits FROM requests JOIN n AS c USING (uri)")
 def jo_02_dedup_join_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every URI is requested once; the rest of its occurrences are cache hits."""
-    links = page_requests(spark, sf_dir)
+    # read three times below: as requests, as answers and as rows
+    links = held(page_requests(spark, sf_dir).select("source", "pos", "uri"))
     keys = run_cache(links.select(F.lit("GET").alias("method"), F.col("uri").alias("url"), F.lit(False).alias("needs_body"), "pos", F.struct("source", "pos").alias("seq")), _answers(links))
     return links.join(keys, U.strip_fragment(F.col("uri")) == F.col("url_nofrag")).select("source", "uri", "occurrences", F.col("hits").alias("cache_hits"))
 
@@ -82,9 +83,9 @@ def _stored(requests: DataFrame) -> DataFrame:
 @query(f"WITH {PAGE_LINKS}, {_CACHE} SELECT r.uri, u.status IS NOT NULL AS hit, CASE u.status WHEN '200' THEN 'Ok' WHEN 'Excluded' THEN 'Excluded' END AS kind FROM (SELECT DISTINCT uri FROM requests) r LEFT JOIN usable u ON r.uri = u.uri")
 def jo_03_cache_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which URIs a stored cache answers, and how."""
-    requests = page_requests(spark, sf_dir)
-    cache = CA.load(_stored(requests), NOW, 86_400)
-    uris = requests.select("uri").distinct()
+    # read by the cache and by both lookups
+    uris = held(page_requests(spark, sf_dir).select("uri").distinct())
+    cache = CA.load(_stored(uris), NOW, 86_400)
     found = CA.hits(uris, cache).select("uri", F.lit(True).alias("hit"), F.col("status.kind").alias("kind"))
     none = CA.misses(uris, cache).select("uri", F.lit(False).alias("hit"), F.lit(None).cast("string").alias("kind"))
     return found.unionByName(none)
@@ -126,7 +127,8 @@ def ca_06_07_storable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jo_04_existing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets that are pages of the table, by semi and anti joins."""
     known = table(spark, sf_dir, "pages").select(F.col("url").alias("path"))
-    asked = page_requests(spark, sf_dir).select(F.col("uri").alias("path")).unionByName(known).distinct()
+    # read by both joins
+    asked = held(page_requests(spark, sf_dir).select(F.col("uri").alias("path")).unionByName(known).distinct())
     there = files.existing(asked, known).withColumn("is_page", F.lit(True))
     return there.unionByName(files.missing(asked, known).withColumn("is_page", F.lit(False))).select(F.col("path").alias("uri"), "is_page")
 

@@ -106,3 +106,22 @@ def test_pages_are_parsed_by_all_cores(spark):
     spark.catalog.clearCache()
     rows = page_requests(spark, SF).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(n > 0 for n in rows) >= spark.sparkContext.defaultParallelism
+
+
+def _nodes(plan):
+    yield plan.nodeName()
+    for k in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(k))
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "jo_03_cache_hit_miss",
+    ],
+)
+def test_pages_are_parsed_once(spark, name):
+    """What is read several times is kept, so no branch of the plan makes links of its own."""
+    spark.catalog.clearCache()
+    found = list(_nodes(catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan()))
+    assert "InMemoryRelation" in found and "Generate" not in found
