@@ -119,6 +119,7 @@ def _nodes(plan):
     [
         "jo_03_cache_hit_miss",
         "jo_02_dedup_join_back",
+        "jo_04_existing_targets",
     ],
 )
 def test_pages_are_parsed_once(spark, name):
