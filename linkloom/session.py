@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str = "*", partitions: int = 8, more: dict[str, str] | None = None) -> SparkSession:
@@ -41,8 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(rows: DataFrame) -> DataFrame:
     """A scan dealt over all cores, for rows that cost more to work on than to move.
 
-    A file of few row groups is read by few tasks, however many splits it has, so only a
-    scan of several splits for each core stays as it is.
+    A file of few row groups is read by few tasks, however many splits it has, so a scan
+    stays as it is only if it has several splits for each core and none of them has more
+    than half a core's share of the rows; they are counted without reading a column.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= 4 * cores else rows.repartition(3 * cores)
+    splits = rows.rdd.getNumPartitions()
+    if splits >= 4 * cores:
+        counts = rows.groupBy(F.spark_partition_id().alias("split")).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+        if 2 * cores * (counts["most"] or 0) <= (counts["all"] or 0):
+            return rows
+    return rows.repartition(max(3 * cores, splits))

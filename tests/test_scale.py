@@ -127,3 +127,41 @@ def test_pages_are_parsed_once(spark, name):
     spark.catalog.clearCache()
     found = list(_nodes(catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan()))
     assert "InMemoryRelation" in found and "Generate" not in found
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of some hundred bytes, so that one row group lies in many of them."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "512")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_one_row_group_in_many_splits_is_dealt_out(spark, small_splits, tmp_path):
+    from linkloom.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    path = str(tmp_path / "rows.parquet")
+    spark.range(20_000).coalesce(1).write.parquet(path)
+    scan = spark.read.parquet(path)
+    full = lambda df: [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert scan.rdd.getNumPartitions() >= 4 * cores and len(full(scan)) == 1
+    found = full(spread(scan))
+    assert len(found) >= cores and sum(found) == 20_000
+
+
+def test_even_splits_stay_as_they_are(spark, tmp_path):
+    from linkloom.session import spread
+
+    path = str(tmp_path / "rows.parquet")
+    spark.range(0, 20_000, 1, 4 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2k")
+    try:
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and spread(scan) is scan
+    finally:
+        spark.conf.set(key, before)
