@@ -227,3 +227,43 @@ def test_frames(spark):
     assert {r["source"]: r["fragments"] for r in fragment_index(rows).collect()} == {"a": [], "b": [], "c": [], "d": []}
     register(spark)
     assert spark.sql("SELECT text, line FROM extract_links('[a](b)', 'markdown')").first() == ("b", 1)
+
+
+def _lines_run(function, *values) -> int:
+    """Lines of Python that a call runs."""
+    import sys
+
+    n, before = 0, sys.gettrace()
+
+    def trace(frame, event, arg):
+        nonlocal n
+        n += event == "line"
+        return trace
+
+    sys.settrace(trace)
+    try:
+        function(*values)
+    finally:
+        sys.settrace(before)
+    return n
+
+
+def test_markdown_text_is_not_walked_by_character():
+    from linkloom.operators.extract.markdown import markdown_links
+
+    prose = "words of a long line " * 500
+    assert _lines_run(markdown_links, f"[{prose}](/a) {prose}") < 500
+
+
+def test_values_without_an_at_sign_are_not_searched_for_addresses():
+    from linkloom.operators.extract.linkfinder import is_email_link
+
+    assert _lines_run(is_email_link, "https://h.org/x") <= 2
+    assert is_email_link("u@h.org") and is_email_link("mailto:u@h.org") and not is_email_link("u@h.org/x")
+
+
+def test_an_element_costs_few_steps():
+    from linkloom.operators.extract.html import html_links
+
+    many = lambda n: _lines_run(html_links, "<a href=/x class='b'>" * n)
+    assert (many(200) - many(100)) / 100 < 85
