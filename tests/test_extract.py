@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -267,3 +268,21 @@ def test_an_element_costs_few_steps():
 
     many = lambda n: _lines_run(html_links, "<a href=/x class='b'>" * n)
     assert (many(200) - many(100)) / 100 < 85
+
+
+@pytest.mark.parametrize(
+    ("name", "most"),
+    [
+        ("ex_20_embedded_html", 470),
+    ],
+)
+def test_documents_of_a_query_cost_few_steps(name, most):
+    import inspect
+
+    from linkloom.operators.extract.links import links_of
+    from linkloom.plans.rule_queries import QUERIES
+
+    made = inspect.getclosurevars(QUERIES[name]).nonlocals
+    run = lambda: [links_of(t, made["file_type"], **made["options"]) for t, _ in made["cases"]]
+    run()  # patterns are made once
+    assert _lines_run(run) / len(made["cases"]) < most
