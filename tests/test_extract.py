@@ -274,6 +274,7 @@ def test_an_element_costs_few_steps():
     ("name", "most"),
     [
         ("ex_20_embedded_html", 470),
+        ("ex_08_verbatim_included", 205),
     ],
 )
 def test_documents_of_a_query_cost_few_steps(name, most):
