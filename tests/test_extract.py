@@ -275,6 +275,7 @@ def test_an_element_costs_few_steps():
     [
         ("ex_20_embedded_html", 470),
         ("ex_08_verbatim_included", 205),
+        ("ex_15_reference_links", 340),
     ],
 )
 def test_documents_of_a_query_cost_few_steps(name, most):
@@ -287,3 +288,16 @@ def test_documents_of_a_query_cost_few_steps(name, most):
     run = lambda: [links_of(t, made["file_type"], **made["options"]) for t, _ in made["cases"]]
     run()  # patterns are made once
     assert _lines_run(run) / len(made["cases"]) < most
+
+
+def test_many_definitions_are_cut_off_once():
+    from time import thread_time
+
+    from linkloom.operators.extract.markdown import blocks
+
+    def took(n):
+        text, began = "".join(f"[r{k}]: /ref/{k}{'x' * 80}\n" for k in range(n)), thread_time()
+        assert len(blocks(text)) == n
+        return thread_time() - began
+
+    assert min(took(24_000) for _ in range(2)) < 12 * min(took(4_000) for _ in range(3))
