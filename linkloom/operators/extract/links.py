@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.operators.extract.batches import joined, pieces
+from linkloom.operators.extract.batches import joined, pieces, values
 from linkloom.operators.extract.css import URL_PATTERN, css_links
 from linkloom.operators.extract.html import html_fragments, html_links, visible_text
 from linkloom.operators.extract.linkfinder import plaintext_links
@@ -45,21 +45,23 @@ def fragments_of(content: str, file_type: str) -> list[str]:
 
 def _link_udf(include_verbatim: bool, include_wikilinks: bool, tree_rules: bool):
     def part(content: pa.Array, file_type: pa.Array) -> pa.Array:
-        ends, place, texts, elements, attributes, lines, columns = [0], [], [], [], [], [], []
-        for text, kind in zip(content.to_pylist(), file_type.to_pylist(), strict=True):
+        ends, place, links, spans = [0], [], [], []
+        for text, kind in zip(values(content), values(file_type), strict=True):
             found = links_of(text, kind or "plaintext", include_verbatim, include_wikilinks, tree_rules) if text else []
             if found:
-                starts = Lines(text)
-                without = tree_rules and kind == "html"
-                for k, x in enumerate(found):
-                    line, column = starts.at(x.offset)
-                    place.append(k)
-                    texts.append(x.text)
-                    elements.append(x.element)
-                    attributes.append(x.attribute)
-                    lines.append(line)
-                    columns.append(None if without else column)
-            ends.append(len(place))
+                links += found
+                place += range(len(found))
+                if tree_rules and kind == "html":
+                    starts = Lines(text)
+                    spans += [(starts.at(x.offset)[0], None) for x in found]
+                elif "\n" in text:
+                    starts = Lines(text)
+                    spans += [starts.at(x.offset) for x in found]
+                else:
+                    spans += [(1, x.offset + 1) for x in found]
+            ends.append(len(links))
+        texts, elements, attributes, _ = zip(*links, strict=True) if links else ((), (), (), ())
+        lines, columns = zip(*spans, strict=True) if spans else ((), ())
         span = pa.StructArray.from_arrays([pa.array(lines, pa.int32()), pa.array(columns, pa.int32())], fields=list(_SPAN))
         rows = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(texts, pa.string()), pa.array(elements, pa.string()), pa.array(attributes, pa.string()), span], fields=list(_LINK))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)

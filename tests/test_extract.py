@@ -276,6 +276,7 @@ def test_an_element_costs_few_steps():
         ("ex_20_embedded_html", 470),
         ("ex_08_verbatim_included", 205),
         ("ex_15_reference_links", 340),
+        ("ex_09_rel", 113),
     ],
 )
 def test_documents_of_a_query_cost_few_steps(name, most):
@@ -301,3 +302,13 @@ def test_many_definitions_are_cut_off_once():
         return thread_time() - began
 
     assert min(took(24_000) for _ in range(2)) < 12 * min(took(4_000) for _ in range(3))
+
+
+def test_values_of_a_batch():
+    import pyarrow as pa
+
+    from linkloom.operators.extract.batches import values
+
+    for rows, kind in ((["a", "a", "a"], pa.string()), (["a", "a", None, "é"], pa.string()), ([None, None], pa.string()), ([], pa.string()), (["a"], pa.string()), ([True, None], pa.bool_()), ([1, 1], pa.int32()), ([{"x": 1}] * 2, pa.struct([("x", pa.int32())]))):
+        assert values(pa.array(rows, kind)) == rows
+        assert values(pa.array([*rows, *rows], kind)[len(rows) :]) == rows
