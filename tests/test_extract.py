@@ -278,6 +278,7 @@ def test_an_element_costs_few_steps():
         ("ex_15_reference_links", 340),
         ("ex_09_rel", 113),
         ("ex_10_stylesheets", 90),
+        ("ex_11_mail_values", 83),
     ],
 )
 def test_documents_of_a_query_cost_few_steps(name, most):
