@@ -24,7 +24,7 @@ from linkloom.config import LinkCheckConfig, shown_duration
 from linkloom.functions import status as S
 from linkloom.functions import uri as U
 from linkloom.operators import stats as ST
-from linkloom.operators.extract.batches import joined, pieces
+from linkloom.operators.extract.batches import joined, pieces, values
 
 NAME = "link check results"
 
@@ -104,7 +104,7 @@ def _texts(function: Callable[..., str | None], *columns: Column) -> Column:
     """A text made by Python of the columns of each row, in the tasks that have the rows."""
 
     def run(*batch: pa.Array) -> pa.Array:
-        return joined([pa.array([function(*r) for r in zip(*(c.to_pylist() for c in p), strict=True)], pa.string()) for p in pieces(*batch)], pa.string())
+        return joined([pa.array([function(*r) for r in zip(*map(values, p), strict=True)], pa.string()) for p in pieces(*batch)], pa.string())
 
     return F.arrow_udf(run, "string")(*columns)
 

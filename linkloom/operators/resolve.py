@@ -7,13 +7,14 @@ URL parser in one Arrow UDF.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import uri as U
 from linkloom.functions import whatwg
 from linkloom.functions.whatwg import Url, UrlError
-from linkloom.operators.extract.batches import joined, pieces
+from linkloom.operators.extract.batches import joined, pieces, values
 from linkloom.operators.extract.linkfinder import is_email_link
 
 BASE = "struct<kind:string,origin:string,path:string>"
@@ -126,12 +127,12 @@ def _resolved(text, kind, origin, path, root_dir, known) -> dict:
 
 def _resolver(root_dir: str | None):
     def part(known: dict[str, Url], *columns: pa.Array) -> pa.Array:
-        found = [_resolved(t, k, o, p, root_dir, known) if todo else _LEFT for t, k, o, p, todo in zip(*(c.to_pylist() for c in columns), strict=True)]
+        found = [_resolved(t, k, o, p, root_dir, known) if todo else _LEFT for t, k, o, p, todo in zip(*map(values, columns), strict=True)]
         return pa.StructArray.from_arrays([pa.array([x.get(f.name) for x in found], f.type) for f in _RESOLVED], fields=list(_RESOLVED))
 
     def run(texts: pa.Array, kinds: pa.Array, origins: pa.Array, paths: pa.Array, rest: pa.Array) -> pa.Array:
         known: dict[str, Url] = {}
-        return joined([part(known, *p) for p in pieces(texts, kinds, origins, paths, rest)], _RESOLVED)
+        return joined([part(known, *p) if pc.any(p[-1]).as_py() else pa.nulls(len(p[-1]), _RESOLVED) for p in pieces(texts, kinds, origins, paths, rest)], _RESOLVED)
 
     return F.arrow_udf(run, RESOLVED)
 
@@ -149,7 +150,8 @@ def resolve_links(rows: DataFrame, text: Column, base: Column, root_dir: str | N
     rows = rows.withColumn("_quick", F.when(F.col("_quick").rlike(U.CANONICAL), F.regexp_replace("_quick", "^(https?://[^/?#]*)$", "$1/")))
     # marked so that filters on the result are not pushed below it, where the parser would run once more for each of them
     slow = _resolver(root_dir).asNondeterministic()
-    rows = rows.withColumn("_slow", slow("_text", b["kind"], b["origin"], b["path"], F.col("_quick").isNull()))
+    todo = F.col("_quick").isNull()  # of the rest, Python sees only that it is left
+    rows = rows.withColumn("_slow", slow(*(F.when(todo, c) for c in (F.col("_text"), b["kind"], b["origin"], b["path"])), todo))
     return rows.select(*columns, F.coalesce("_quick", "_slow.uri").alias("uri"), F.when(F.col("_quick").isNull(), F.col("_slow.error_kind")).alias("error_kind"), F.when(F.col("_quick").isNull(), F.col("_slow.error_text")).alias("error_text"))
 
 

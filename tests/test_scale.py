@@ -165,3 +165,16 @@ def test_even_splits_stay_as_they_are(spark, tmp_path):
         assert scan.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and spread(scan) is scan
     finally:
         spark.conf.set(key, before)
+
+
+def test_texts_that_are_left_as_they_are_are_not_walked(spark):
+    import pyarrow as pa
+    from test_extract import _lines_run
+
+    from linkloom.operators.resolve import _resolver
+
+    n, out = 5_000, []
+    columns = [pa.array(x, t) for x, t in ([["/x"] * n, pa.string()], *[[[None] * n, pa.string()]] * 3, [[False] * n, pa.bool_()])]
+    run = _resolver(None).func
+    assert _lines_run(lambda: out.append(run(*columns))) < 200
+    assert len(out[0]) == out[0].null_count == n
