@@ -45,6 +45,10 @@ def spread(rows: DataFrame) -> DataFrame:
     A file of few row groups is read by few tasks, however many splits it has, so a scan
     stays as it is only if it has several splits for each core and none of them has more
     than half a core's share of the rows; they are counted without reading a column.
+
+    The cores are those known by now; a session that has just begun, or that takes
+    executors as work comes, knows few of them. So rows are dealt to as many tasks as a
+    shuffle has in any case.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     splits = rows.rdd.getNumPartitions()
@@ -52,4 +56,4 @@ def spread(rows: DataFrame) -> DataFrame:
         counts = rows.groupBy(F.spark_partition_id().alias("split")).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
         if 2 * cores * (counts["most"] or 0) <= (counts["all"] or 0):
             return rows
-    return rows.repartition(max(3 * cores, splits))
+    return rows.repartition(max(3 * cores, splits, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

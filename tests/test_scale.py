@@ -178,3 +178,22 @@ def test_texts_that_are_left_as_they_are_are_not_walked(spark):
     run = _resolver(None).func
     assert _lines_run(lambda: out.append(run(*columns))) < 200
     assert len(out[0]) == out[0].null_count == n
+
+
+@pytest.mark.parametrize("name", ["jo_02_dedup_join_back"])
+def test_pages_are_dealt_out_even_if_few_cores_are_known(spark, name):
+    """A session that has just begun knows few executors."""
+    from linkloom.plans.literals import pages
+
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(10 * spark.sparkContext.defaultParallelism))
+    try:
+        assert pages(spark, SF).rdd.getNumPartitions() == 10 * spark.sparkContext.defaultParallelism
+        spark.catalog.clearCache()
+        catalog.QUERIES[name](spark, SF)
+        from linkloom.plans.literals import _HELD
+
+        assert _HELD[0].rdd.getNumPartitions() >= 10 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set(key, before)
