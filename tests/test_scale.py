@@ -180,7 +180,7 @@ def test_texts_that_are_left_as_they_are_are_not_walked(spark):
     assert len(out[0]) == out[0].null_count == n
 
 
-@pytest.mark.parametrize("name", ["jo_02_dedup_join_back"])
+@pytest.mark.parametrize("name", ["jo_02_dedup_join_back", "jo_04_existing_targets"])
 def test_pages_are_dealt_out_even_if_few_cores_are_known(spark, name):
     """A session that has just begun knows few executors."""
     from linkloom.plans.literals import pages
