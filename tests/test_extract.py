@@ -279,6 +279,7 @@ def test_an_element_costs_few_steps():
         ("ex_09_rel", 113),
         ("ex_10_stylesheets", 90),
         ("ex_11_mail_values", 83),
+        ("ex_19_code_and_text", 330),
     ],
 )
 def test_documents_of_a_query_cost_few_steps(name, most):
