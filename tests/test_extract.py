@@ -315,3 +315,23 @@ def test_values_of_a_batch():
     for rows, kind in ((["a", "a", "a"], pa.string()), (["a", "a", None, "é"], pa.string()), ([None, None], pa.string()), ([], pa.string()), (["a"], pa.string()), ([True, None], pa.bool_()), ([1, 1], pa.int32()), ([{"x": 1}] * 2, pa.struct([("x", pa.int32())]))):
         assert values(pa.array(rows, kind)) == rows
         assert values(pa.array([*rows, *rows], kind)[len(rows) :]) == rows
+
+
+def test_lines_of_text_and_reference_links_cost_few_steps():
+    import inspect
+
+    from linkloom.operators.extract.links import links_of
+    from linkloom.operators.extract.markdown import blocks
+    from linkloom.plans.rule_queries import QUERIES
+
+    lines = lambda n: _lines_run(blocks, "[a](/x)\n" * n)
+    assert (lines(200) - lines(100)) / 100 < 20
+    cases = inspect.getclosurevars(QUERIES["ex_15_reference_links"]).nonlocals["cases"]
+    assert _lines_run(lambda: [links_of(t, "markdown") for t, _ in cases]) / len(cases) < 290
+
+
+def test_lines_that_are_more_than_text_are_still_seen():
+    from linkloom.operators.extract.markdown import blocks
+
+    found = [(b.kind, b.shown) for b in blocks("[a]\n[^n]: x\n\n[r]: /ref\n(b\n> c\nd\n\n!e\n# f\n\\g\n```\nh\n```\n")]
+    assert found == [("text", "[a]"), ("text", "x"), ("definition", "[r]: /ref"), ("text", "(b"), ("text", "c\nd"), ("text", "!e"), ("heading", "# f"), ("text", "\\g"), ("code", "h")]
