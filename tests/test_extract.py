@@ -335,3 +335,24 @@ def test_lines_that_are_more_than_text_are_still_seen():
 
     found = [(b.kind, b.shown) for b in blocks("[a]\n[^n]: x\n\n[r]: /ref\n(b\n> c\nd\n\n!e\n# f\n\\g\n```\nh\n```\n")]
     assert found == [("text", "[a]"), ("text", "x"), ("definition", "[r]: /ref"), ("text", "(b"), ("text", "c\nd"), ("text", "!e"), ("heading", "# f"), ("text", "\\g"), ("code", "h")]
+
+
+def test_style_sheets_cost_few_steps():
+    import inspect
+
+    from linkloom.operators.extract.html import html_links, is_skipped
+    from linkloom.plans.rule_queries import QUERIES
+
+    assert _lines_run(is_skipped, {"rel": "stylesheet", "href": "/x"}, "href") <= 8
+    cases = inspect.getclosurevars(QUERIES["ex_10_stylesheets"]).nonlocals["cases"]
+    run = lambda: [html_links(t) for t, _ in cases]
+    run()  # patterns are made once
+    assert _lines_run(run) / len(cases) < 83
+
+
+def test_relations_and_ends_of_tags():
+    from linkloom.operators.extract.html import events, is_skipped
+
+    assert [is_skipped({"rel": r}, "rel") for r in ("nofollow", "x, nofollow", " nofollow ,y", "nofollow x", "nofollower", "dns-prefetch", "prefetch", "")] == [True, True, True, False, False, True, False, False]
+    assert [is_skipped({"rel": r}, "rel", loose_rel=True) for r in ("nofollow x", "nofollower", "prefetch")] == [True, True, False]
+    assert [e[5] for t in ("<br>", "<br/>", "<br />", "<br/ >", "<a href=x/>", "<a href='x'/>", "<a b/>") for e in events(t)] == [False, True, True, False, False, True, True]
