@@ -356,3 +356,27 @@ def test_relations_and_ends_of_tags():
     assert [is_skipped({"rel": r}, "rel") for r in ("nofollow", "x, nofollow", " nofollow ,y", "nofollow x", "nofollower", "dns-prefetch", "prefetch", "")] == [True, True, True, False, False, True, False, False]
     assert [is_skipped({"rel": r}, "rel", loose_rel=True) for r in ("nofollow x", "nofollower", "prefetch")] == [True, True, False]
     assert [e[5] for t in ("<br>", "<br/>", "<br />", "<br/ >", "<a href=x/>", "<a href='x'/>", "<a b/>") for e in events(t)] == [False, True, True, False, False, True, True]
+
+
+def test_mail_values_cost_few_steps():
+    import inspect
+
+    from linkloom.operators.extract.html import html_links
+    from linkloom.operators.extract.linkfinder import is_email_link
+    from linkloom.plans.rule_queries import QUERIES
+
+    cases = inspect.getclosurevars(QUERIES["ex_11_mail_values"]).nonlocals["cases"]
+    run = lambda: [html_links(t) for t, _ in cases]
+    run()  # patterns are made once
+    assert _lines_run(run) / len(cases) < 75
+    assert _lines_run(is_email_link, "u@h.org/x") <= 7
+
+
+def test_whole_mail_addresses():
+    from linkloom.operators.extract.linkfinder import find_links, is_email_link
+
+    texts = ["u@h.org", "mailto:u@h.org", "mailto:mailto:u@h.org", ".u@h.org", "u.@h.org", "u..v@h.org", "u@h", "u@h.org.", "a@b@h.org", "a@b.c@h.org", "@h.org", "u@", "é@ü.de", "https://u@h.org/x", "x u@h.org", "v" * 256 + "@h.org", "v" * 257 + "@h.org", "a,u@h.org", "u@-h.org", "mailto:", "mailto:@", "a@b.c d@e.f"]
+    for x in texts:
+        bare = x.removeprefix("mailto:")
+        assert is_email_link(x) == any(bare[a:b] == bare for a, b, _ in find_links(bare, urls=False)), x
+    assert [is_email_link(x) for x in texts[:4]] == [True, True, False, False]
