@@ -197,3 +197,16 @@ def test_pages_are_dealt_out_even_if_few_cores_are_known(spark, name):
         assert _HELD[0].rdd.getNumPartitions() >= 10 * spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set(key, before)
+
+
+def test_memory_of_a_batch_of_pages_does_not_grow_with_its_rows(spark):
+    """The pages of jo_04_existing_targets: four times the rows in a batch, the same Python objects held."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from linkloom.operators.extract.links import _link_udf
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    run = _link_udf(False, False, False).func
+    small, large = (_peak(run, pa.array(pages * n), pa.array(["html"] * n * len(pages)))[1] for n in (4, 16))
+    assert large < 2 * small
